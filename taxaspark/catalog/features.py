@@ -22,12 +22,12 @@ K2 = {"tokens2": TOKENS.format(k=2, src="clean"), "freq2": FREQ.format(tokens="t
 
 @query(
     "d1_kmer_tokens",
-    "SELECT kmer, count(*) AS n, count(DISTINCT process_id) AS n_rows FROM tokens4 GROUP BY ALL",
+    "SELECT kmer, species, count(*) AS n FROM tokens4 GROUP BY ALL",
     tokens4=TOKENS.format(k=4, src="barcodes"),
 )
 def d1(spark, sf_dir):
-    tokens = kmers.kmer_tokens(D.barcodes(spark, sf_dir), 4, ["process_id"])
-    return tokens.groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("process_id").alias("n_rows"))
+    tokens = kmers.kmer_tokens(D.barcodes(spark, sf_dir), 4, ["species"])
+    return tokens.groupBy("kmer", "species").agg(F.count("*").alias("n"))
 
 
 @query("d2_kmer_frequencies", "SELECT process_id, kmer, round(freq, 9) AS freq FROM freq2", tokens2=TOKENS.format(k=2, src="barcodes"), freq2=K2["freq2"])

@@ -22,14 +22,21 @@ def kmer_alphabet(k: int) -> list[str]:
 
 
 def kmer_tokens(df: DataFrame, k: int, keep: list[str], seq: str = "sequence") -> DataFrame:
-    """One row per window made of ACGT only.
+    """One row per overlapping window made of ACGT only; none when the sequence is shorter than ``k``."""
+    fields = [df.schema[c] for c in keep]
 
-    Foreign letters cut the sequence into clean runs first, so no window needs a check of its own.
-    """
-    runs = df.select(*keep, F.explode(F.split(F.upper(F.col(seq)), "[^ACGT]+")).alias("_run"))
-    long_enough = runs.where(F.length("_run") >= k)
-    starts = long_enough.select(*keep, "_run", F.explode(F.sequence(F.lit(1), F.length("_run") - (k - 1))).alias("_at"))
-    return starts.select(*keep, F.substr("_run", F.col("_at"), F.lit(k)).alias("kmer"))
+    def scan(batches):
+        for batch in _slices(batches):
+            text, letter, row = joined_letters(batch.column("_seq"))
+            at = valid_windows(letter, k)
+            spelled = np.lib.stride_tricks.sliding_window_view(text, k)[at] if len(at) else np.zeros((0, k), np.uint8)
+            offsets = pa.py_buffer(np.arange(len(at) + 1, dtype=np.int32) * np.int32(k))
+            words = pa.StringArray.from_buffers(len(at), offsets, pa.py_buffer(np.ascontiguousarray(spelled)))
+            picked = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(picked) for c in keep] + [words], names=[*keep, "kmer"])
+
+    out = T.StructType(fields + [T.StructField("kmer", T.StringType())])
+    return df.select(*keep, F.upper(F.col(seq)).alias("_seq")).mapInArrow(scan, out)
 
 
 def kmer_frequencies(df: DataFrame, k: int, keys: list[str], seq: str = "sequence") -> DataFrame:
@@ -42,18 +49,15 @@ def kmer_frequencies(df: DataFrame, k: int, keys: list[str], seq: str = "sequenc
     letters = np.array(list("ACGT"))
 
     def scan(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(at, _ROWS)
-                row, code, n = kmer_counts(batch.column("_seq"), k)
-                places = 4 ** np.arange(k - 1, -1, -1)
-                spelled = ["".join(w) for w in letters[(code[:, None] // places) % 4]]
-                total = np.bincount(row, weights=n, minlength=batch.num_rows)
-                picked = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(picked) for c in keys] + [pa.array(spelled, pa.string()), pa.array(n / total[row])],
-                    names=[*keys, "kmer", "freq"],
-                )
+        for batch in _slices(batches):
+            row, code, n = kmer_counts(batch.column("_seq"), k)
+            spelled = ["".join(w) for w in letters[(code[:, None] // 4 ** np.arange(k - 1, -1, -1)) % 4]]
+            total = np.bincount(row, weights=n, minlength=batch.num_rows)
+            picked = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(picked) for c in keys] + [pa.array(spelled, pa.string()), pa.array(n / total[row])],
+                names=[*keys, "kmer", "freq"],
+            )
 
     out = fields + [T.StructField("kmer", T.StringType()), T.StructField("freq", T.DoubleType())]
     return rows.mapInArrow(scan, T.StructType(out))
@@ -66,29 +70,46 @@ for _i, _b in enumerate("ACGT"):
     _CODE[ord(_b)] = _CODE[ord(_b.lower())] = _i
 
 
-def kmer_counts(sequences: pa.Array, k: int):
-    """(row, k-mer code, count) of a batch, codes in lexicographic ACGT order.
+def _slices(batches):
+    """Bounded pieces of each Arrow batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            yield whole.slice(at, _ROWS)
 
-    The batch is one byte string with a stop byte after each sequence, so a window that crosses
-    a row end is invalid like any other that holds a foreign letter.
+
+def joined_letters(sequences: pa.Array):
+    """(bytes, base codes, row number) of a batch as one string with a stop byte after each sequence.
+
+    A window that crosses a row end then holds a foreign letter like any other invalid one.
     """
     texts = sequences.to_pylist()
     lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
-    joined = np.frombuffer(("\x00".join(t or "" for t in texts) + "\x00").encode("ascii", "replace"), np.uint8)
-    letter = _CODE[joined]
-    size = len(letter) - k + 1
-    if size <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code, bad = np.zeros(size, np.int64), np.zeros(size, bool)
+    text = np.frombuffer(("\x00".join(t or "" for t in texts) + "\x00").encode("ascii", "replace"), np.uint8)
+    return text, _CODE[text], np.repeat(np.arange(len(texts)), lengths + 1)
+
+
+def valid_windows(letter: np.ndarray, k: int) -> np.ndarray:
+    """Starts of the windows without a foreign letter."""
+    bad = np.concatenate([[0], np.cumsum(letter == 4)])
+    return np.flatnonzero(bad[k:] == bad[:-k]) if len(letter) >= k else np.zeros(0, np.int64)
+
+
+def window_codes(letter: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Windows as base-4 numbers, exact for k up to 31."""
+    code = np.zeros(len(at), np.int64)
     for i in range(k):
-        part = letter[i : i + size]
-        code = code * 4 + part
-        bad |= part == 4
-    row = np.repeat(np.arange(len(texts)), lengths + 1)[:size]
+        code = code * 4 + letter[at + i]
+    return code
+
+
+def kmer_counts(sequences: pa.Array, k: int):
+    """(row, k-mer code, count) of a batch, codes in lexicographic ACGT order."""
+    _, letter, row = joined_letters(sequences)
+    at = valid_windows(letter, k)
     width = 4**k
-    key = row[~bad] * width + code[~bad]
-    if len(texts) * width <= 1 << 22:
-        n = np.bincount(key, minlength=len(texts) * width)
+    key = row[at] * width + window_codes(letter, at, k)
+    if len(sequences) * width <= 1 << 22:
+        n = np.bincount(key, minlength=len(sequences) * width)
         found = np.flatnonzero(n)
         n = n[found]
     else:
@@ -116,11 +137,9 @@ def _with_vector(df: DataFrame, seq: str, out: str, encode) -> DataFrame:
     names = [f.name for f in fields]
 
     def scan(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, _ROWS):
-                batch = whole.slice(start, _ROWS)
-                vec = list_column(encode(batch.column(seq)))
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [vec], names=[*names, out])
+        for batch in _slices(batches):
+            vec = list_column(encode(batch.column(seq)))
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [vec], names=[*names, out])
 
     return df.mapInArrow(scan, T.StructType(fields + [T.StructField(out, T.ArrayType(T.DoubleType()))]))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark import FRACTIONS
+from taxaspark.session import stage
 
 SEED = 42
 VAL_FRACTION = 0.15
@@ -101,23 +102,22 @@ def seen_rows(df: DataFrame, held_out: DataFrame) -> DataFrame:
     return df.join(held_out, ["holdout_fraction", "genus"], "left_anti")
 
 
-def validation_sample(seen: DataFrame, val_fraction: float = VAL_FRACTION, seed: int = SEED) -> DataFrame:
+def validation_sample(seen: DataFrame, val_fraction: float = VAL_FRACTION, seed: int = SEED,
+                      also_by: list[str] | None = None) -> DataFrame:
     """Flag floor(n * fraction) rows of each species ``taken``; a species with one row keeps it."""
     quota = lambda total: F.when(total >= 2, F.floor(total * F.lit(float(val_fraction)))).otherwise(F.lit(0))
-    return hash_take(seen, ["holdout_fraction", "species"], seed, ["process_id"], quota)
+    return hash_take(seen, ["holdout_fraction", "species", *(also_by or [])], seed, ["process_id"], quota)
 
 
 def make_splits(df: DataFrame, fractions=FRACTIONS, seed: int = SEED, val_fraction: float = VAL_FRACTION,
                 unit: str = "genus") -> DataFrame:
     """(holdout_fraction, process_id, role): held-out genera test, the rest train or val."""
     rows = df.select("process_id", "species", "genus")
-    held = held_out_genera(rows, fractions, seed, unit)
-    spread = with_fractions(rows, fractions)
-    test = held_out_rows(spread, held).select("holdout_fraction", "process_id", F.lit("test").alias("role"))
-    seen = validation_sample(seen_rows(spread, held), val_fraction, seed).select(
-        "holdout_fraction", "process_id", F.when(F.col("taken"), "val").otherwise("train").alias("role")
-    )
-    return test.unionByName(seen)
+    held = stage(held_out_genera(rows, fractions, seed, unit), "held-out")  # a genus list
+    marked = mark_held_out(with_fractions(rows, fractions), held)
+    sampled = validation_sample(marked, val_fraction, seed, ["held"])
+    role = F.when(F.col("held"), "test").when(F.col("taken"), "val").otherwise("train")
+    return sampled.select("holdout_fraction", "process_id", role.alias("role"))
 
 
 def split_metadata(df: DataFrame, splits: DataFrame, fractions=FRACTIONS, seed: int = SEED,

@@ -28,10 +28,13 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("srcn"),
         F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, BASES).alias("dna"),
         (500 + F.col("doc_id") % 300).cast("int").alias("len"),
-    ).where(F.length("dna") > 0)
-    last = F.floor((F.length("dna") - 1) / F.col("len")).cast("int")
-    cut = docs.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    return cut.select(
+    )
+    # One pass over a text, whatever its length.
+    window = F.concat(F.lit(".{1,"), F.col("len"), F.lit("}"))
+    pieces = F.regexp_extract_all("dna", window, F.lit(0))
+    # The outer form is not given a filter that would spell and cut the text a second time.
+    cut = docs.select("doc_id", "lang", "srcn", F.posexplode_outer(pieces).alias("piece", "sequence"))
+    return cut.where(F.col("piece").isNotNull()).select(
         "doc_id",
         "piece",
         F.concat(F.lit("D"), F.col("doc_id"), F.lit("_"), F.col("piece")).alias("process_id"),
@@ -39,7 +42,7 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("lang", F.lit("_g"), F.col("srcn") % 5).alias("genus"),
         F.concat("lang", F.lit("_f"), F.col("srcn") % 5 % 2).alias("family"),
         F.col("lang").alias("order"),
-        F.substr("dna", F.col("piece") * F.col("len") + 1, F.col("len")).alias("sequence"),
+        "sequence",
         *_coords("doc_id"),
     )
 
