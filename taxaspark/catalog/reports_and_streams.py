@@ -94,7 +94,7 @@ def j9(spark, sf_dir):
 @query(
     "j10_rank_states",
     f"""SELECT p.holdout_fraction, p.process_id, f.rank, CASE WHEN p.predicted_rank IS NULL THEN 'abyss' WHEN f.rank=p.predicted_rank THEN 'committed'
-    WHEN list_position({list(RANKS)}, f.rank) > list_position({list(RANKS)}, p.predicted_rank) THEN 'skipped' ELSE 'abyss' END AS state,
+    WHEN list_position({list(RANKS)}, f.rank) < list_position({list(RANKS)}, p.predicted_rank) THEN 'skipped' ELSE 'abyss' END AS state,
     coalesce(CASE f.rank WHEN 'species' THEN species WHEN 'genus' THEN genus WHEN 'family' THEN family ELSE "order" END, f.label) AS taxon FROM s_pred p JOIN s_conf f USING (holdout_fraction, process_id)""",
 )
 def j10(spark, sf_dir):

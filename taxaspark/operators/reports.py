@@ -100,11 +100,11 @@ def relatives_table(predictions: DataFrame) -> DataFrame:
 
 
 def rank_states(predictions: DataFrame) -> DataFrame:
-    """Per query and rank (order first): skipped above the commit, committed, abyss below; and the taxon shown."""
-    depth = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in reversed(RANKS)]), F.col("predicted_rank")), F.lit(0))
+    """Per query and rank, species at the surface: skipped above the committed rank, committed, abyss below; and the taxon shown."""
+    place = F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col("predicted_rank"))
     rows = []
-    for place, r in enumerate(reversed(RANKS), 1):
-        state = F.when(depth == place, "committed").when(depth > place, "skipped").otherwise("abyss")
+    for i, r in enumerate(RANKS, 1):
+        state = F.when(place == i, "committed").when(place > i, "skipped").otherwise("abyss")
         rows.append(F.struct(F.lit(r).alias("rank"), state.alias("state"), F.coalesce(F.col(r), F.col("nearest")[r], F.lit("—")).alias("taxon")))
     return predictions.select("holdout_fraction", "process_id", F.explode(F.array(*rows)).alias("r")).select("holdout_fraction", "process_id", "r.*")
 
