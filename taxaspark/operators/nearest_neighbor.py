@@ -50,8 +50,10 @@ def fit(train: DataFrame, broadcast_bytes: int | None = None) -> NeighborModel:
     rows = stage(row_labels(train), "rows")
     gaps = stage(leave_one_out(train, rows, broadcast_bytes), "loo")
     median = exact_quantile(gaps, ["holdout_fraction"], "distance", 0.5)
-    scales = {r.holdout_fraction: r["quantile"] for r in median.collect()}
-    return NeighborModel(rows, {f: s if s is not None and s > 1e-12 else 1.0 for f, s in scales.items()})
+    medians = {r.holdout_fraction: r["quantile"] for r in median.collect()}
+    fractions = [r[0] for r in rows.select("holdout_fraction").distinct().collect()]
+    # One row has no other row, and copies have no distance: both leave the scale at one.
+    return NeighborModel(rows, {f: s if (s := medians.get(f)) and s > 1e-12 else 1.0 for f in fractions})
 
 
 def predict(model: NeighborModel, queries: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
