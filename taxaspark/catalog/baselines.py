@@ -108,7 +108,7 @@ def g6(spark, sf_dir):
 
 
 W = similarity.WORD
-_SEGMENT = {
+SEGMENTS = {
     "w_seq": "SELECT split='train' AS is_s, sequence, min(process_id) AS id FROM b_rows GROUP BY ALL",
     "w_word": f"SELECT is_s, id, i, substr(sequence, i+1, {W}) AS seed, CASE WHEN i>0 AND substr(sequence, i, 1) IN ('A','C','G','T') THEN substr(sequence, i, 1) ELSE '' END AS prev "
     f"FROM (SELECT *, unnest(range(0, length(sequence)-{W}+1)) AS i FROM w_seq) WHERE regexp_full_match(substr(sequence, i+1, {W}), '[ACGT]+')",
@@ -139,13 +139,13 @@ def barcode_hits(spark, sf_dir):
     return shared(spark, sf_dir, "similarity", build)
 
 
-@query("g7_similarity_search", "SELECT qseqid, sseqid, score, length, round(pident, 6) AS pident, round(bitscore, 6) AS bitscore FROM w_hit", **_SEGMENT)
+@query("g7_similarity_search", "SELECT qseqid, sseqid, score, length, round(pident, 6) AS pident, round(bitscore, 6) AS bitscore FROM w_hit", **SEGMENTS)
 def g7(spark, sf_dir):
     hits = barcode_hits(spark, sf_dir)
     return hits.select("qseqid", "sseqid", "score", "length", r6("pident").alias("pident"), r6("bitscore").alias("bitscore"))
 
 
-@query("g8_significant_hit", "SELECT qseqid, sseqid, round(log10(greatest(evalue, 1e-300::DOUBLE)), 6) AS log_evalue FROM w_hit WHERE evalue<=1e-10", **_SEGMENT)
+@query("g8_significant_hit", "SELECT qseqid, sseqid, round(log10(greatest(evalue, 1e-300::DOUBLE)), 6) AS log_evalue FROM w_hit WHERE evalue<=1e-10", **SEGMENTS)
 def g8(spark, sf_dir):
     kept = similarity.significant(barcode_hits(spark, sf_dir))
     return kept.select("qseqid", "sseqid", r6(F.log10(F.greatest(F.col("evalue"), F.lit(1e-300)))).alias("log_evalue"))
@@ -156,12 +156,12 @@ def barcode_calls(spark, sf_dir):
     return similarity.calls(E.query_rows(rows), similarity.significant(barcode_hits(spark, sf_dir)), E.train_rows(rows))
 
 
-@query("g9_identity_gate", 'SELECT process_id, sseqid, species, "order", nearest_species FROM w_call', **_SEGMENT)
+@query("g9_identity_gate", 'SELECT process_id, sseqid, species, "order", nearest_species FROM w_call', **SEGMENTS)
 def g9(spark, sf_dir):
     out = barcode_calls(spark, sf_dir)
     return out.select("process_id", "sseqid", "species", "order", F.col("nearest")["species"].alias("nearest_species"))
 
 
-@query("g10_alignment_confidence", "SELECT process_id, round(confidence, 6) AS confidence FROM w_call", **_SEGMENT)
+@query("g10_alignment_confidence", "SELECT process_id, round(confidence, 6) AS confidence FROM w_call", **SEGMENTS)
 def g10(spark, sf_dir):
     return barcode_calls(spark, sf_dir).select("process_id", r6(F.col("confidence")["species"]).alias("confidence"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taxaspark import METHODS, RANKS
-from taxaspark.catalog.baselines import barcode_split, specimen_neighbor_calls
+from taxaspark.catalog.baselines import NB, NB_K, SEGMENTS, barcode_split, specimen_neighbor_calls
 from taxaspark.catalog.classification import CLASSIFIER, specimen_classifier, specimen_predictions, specimen_rows
+from taxaspark.catalog.features import K2
 from taxaspark.catalog.registry import query, r6, r9, scratch, shared
-from taxaspark.catalog.sql import bins
+from taxaspark.catalog.sql import bins, fallback_of, neighbours_of
 from taxaspark.operators import calibration, classifier, metrics
 from taxaspark.operators import splits as P
 from taxaspark.operators.predictions import long_form
@@ -36,12 +37,40 @@ def four_methods(spark, sf_dir):
     """Long predictions of all methods over cleaned barcodes, one fraction."""
 
     def build():
-        encoded = E.encode_splits(barcode_split(spark, sf_dir), "kmer_pca", k=3, n_components=20)
-        return E.system_predictions(encoded, nb_k=3)
+        return E.system_predictions(encoded_barcodes(spark, sf_dir), nb_k=NB_K)
 
     return shared(spark, sf_dir, "four-methods", build)
 
 
+def encoded_barcodes(spark, sf_dir):
+    """Split barcodes under the full-rank encoder, whose distances are those of the raw frequencies."""
+    return shared(spark, sf_dir, "encoded", lambda: E.encode_splits(barcode_split(spark, sf_dir), "kmer_pca", k=2, n_components=16))
+
+
+METHOD_SQL = (
+    K2
+    | {"q_rows": "SELECT r.*, d.vec FROM b_rows r JOIN dense2 d USING (process_id)"}
+    | fallback_of("q_rows", 16, "q_")
+    | neighbours_of("q_rows", "q_")
+    | NB
+    | SEGMENTS
+    | {
+        "nb_conf": """SELECT c.process_id, sum(p.p) FILTER (p.species=c.species) AS c1, sum(p.p) FILTER (p.genus=c.genus) AS c2, sum(p.p) FILTER (p.family=c.family) AS c3,
+            sum(p.p) FILTER (p."order"=c."order") AS c4 FROM nb_call c JOIN nb_post p USING (process_id) GROUP BY ALL""",
+        "q_bayes": """SELECT 'naive_bayes' AS method, 0.5::DOUBLE AS holdout_fraction, r.split, r.process_id, unnest(['species','genus','family','order']) AS rank,
+            unnest([r.species, r.genus, r.family, r."order"]) AS truth, unnest([c.species, c.genus, c.family, c."order"]) AS call, unnest([c.species, c.genus, c.family, c."order"]) AS nearest,
+            unnest([c1, c2, c3, c4]) AS confidence FROM nb_call c JOIN nb_conf USING (process_id) JOIN b_rows r USING (process_id)""",
+        "q_blast": """SELECT 'blast' AS method, 0.5::DOUBLE AS holdout_fraction, r.split, r.process_id, unnest(['species','genus','family','order']) AS rank,
+            unnest([r.species, r.genus, r.family, r."order"]) AS truth, unnest(CASE WHEN h.pident>=97 THEN [t.species, t.genus, t.family, t."order"] ELSE [NULL, NULL, NULL, NULL] END) AS call,
+            unnest([t.species, t.genus, t.family, t."order"]) AS nearest, c.confidence
+            FROM w_call c JOIN b_rows r USING (process_id) LEFT JOIN w_hit h ON h.qseqid=c.process_id AND h.sseqid=c.sseqid LEFT JOIN b_rows t ON t.process_id=c.sseqid""",
+        "q_preds": "SELECT method, holdout_fraction, split, process_id, rank, truth, call, nearest, confidence FROM q_ours UNION ALL BY NAME SELECT method, holdout_fraction, split, process_id, rank, truth, call, nearest, confidence FROM q_nnlong "
+        "UNION ALL BY NAME SELECT * FROM q_bayes UNION ALL BY NAME SELECT * FROM q_blast",
+        "q_subsets": "SELECT *, 'all' AS subset FROM q_preds UNION ALL BY NAME SELECT *, 'novel' AS subset FROM q_preds WHERE split='test'",
+    }
+)
+
+
 # --- H -----------------------------------------------------------------------------------------
 
 KEYS = ["holdout_fraction", "method", "rank"]
@@ -231,10 +260,15 @@ def h17_given(spark, sf_dir):
                       r6("ece").alias("ece"), "resolved_count", r9("novelty_rate").alias("novelty_rate"))
 
 
-@query("h18_base_classifier_job")
+@query(
+    "h18_base_classifier_job",
+    f"""SELECT holdout_fraction, split, rank, round(avg(hit), 9) AS accuracy, count(*) AS n FROM (SELECT e.holdout_fraction, e.split, unnest({list(RANKS)}) AS rank,
+    unnest([(lin.species=q.species)::INT, (lin.genus=q.genus)::INT, (lin.family=q.family)::INT, (lin."order"=q."order")::INT]) AS hit FROM e_best e JOIN q_rows q USING (holdout_fraction, process_id)) GROUP BY ALL""",
+    **(METHOD_SQL | {k: v.replace("s_rows", "q_rows").replace("s_cent", "q_cent") for k, v in CLASSIFIER.items()}),
+)
 def h18_base(spark, sf_dir):
-    encoded = E.encode_splits(barcode_split(spark, sf_dir), "kmer_pca", k=3, n_components=20)
-    return E.base_classifier_job(encoded)
+    out = E.base_classifier_job(encoded_barcodes(spark, sf_dir))
+    return out.select("holdout_fraction", "split", "rank", r9("accuracy").alias("accuracy"), "n")
 
 
 _SUMMARY = """SELECT t.*, r1.resolved_count AS species_count, round(r1.resolved_accuracy, 9) AS species_accuracy, r3.resolved_count AS family_count, round(r3.resolved_accuracy, 9) AS family_accuracy,
@@ -250,10 +284,20 @@ def h18_fallback(spark, sf_dir):
     return out.select("holdout_fraction", "n_test", "species_count", "family_count", *[r9(c).alias(c) for c in ratios])
 
 
-@query("h18_benchmark_job")
+@query(
+    "h18_benchmark_job",
+    """SELECT holdout_fraction, method, rank, count(*) AS n, round(avg((call IS NOT NULL)::INT), 9) AS coverage, round(avg((call = truth)::INT), 9) AS accuracy_among_answered,
+    any_value(cl) AS coverage_low, any_value(ch) AS coverage_high, any_value(al) AS accuracy_low, any_value(ah) AS accuracy_high
+    FROM q_preds JOIN (SELECT holdout_fraction, method, rank, round(quantile_cont(answered::DOUBLE/n, 0.025), 6) AS cl, round(quantile_cont(answered::DOUBLE/n, 0.975), 6) AS ch,
+    round(quantile_cont(hits::DOUBLE/answered, 0.025) FILTER (answered > 0), 6) AS al, round(quantile_cont(hits::DOUBLE/answered, 0.975) FILTER (answered > 0), 6) AS ah FROM br GROUP BY ALL) USING (holdout_fraction, method, rank)
+    WHERE split='test' GROUP BY ALL""",
+    **(METHOD_SQL | {k: v.replace("s_preds", "q_preds") for k, v in _BOOT.items()}),
+)
 def h18_benchmark(spark, sf_dir):
     """All four methods over barcodes with intervals."""
-    return E.benchmark_job(four_methods(spark, sf_dir), n_bootstrap=200)
+    out = E.benchmark_job(four_methods(spark, sf_dir), n_bootstrap=200)
+    return out.select(*KEYS, "n", r9("coverage").alias("coverage"), r9("accuracy_among_answered").alias("accuracy_among_answered"),
+                      *[r6(c).alias(c) for c in ("coverage_low", "coverage_high", "accuracy_low", "accuracy_high")])
 
 
 @query("h18_head_to_head_job", _TABLE, sc=_SCORES)
@@ -262,9 +306,9 @@ def h18_head(spark, sf_dir):
     return rounded_table(table)
 
 
-@query("h18_head_to_head_barcodes")
+@query("h18_head_to_head_barcodes", _TABLE, **(METHOD_SQL | {"sc": _SCORES.replace("s_subsets", "q_subsets")}))
 def h18_head_barcodes(spark, sf_dir):
-    return E.head_to_head_job(four_methods(spark, sf_dir))[0]
+    return rounded_table(E.head_to_head_job(four_methods(spark, sf_dir))[0])
 
 
 # --- result sinks (A8, A9) ------------------------------------------------------------------------
@@ -293,7 +337,7 @@ def a9(spark, sf_dir):
 @query("i1_correctness_dump", """SELECT process_id, holdout_fraction, split, predicted_rank, is_novel, max(nearest) FILTER (rank='family') AS nearest_family, max(truth) FILTER (rank='family') AS true_family,
     round(max(confidence) FILTER (rank='family'), 6) AS confidence_family, max(correct) FILTER (rank='family') AS correct_family, max(correct) FILTER (rank='species') AS correct_species FROM s_correct GROUP BY ALL""")
 def i1(spark, sf_dir):
-    wide = calibration.held_out_table(specimen_long(spark, sf_dir).where("method = 'ours'"))
+    wide = calibration.held_out_table(specimen_predictions(spark, sf_dir))
     return wide.select("process_id", "holdout_fraction", "split", "predicted_rank", "is_novel", "nearest_family", "true_family",
                        r6("confidence_family").alias("confidence_family"), "correct_family", "correct_species")
 
@@ -372,7 +416,15 @@ def i8(spark, sf_dir):
     return out.select("holdout_fraction", "process_id", r6("confidence").alias("confidence"), "correct")
 
 
-@query("i9_rank_maps")
+@query(
+    "i9_rank_maps",
+    "SELECT t.holdout_fraction, t.process_id, t.rank, round(f.fit, 6) AS confidence FROM s_test t JOIN iso_x x ON t.confidence=x.x AND t.rank=x.rank JOIN iso_fit f ON f.rank=x.rank AND f.i=x.i",
+    iso_x="SELECT rank, confidence AS x, avg(correct) AS y, count(*) AS w, row_number() OVER (PARTITION BY rank ORDER BY confidence) AS i FROM s_test GROUP BY rank, confidence",
+    iso_p="SELECT rank, i, x, sum(w) OVER (PARTITION BY rank ORDER BY i) AS cw, sum(w*y) OVER (PARTITION BY rank ORDER BY i) AS cy, w, w*y AS wy FROM iso_x",
+    iso_ab="SELECT a.rank, a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM iso_p a JOIN iso_p b ON b.rank=a.rank AND b.i>=a.i",
+    iso_min="SELECT rank, a, b, min(m) OVER (PARTITION BY rank, a ORDER BY b DESC) AS m FROM iso_ab",
+    iso_fit="SELECT rank, b AS i, max(m) AS fit FROM iso_min GROUP BY rank, b",
+)
 def i9(spark, sf_dir):
     """Maps fitted per rank, saved as a table, read back and applied."""
     rows = specimen_test(spark, sf_dir)

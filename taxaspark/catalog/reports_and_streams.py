@@ -26,7 +26,7 @@ def j1(spark, sf_dir):
 @query("j2_rebin_saved", "SELECT rank, bin_index, round(conf_low, 6) AS conf_low, round(conf_high, 6) AS conf_high, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 9) AS accuracy, count FROM five", five=bins("s_test", "rank", 5))
 def j2(spark, sf_dir):
     """Saved wide predictions binned again, into five bins."""
-    saved = calibration.held_out_table(specimen_long(spark, sf_dir).where("method = 'ours' AND split = 'test'"))
+    saved = calibration.held_out_table(CL.specimen_predictions(spark, sf_dir).where("split = 'test'"))
     return rounded_bins(calibration.reliability_bins(calibration.unpivot_saved(saved), ["rank"], 5), "rank")
 
 

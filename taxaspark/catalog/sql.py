@@ -89,6 +89,23 @@ def fallback_of(rows: str, dims: int, prefix: str = "", percentile: str = "0.9",
     }
 
 
+def neighbours_of(rows: str, prefix: str) -> dict[str, str]:
+    """Nearest training row, leave-one-out scale and calls over a split table with ``vec``."""
+    p = prefix
+    return {
+        f"{p}pairs": f"SELECT q.holdout_fraction, q.process_id, t.process_id AS nearest_id, list_distance(q.vec, t.vec) AS d FROM {rows} q JOIN {rows} t USING (holdout_fraction) WHERE q.split<>'train' AND t.split='train'",
+        f"{p}nn": f"SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY holdout_fraction, process_id ORDER BY d, nearest_id) rn FROM {p}pairs) WHERE rn=1",
+        f"{p}loo": f"SELECT a.holdout_fraction, a.process_id, min(list_distance(a.vec, b.vec)) AS d FROM {rows} a JOIN {rows} b ON a.holdout_fraction=b.holdout_fraction AND a.process_id<>b.process_id WHERE a.split='train' AND b.split='train' GROUP BY ALL",
+        f"{p}nnscale": f"SELECT holdout_fraction, CASE WHEN median(d)<=1e-12 THEN 1.0 ELSE median(d) END AS scale FROM {p}loo GROUP BY ALL",
+        f"{p}nncall": f"""SELECT q.holdout_fraction, q.split, q.process_id, nearest_id, d, least(1.0, greatest(0.0, exp(-d/scale))) AS confidence, t.species, t.genus, t.family, t."order",
+            q.species AS true_species, q.genus AS true_genus, q.family AS true_family, q."order" AS true_order
+            FROM {p}nn n JOIN {rows} q USING (holdout_fraction, process_id) JOIN {rows} t ON t.holdout_fraction=n.holdout_fraction AND t.process_id=n.nearest_id JOIN {p}nnscale s ON s.holdout_fraction=n.holdout_fraction""",
+        f"{p}nnlong": f"""SELECT 'nearest_neighbor' AS method, holdout_fraction, split, process_id, NULL::VARCHAR AS predicted_rank, NULL::BOOLEAN AS is_novel,
+            unnest({RANK_LIST}) AS rank, unnest([true_species, true_genus, true_family, true_order]) AS truth, unnest([species, genus, family, "order"]) AS call,
+            unnest([species, genus, family, "order"]) AS nearest, confidence FROM {p}nncall""",
+    }
+
+
 def _n(x):
     return "NULL::VARCHAR" if x is None else ('"order"' if x == "order" else x)
 
@@ -134,23 +151,13 @@ BASE: dict[str, str] = {
 for _name, _cte in {
     **splits_of("specimens", prefix="s_"),
     **fallback_of("s_rows", 64, "s_"),
+    **neighbours_of("s_rows", "s_"),
     **splits_of("clean", "[0.5]", prefix="b_"),
     **splits_of("clean", prefix="c_"),
 }.items():
     BASE[_name] = _cte
 
-# nearest neighbour over given vectors
 BASE |= {
-    "s_pairs": "SELECT q.holdout_fraction, q.process_id, t.process_id AS nearest_id, list_distance(q.vec, t.vec) AS d FROM s_rows q JOIN s_rows t USING (holdout_fraction) WHERE q.split<>'train' AND t.split='train'",
-    "s_nn": "SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY holdout_fraction, process_id ORDER BY d, nearest_id) rn FROM s_pairs) WHERE rn=1",
-    "s_loo": "SELECT a.holdout_fraction, a.process_id, min(list_distance(a.vec, b.vec)) AS d FROM s_rows a JOIN s_rows b ON a.holdout_fraction=b.holdout_fraction AND a.process_id<>b.process_id WHERE a.split='train' AND b.split='train' GROUP BY ALL",
-    "s_nnscale": "SELECT holdout_fraction, CASE WHEN median(d)<=1e-12 THEN 1.0 ELSE median(d) END AS scale FROM s_loo GROUP BY ALL",
-    "s_nncall": """SELECT q.holdout_fraction, q.split, q.process_id, nearest_id, d, least(1.0, greatest(0.0, exp(-d/scale))) AS confidence, t.species, t.genus, t.family, t."order",
-        q.species AS true_species, q.genus AS true_genus, q.family AS true_family, q."order" AS true_order
-        FROM s_nn n JOIN s_rows q USING (holdout_fraction, process_id) JOIN s_rows t ON t.holdout_fraction=n.holdout_fraction AND t.process_id=n.nearest_id JOIN s_nnscale s ON s.holdout_fraction=n.holdout_fraction""",
-    "s_nnlong": f"""SELECT 'nearest_neighbor' AS method, holdout_fraction, split, process_id, NULL::VARCHAR AS predicted_rank, NULL::BOOLEAN AS is_novel,
-        unnest({RANK_LIST}) AS rank, unnest([true_species, true_genus, true_family, true_order]) AS truth, unnest([species, genus, family, "order"]) AS call,
-        unnest([species, genus, family, "order"]) AS nearest, confidence FROM s_nncall""",
     "s_preds": "SELECT * FROM s_ours UNION ALL BY NAME SELECT * FROM s_nnlong",
     "s_subsets": "SELECT *, 'all' AS subset FROM s_preds UNION ALL BY NAME SELECT *, 'novel' AS subset FROM s_preds WHERE split='test'",
     "s_correct": "SELECT *, (nearest = truth)::INT AS correct FROM s_ours",

@@ -25,13 +25,20 @@ def correctness(long: DataFrame) -> DataFrame:
     return long.withColumn("correct", (F.col("nearest") == F.col("truth")).cast("int"))
 
 
-def held_out_table(long: DataFrame) -> DataFrame:
-    """One row per query with four columns per rank, as saved for the report panel."""
-    keys = ["process_id", "holdout_fraction", "split", "predicted_rank", "is_novel"]
-    return correctness(long).groupBy(*keys).pivot("rank", list(RANKS)).agg(
-        F.first("nearest").alias("nearest"), F.first("truth").alias("true"),
-        F.first("confidence").alias("confidence"), F.first("correct").alias("correct"),
-    ).select(*keys, *[F.col(f"{r}_{c}").alias(f"{c}_{r}") for r in RANKS for c in ("nearest", "true", "confidence", "correct")])
+def held_out_table(predictions: DataFrame) -> DataFrame:
+    """One row per query with four columns per rank, as saved for the report panel.
+
+    Taken from the wide predictions, which already hold a query on one row: no shuffle.
+    """
+    columns = []
+    for r in RANKS:
+        columns += [
+            F.col("nearest")[r].alias(f"nearest_{r}"),
+            F.col(f"true_{r}"),
+            F.col("confidence")[r].alias(f"confidence_{r}"),
+            (F.col("nearest")[r] == F.col(f"true_{r}")).cast("int").alias(f"correct_{r}"),
+        ]
+    return predictions.select("process_id", "holdout_fraction", "split", "predicted_rank", "is_novel", *columns)
 
 
 def unpivot_saved(saved: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -170,7 +170,12 @@ class KmerPcaModel:
 
     def transform(self, df: DataFrame, seq: str = "sequence", out: str = "vec") -> DataFrame:
         k, mean, components = self.k, self.mean, self.components
-        return _with_vector(df, seq, out, lambda s: (frequency_matrix(s, k) - mean) @ components)
+
+        def encode(column: pa.Array) -> np.ndarray:
+            # Not a BLAS product: a row's sum must not depend on its place in the batch, or copies stop being ties.
+            return np.einsum("ij,jk->ik", frequency_matrix(column, k) - mean, components)
+
+        return _with_vector(df, seq, out, encode)
 
 
 def fit_kmer_pca(train: DataFrame, k: int = 4, n_components: int = 50, seq: str = "sequence") -> KmerPcaModel:

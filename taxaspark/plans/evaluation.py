@@ -172,7 +172,7 @@ def calibration_job(predictions: DataFrame, out: str | None = None, n_bins: int
         "per_holdout": calibration.calibration_error(test, ["holdout_fraction", "rank"], n_bins),
         "recalibrated": remapped,
         "maps": maps,
-        "predictions": calibration.held_out_table(long),
+        "predictions": calibration.held_out_table(predictions),
     }
     if out:
         write_predictions(result["predictions"], f"{out}/heldout_predictions")
