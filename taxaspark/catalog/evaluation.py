@@ -410,7 +410,25 @@ def i7(spark, sf_dir):
     return rows.groupBy("rank").agg(F.count("*").alias("n")).join(table, "rank")
 
 
-@query("i8_leave_one_holdout")
+LOHO = {
+    "l_f": "SELECT DISTINCT holdout_fraction AS f FROM s_test",
+    "l_x": "SELECT rank, f, confidence AS x, avg(correct) AS y, count(*) AS w, row_number() OVER (PARTITION BY rank, f ORDER BY confidence) AS i FROM s_test JOIN l_f ON holdout_fraction<>f GROUP BY rank, f, confidence",
+    "l_p": "SELECT rank, f, i, x, sum(w) OVER (PARTITION BY rank, f ORDER BY i) AS cw, sum(w*y) OVER (PARTITION BY rank, f ORDER BY i) AS cy, w, w*y AS wy FROM l_x",
+    "l_ab": "SELECT a.rank, a.f, a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM l_p a JOIN l_p b ON b.rank=a.rank AND b.f=a.f AND b.i>=a.i",
+    "l_min": "SELECT rank, f, a, b, min(m) OVER (PARTITION BY rank, f, a ORDER BY b DESC) AS m FROM l_ab",
+    "l_fit": "SELECT rank, f, b AS i, max(m) AS fit FROM l_min GROUP BY rank, f, b",
+    "l_pts": "SELECT x.rank, x.f, x.x, t.fit FROM l_x x JOIN l_fit t ON t.rank=x.rank AND t.f=x.f AND t.i=x.i",
+    "l_low": "SELECT t.*, p.x AS x0, p.fit AS y0 FROM s_test t ASOF LEFT JOIN l_pts p ON t.rank=p.rank AND t.holdout_fraction=p.f AND t.confidence>=p.x",
+    "l_both": "SELECT t.*, p.x AS x1, p.fit AS y1 FROM l_low t ASOF LEFT JOIN l_pts p ON t.rank=p.rank AND t.holdout_fraction=p.f AND t.confidence<=p.x",
+    "l_new": "SELECT holdout_fraction, process_id, rank, correct, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x1=x0 THEN y0 ELSE y0+(y1-y0)*(confidence-x0)/(x1-x0) END AS confidence FROM l_both",
+    "l_bad": "SELECT rank FROM s_ece WHERE ece > 0.1",
+    "l_mix": "SELECT rank, correct, confidence FROM l_new SEMI JOIN l_bad USING (rank) UNION ALL SELECT rank, correct, confidence FROM s_test ANTI JOIN l_bad USING (rank)",
+    "l_bins": bins("l_mix", "rank"),
+    "l_ece": "SELECT rank, sum(count*abs(accuracy-mean_confidence))/sum(count) AS ece FROM l_bins WHERE count > 0 GROUP BY ALL",
+}
+
+
+@query("i8_leave_one_holdout", "SELECT holdout_fraction, process_id, round(confidence, 6) AS confidence, correct FROM l_new WHERE rank='family'", **LOHO)
 def i8(spark, sf_dir):
     out = calibration.leave_one_holdout(specimen_test(spark, sf_dir).where("rank = 'family'"))
     return out.select("holdout_fraction", "process_id", r6("confidence").alias("confidence"), "correct")
@@ -443,12 +461,17 @@ def calibrated(spark, sf_dir):
     return shared(spark, sf_dir, "calibrated", lambda: E.calibration_job(specimen_predictions(spark, sf_dir), scratch(spark, "calibration")))
 
 
-@query("i11_calibration_job")
+@query(
+    "i11_calibration_job",
+    """SELECT s.rank, s.n, round(s.ece, 6) AS raw_ece, round(l.ece, 6) AS new_ece, CASE WHEN (SELECT max(ece) FROM l_ece) > 0.1 THEN 'fail_after_recalibrate' ELSE 'pass_after_recalibrate' END AS decision
+    FROM s_ece s JOIN l_ece l USING (rank)""",
+    **LOHO,
+)
 def i11(spark, sf_dir):
     """Raw and recalibrated error per rank with the job's decision."""
     job = calibrated(spark, sf_dir)
-    raw = job["raw"].select("rank", "n", F.col("ece").alias("raw_ece")).distinct()
+    raw = job["raw"].select("rank", "n", r6("ece").alias("raw_ece")).distinct()
     fixed = job["recalibrated"]
     if fixed is None:
         return raw.withColumns({"new_ece": F.lit(None).cast("double"), "decision": F.lit(job["decision"])})
-    return raw.join(fixed.select("rank", F.col("ece").alias("new_ece")).distinct(), "rank").withColumn("decision", F.lit(job["decision"]))
+    return raw.join(fixed.select("rank", r6("ece").alias("new_ece")).distinct(), "rank").withColumn("decision", F.lit(job["decision"]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taxaspark import RANKS
 from taxaspark.catalog import classification as CL
-from taxaspark.catalog.evaluation import _CURVE, KEYS, calibrated, rounded_bins, specimen_long, specimen_test
+from taxaspark.catalog.evaluation import _CURVE, KEYS, LOHO, calibrated, rounded_bins, specimen_long, specimen_test
 from taxaspark.catalog.registry import query, r6, r9, scratch
 from taxaspark.catalog.sql import bins
 from taxaspark.catalog.tables_and_cleaning import RECORD_SQL, landed, records
@@ -30,7 +30,7 @@ def j2(spark, sf_dir):
     return rounded_bins(calibration.reliability_bins(calibration.unpivot_saved(saved), ["rank"], 5), "rank")
 
 
-@query("j3_preferred_reports")
+@query("j3_preferred_reports", "SELECT rank, bin_index, count, round(ece, 6) AS ece FROM l_bins JOIN l_ece USING (rank)", **LOHO)
 def j3(spark, sf_dir):
     job = calibrated(spark, sf_dir)
     raw = job["raw"]
