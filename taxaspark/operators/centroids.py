@@ -15,7 +15,7 @@ from taxaspark import RANKS
 from taxaspark.operators.cells import cell_join
 from taxaspark.operators.nearest import LABEL_COLUMNS, direct_distance, floats, haversine_matrix, label_count, matrix
 from taxaspark.operators.quantiles import BINS, refine_quantile
-from taxaspark.session import fits_broadcast, stage
+from taxaspark.session import fits_broadcast, stage, task_count
 
 _PAIR_CHUNK = 500_000
 
@@ -152,7 +152,7 @@ def centroid_spacing(centroids: DataFrame, broadcast_bytes: int | None = None) -
     small = fits_broadcast(rows, row_bytes, **limit)
     shared = spark.sparkContext.broadcast(slim.toArrow()) if small else None
     # A scan task takes an even share of the label rows; the triangle is balanced by hashing.
-    spread = slim.repartition("label", "rank", "holdout_fraction") if small else slim
+    spread = slim.repartition(task_count(spark), "label", "rank", "holdout_fraction") if small else slim
 
     def histogram(brackets: dict) -> dict:
         if small:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from taxaspark import METHODS, RANKS
 from taxaspark.operators.splits import evaluation_subsets
-from taxaspark.session import stage
+from taxaspark.session import stage, task_count
 
 
 def share(condition: Column) -> Column:
@@ -80,10 +80,11 @@ def _outcome_counts(long: DataFrame, keys: list[str]) -> DataFrame:
 
 def _hashed_replicates(counts: DataFrame, keys: list[str], n_bootstrap: int, seed: int) -> DataFrame:
     """One uniform per (method, replicate, draw): a draw is right, wrong or unanswered by its share."""
-    stream = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))))
+    prefix = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"))
+    stream = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn("prefix", prefix)
     # Spread replicates over tasks before unrolling the draws.
-    stream = stream.repartition(*keys, "rep").withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.col("draw").cast("string")))
+    stream = stream.repartition(task_count(counts.sparkSession), *keys, "rep").withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    digest = F.md5(F.concat_ws("|", "prefix", F.col("draw").cast("string")))
     u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32)) * F.col("n")
     hit = stream.select(*keys, "n", "rep", u.alias("u"), "n_right", "n_wrong")
     return hit.groupBy(*keys, "n", "rep").agg(
@@ -108,7 +109,7 @@ def _multinomial_replicates(counts: DataFrame, keys: list[str], n_bootstrap: int
                 yield out.assign(rep=list(reps), right=got[:, 0], answered=got[:, 0] + got[:, 1])[names]
 
     schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in [*keys, "n"])
-    return blocks.repartition(*keys, "block").mapInPandas(draw, f"{schema}, rep int, right bigint, answered bigint")
+    return blocks.repartition(task_count(counts.sparkSession), *keys, "block").mapInPandas(draw, f"{schema}, rep int, right bigint, answered bigint")
 
 
 def bootstrap_intervals(long: DataFrame, keys: list[str], n_bootstrap: int = 1000, level: float = 0.95, seed: int = 42,

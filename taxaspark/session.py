@@ -62,5 +62,10 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for small inputs with costly rows; a plain repartition of them would be coalesced away."""
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def fits_broadcast(rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     return rows * row_bytes <= limit
