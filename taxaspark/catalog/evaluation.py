@@ -393,11 +393,21 @@ def i5(spark, sf_dir):
     return rows.select("holdout_fraction", "process_id", r6(fitted.column(F.col("confidence"))).alias("confidence"))
 
 
-@query("i6_platt_map")
+_NEWTON = """SELECT t.holdout_fraction, t.process_id, round(1/(1+exp(-(f.a*t.confidence+f.b))), 4) AS confidence FROM s_test t, (
+    WITH RECURSIVE n(k, a, b) AS (
+        SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+        UNION ALL
+        SELECT k+1, a-(h22*g1-h12*g2)/(h11*h22-h12*h12), b-(h11*g2-h12*g1)/(h11*h22-h12*h12) FROM (
+            SELECT k, a, b, sum((p-y)*x)+a AS g1, sum(p-y) AS g2, sum(p*(1-p)*x*x)+1 AS h11, sum(p*(1-p)*x) AS h12, sum(p*(1-p)) AS h22
+            FROM (SELECT n.*, d.confidence AS x, d.correct AS y, 1/(1+exp(-(n.a*d.confidence+n.b))) AS p FROM n, s_test d WHERE d.rank='family' AND n.k < 30) GROUP BY k, a, b))
+    SELECT a, b FROM n WHERE k=30) f WHERE t.rank='family'"""
+
+
+@query("i6_platt_map", _NEWTON)
 def i6(spark, sf_dir):
     rows = specimen_test(spark, sf_dir).where("rank = 'family'")
     fitted = calibration.fit_map(rows, "platt")
-    return rows.select("holdout_fraction", "process_id", r6(fitted.column(F.col("confidence"))).alias("confidence"))
+    return rows.select("holdout_fraction", "process_id", r6(fitted.column(F.col("confidence")), 4).alias("confidence"))
 
 
 @query("i7_constant_map", "SELECT rank, avg(correct) AS constant, count(*) AS n FROM s_test GROUP BY rank HAVING min(correct)=max(correct)")
