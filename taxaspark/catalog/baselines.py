@@ -21,7 +21,7 @@ def barcode_split(spark, sf_dir):
 
     def build():
         rows = cleaned_barcodes(spark, sf_dir)
-        return stage(E.split_table(rows, P.make_splits(rows, (0.5,))), "barcode-split")
+        return stage(P.assign_roles(rows, (0.5,)).withColumnRenamed("role", "split"), "barcode-split")
 
     return shared(spark, sf_dir, "barcode-split", build)
 

@@ -26,7 +26,7 @@ def specimen_rows(spark, sf_dir):
 
     def build():
         rows = D.specimens(spark, sf_dir)
-        return stage(E.split_table(rows, P.make_splits(rows)), "specimen-rows")
+        return stage(P.assign_roles(rows).withColumnRenamed("role", "split"), "specimen-rows")
 
     return shared(spark, sf_dir, "specimen-rows", build)
 
@@ -314,8 +314,8 @@ def barcode_vectors(spark, sf_dir):
 
     def build():
         rows = cleaned_barcodes(spark, sf_dir)
-        splits = P.make_splits(rows, val_fraction=0.5)
-        return stage(kmer_vectors(E.split_table(rows, splits), 2), "barcode-vectors")
+        split = P.assign_roles(rows, val_fraction=0.5).withColumnRenamed("role", "split")
+        return stage(kmer_vectors(split, 2), "barcode-vectors")
 
     return shared(spark, sf_dir, "barcode-vectors", build)
 

@@ -56,20 +56,37 @@ def hash_rank(df: DataFrame, keys: list[str], seed: int, ids: list[str], name: s
     return ranked.withColumn(f"{name}_of", F.col("_total")).drop("_hash", "_bucket", "_start", "_end", "_total")
 
 
+def _cuts(rows: DataFrame, keys: list[str], quota) -> DataFrame:
+    """One row per group: the bucket its quota ends in, and how many rows of that bucket belong."""
+    spans = _spans(rows, keys).withColumn("_quota", quota(F.col("_total")))
+    reached = F.when(F.col("_end") >= F.col("_quota"), F.struct("_bucket", (F.col("_quota") - F.col("_start")).alias("left")))
+    found = spans.groupBy(*keys).agg(F.max("_quota").alias("_quota"), F.min(reached).alias("_at"))
+    # Below any hash prefix when nothing is wanted, above all of them when everything is.
+    bucket = F.when(F.col("_quota") <= 0, F.lit("")).otherwise(F.coalesce("_at._bucket", F.lit("~")))
+    return found.select(*keys, bucket.alias("_cut"), F.coalesce("_at.left", F.lit(0)).alias("_left"))
+
+
 def hash_take(df: DataFrame, keys: list[str], seed: int, ids: list[str], quota) -> DataFrame:
     """Flag ``taken`` the first ``quota(total)`` rows of each group in hash order.
 
-    A bucket that lies wholly inside or outside the quota needs no ranking. Only the one
-    bucket per group that the quota cuts is sorted.
+    The cut is one row per group, written out so that its size is known: while it is small the
+    rows are not shuffled at all. Only the bucket a quota ends in is sorted.
     """
-    spanned = _with_spans(df, keys, seed, ids).withColumn("_quota", quota(F.col("_total")))
-    cut = (F.col("_start") < F.col("_quota")) & (F.col("_end") > F.col("_quota"))
+    rows = _bucketed(df, seed, ids)
+    cuts = stage(_cuts(rows, keys, quota), "cuts")
+    if keys:
+        match = None
+        for k in keys:
+            same = F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}"))
+            match = same if match is None else match & same
+        placed = rows.alias("r").join(cuts.alias("c"), match).select("r.*", "c._cut", "c._left")
+    else:
+        only = cuts.first()  # a single row, none for an empty table
+        placed = rows.withColumns({"_cut": F.lit(only[0] if only else ""), "_left": F.lit(only[1] if only else 0)})
     within = Window.partitionBy(*[F.col(k) for k in keys], F.col("_bucket")).orderBy("_hash", *ids)
-    whole = spanned.where(~cut).withColumn("taken", F.col("_end") <= F.col("_quota"))
-    border = spanned.where(cut).withColumn(
-        "taken", F.col("_start") + F.row_number().over(within) <= F.col("_quota")
-    )
-    return whole.unionByName(border).drop("_hash", "_bucket", "_start", "_end", "_total", "_quota")
+    whole = placed.where(F.col("_bucket") != F.col("_cut")).withColumn("taken", F.col("_bucket") < F.col("_cut"))
+    border = placed.where(F.col("_bucket") == F.col("_cut")).withColumn("taken", F.row_number().over(within) <= F.col("_left"))
+    return whole.unionByName(border).drop("_hash", "_bucket", "_cut", "_left")
 
 
 def with_fractions(df: DataFrame, fractions=FRACTIONS) -> DataFrame:
@@ -109,15 +126,24 @@ def validation_sample(seen: DataFrame, val_fraction: float = VAL_FRACTION, seed:
     return hash_take(seen, ["holdout_fraction", "species", *(also_by or [])], seed, ["process_id"], quota)
 
 
+def assign_roles(df: DataFrame, fractions=FRACTIONS, seed: int = SEED, val_fraction: float = VAL_FRACTION,
+                 unit: str = "genus") -> DataFrame:
+    """Every row once per fraction with its ``role``: held-out genera test, the rest train or val.
+
+    The rows meet small tables only (genus list, bucket spans), so they are not shuffled by id.
+    """
+    held = stage(held_out_genera(df, fractions, seed, unit), "held-out")  # a genus list
+    marked = mark_held_out(with_fractions(df, fractions), held)
+    sampled = validation_sample(marked, val_fraction, seed, ["held"])
+    role = F.when(F.col("held"), "test").when(F.col("taken"), "val").otherwise("train")
+    return sampled.withColumn("role", role).drop("held", "taken")
+
+
 def make_splits(df: DataFrame, fractions=FRACTIONS, seed: int = SEED, val_fraction: float = VAL_FRACTION,
                 unit: str = "genus") -> DataFrame:
-    """(holdout_fraction, process_id, role): held-out genera test, the rest train or val."""
+    """(holdout_fraction, process_id, role): the split table that is saved and read back."""
     rows = df.select("process_id", "species", "genus")
-    held = stage(held_out_genera(rows, fractions, seed, unit), "held-out")  # a genus list
-    marked = mark_held_out(with_fractions(rows, fractions), held)
-    sampled = validation_sample(marked, val_fraction, seed, ["held"])
-    role = F.when(F.col("held"), "test").when(F.col("taken"), "val").otherwise("train")
-    return sampled.select("holdout_fraction", "process_id", role.alias("role"))
+    return assign_roles(rows, fractions, seed, val_fraction, unit).select("holdout_fraction", "process_id", "role")
 
 
 def split_metadata(df: DataFrame, splits: DataFrame, fractions=FRACTIONS, seed: int = SEED,
