@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from taxaspark import RANKS
 from taxaspark.catalog import classification as CL
