@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaspark.llm import chat, mixing, packing, secrets
+from taxaspark.llm import chat, langid, mixing, ngram_join, packing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,12 +74,50 @@ def op3(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(secrets.spans_digest(base), 256).alias("base_sha256"), secrets.spans_digest(F.col("found")).alias("spans"))
 
 
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = langid.fit(docs, ~held_out)
+    said = docs.select("doc_id", held_out.alias("held_out"), langid.predict(model, "text").alias("said"))
+    return said.select("doc_id", "held_out", F.col("said.lang").alias("lang_pred"), F.col("said.score").alias("score"))
+
+
 @query("op6_harmonic_packing")
 def op6(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_json())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+NGRAM_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM words),
+classes AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT id, n, unnest(s) AS item FROM classes),
+ranked AS (SELECT id, n, item, row_number() OVER (PARTITION BY id ORDER BY freq, item) AS place
+  FROM items JOIN (SELECT item, count(*) AS freq FROM items GROUP BY item) USING (item)),
+prefixes AS (SELECT * FROM ranked WHERE place <= n - (9 * n + 9) // 10 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefixes a JOIN prefixes b ON a.item = b.item AND a.id < b.id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
+links AS (SELECT p.a, p.b FROM pairs p JOIN classes x ON x.id = p.a JOIN classes y ON y.id = p.b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 90 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+named AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(n.component_id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN named n ON n.id = c.id
+"""
+
+
+@query("op7_ngram_join", NGRAM_SQL)
+def op7(spark, sf_dir):
+    groups = ngram_join.linked_groups(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+    return groups.select("doc_id", "n_shingles", F.col("group").alias("component_id"))
+
+
 CHAT_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -117,5 +155,13 @@ def op9(spark, sf_dir):
     return one.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+@query("op10_quality")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    score, threshold = quality.judge(docs, table(spark, sf_dir, "labels"))
+    judged = docs.select("doc_id", "lang", score.alias("log_perplexity"), threshold.alias("threshold"))
+    return judged.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(False)))
+
+
 def load():
     return QUERIES, ORACLES
