@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxaspark.llm.rows import components
+from taxaspark.llm.rows import cells, components, group_edges, whole_groups
 from taxaspark.llm.shingles import Shingler, mixed, set_digest
 from taxaspark.session import stage
 
@@ -20,6 +20,7 @@ CELL_ROWS = 2048
 # Exact copies a task remembers, so that it sends their keys once.
 _SEEN = 200_000
 _FILTER_BITS = 26
+_CELL = ["bucket", "band", "i", "j"]
 _BAND_MIX, _BLOCK_MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -234,31 +235,16 @@ def open_pairs(rows: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
     Large buckets are cut into parts, and each pair of parts is one cell, so no task holds more than two parts.
     """
-    sized = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    cut = rows.join(sized.select("bucket", F.ceil(F.col("size") / CELL_ROWS).cast("int").alias("parts")), "bucket")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    cells = cut.select("bucket", "rid", "label", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("bucket", "rid", "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    cut = cells(rows.join(apart.select("bucket"), "bucket"), ["bucket"], "rid", CELL_ROWS)
     banded = sets.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "n", "s.band", folded("s.words", bands).alias("words"))
-    cells = cells.join(banded, "rid").select("bucket", "band", "i", "j", "part", "rid", "label", "n", "words")
-    order = ["bucket", "band", "i", "j"]
+    cut = cut.join(banded, "rid").select(*_CELL, "part", "rid", "label", "n", "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            frame = batch.to_pandas()
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if frame.empty:
-                continue
-            same = (frame[order].to_numpy() == frame[order].to_numpy()[-1]).all(axis=1)
-            start = len(frame) - int(np.argmin(same[::-1])) if not same.all() else 0
-            rest = frame.iloc[start:]
-            yield _pairs_batch(frame.iloc[:start], order, bands)
-        if rest is not None:
-            yield _pairs_batch(rest, order, bands)
+        for frame in whole_groups(batches, _CELL):
+            yield _pairs_batch(frame, bands)
 
-    cells = cells.repartition(*order).sortWithinPartitions(*order)
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    return cut.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(compare, "a long, b long").distinct()
 
 
 def folded(words: str, bands: Bands) -> Column:
@@ -270,22 +256,21 @@ def folded(words: str, bands: Bands) -> Column:
     return F.transform(F.sequence(F.lit(0), keep - 1), lambda i: F.aggregate(F.filter(words, lambda _, at: at % keep == i), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
 
 
-def _pairs_batch(frame: pd.DataFrame, order: list[str], bands: Bands) -> pa.RecordBatch:
+def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     if len(frame):
         rids, labels, sizes, parts = (frame[c].to_numpy(np.int64) for c in ("rid", "label", "n", "part"))
-        groups = frame[order].to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], (groups[1:] != groups[:-1]).any(axis=1), [True])))
+        whole = (frame["i"] == frame["j"]).to_numpy()
+        edges = group_edges(frame, _CELL)
         words = frame["words"].to_numpy()
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
                 continue
             sketch = np.stack(words[lo:hi]).view(np.uint64)
-            alone = groups[lo][2] == groups[lo][3]
             for x in range(lo, hi - 1):
                 flips = np.bitwise_count(sketch[x - lo + 1 :] ^ sketch[x - lo]).sum(axis=1)
                 near = (labels[x + 1 : hi] != labels[x]) & (flips * (bands.den + bands.num) <= (sizes[x + 1 : hi] + sizes[x]) * (bands.den - bands.num))
-                if not alone:
+                if not whole[lo]:
                     near &= parts[x + 1 : hi] != parts[x]
                 found = rids[x + 1 : hi][near]
                 if len(found):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaspark.llm import chat, langid, mixing, ngram_join, packing, quality, secrets
+from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, quality, secrets, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,23 @@ def op3(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(secrets.spans_digest(base), 256).alias("base_sha256"), secrets.spans_digest(F.col("found")).alias("spans"))
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named
+"""
+
+
+@query("op4_embedding_dups", EMBEDDING_SQL)
+def op4(spark, sf_dir):
+    found = embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
 @query("op5_language_id")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -118,6 +135,12 @@ def op7(spark, sf_dir):
     return groups.select("doc_id", "n_shingles", F.col("group").alias("component_id"))
 
 
+@query("op8_tree_search")
+def op8(spark, sf_dir):
+    found = tree_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query").alias("query_id"), "rank", "vec_id", "score")
+
+
 CHAT_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

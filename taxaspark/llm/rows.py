@@ -1,7 +1,12 @@
-"""Row positions without a single-task sort, and connected components."""
+"""Row positions without a single-task sort, connected components, and large groups in bounded cells."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +60,36 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def _written(df: DataFrame):
     df = stage(df, "stars")
     return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], order: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted batches → frames that hold all rows of every group in them; the last group waits for the next batch."""
+    rest = None
+    for batch in batches:
+        frame = batch.to_pandas()
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if frame.empty:
+            continue
+        same = (frame[order] == frame[order].iloc[-1]).all(axis=1).to_numpy()
+        start = 0 if same.all() else len(frame) - int(np.argmin(same[::-1]))
+        rest = frame.iloc[start:]
+        if start:
+            yield frame.iloc[:start]
+    if rest is not None:
+        yield rest
+
+
+def group_edges(frame: pd.DataFrame, order: list[str]) -> np.ndarray:
+    """Where groups of a sorted frame begin, and its length."""
+    return np.flatnonzero(np.concatenate(([True], (frame[order].iloc[1:].to_numpy() != frame[order].iloc[:-1].to_numpy()).any(axis=1), [True])))
+
+
+def cells(df: DataFrame, group: list[str], by: str, rows: int) -> DataFrame:
+    """Cut groups of more than ``rows`` rows by a hash of ``by`` into parts; each pair of parts (i <= j) is a cell.
+
+    Adds part, i and j, a row once for each cell it is in; every pair of rows meets in one cell, or in (i, i).
+    """
+    sizes = df.groupBy(*group).agg((F.floor((F.count("*") - 1) / rows) + 1).cast("int").alias("parts"))
+    cut = df.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cut.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
