@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm.rows import cells, components, group_edges, whole_groups
-from taxaspark.llm.shingles import Shingler, mixed, set_digest
+from taxaspark.llm.shingles import mixed, set_digest, shingles
 from taxaspark.session import stage
 
 #: Rows of one bucket that are compared in one go; a larger bucket is cut into pairs of such parts.
@@ -29,8 +30,9 @@ class Bands:
     """Sizes in bands, each with a sketch of its own width, for pairs with Jaccard similarity of ``num / den`` or more.
 
     Such sets of a and b shingles differ in at most (den - num) / (den + num) * (a + b). A band's sketch has one
-    block of 64 bits more than two sets of its largest size may differ, and every shingle flips one bit of one
-    block: the blocks of two sketches that differ are no more than the shingles that do, so one at least is equal.
+    block of 64 bits more than two sets of its largest size may differ, plus some spare ones, and every shingle
+    flips one bit of one block: the blocks of two sketches that differ are no more than the shingles that do, so
+    more blocks than the spare ones are equal.
     """
 
     num: int
@@ -42,16 +44,16 @@ class Bands:
         return -(-self.num // (self.den - self.num))
 
     def edge(self, band: int) -> int:
-        size = self.least
-        for _ in range(band):
-            size = max(size + 1, size * 3 // 2)
-        return size
+        return _edge(self.least, band)
 
     def differ(self, total: int) -> int:
         return (self.den - self.num) * total // (self.den + self.num)
 
+    def spare(self, band: int) -> int:
+        return 1 + 3 * (self.den - self.num) * (self.differ(2 * (self.edge(band + 1) - 1)) + 1) // (self.den + self.num)
+
     def blocks(self, band: int) -> int:
-        return self.differ(2 * (self.edge(band + 1) - 1)) + 1
+        return self.differ(2 * (self.edge(band + 1) - 1)) + 1 + self.spare(band)
 
     def of(self, size: int) -> list[int]:
         """A set's own band, and the next one if it can be linked to a set of that."""
@@ -62,17 +64,42 @@ class Bands:
             band += 1
         return [band, band + 1] if self.den * size >= self.num * self.edge(band + 1) else [band]
 
-    def sketch(self, shingles: np.ndarray, band: int) -> np.ndarray:
+    def sketch(self, found: np.ndarray, band: int) -> np.ndarray:
         blocks = self.blocks(band)
-        bit = ((shingles >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(64) + (shingles & np.uint64(63))
+        bit = ((found >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(64) + (found & np.uint64(63))
         flips = np.bincount(bit.astype(np.int64), minlength=blocks * 64) & 1
         return np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
 
 
-def keys(sketch: np.ndarray, band: int) -> np.ndarray:
-    """A join key for each block: band, place and bits."""
+@lru_cache(maxsize=1000)
+def _edge(least: int, band: int) -> int:
+    """Half as much again from band to band, so that a set can only be linked into the next one."""
+    if not band:
+        return least
+    size = _edge(least, band - 1)
+    return max(size + 1, size * 3 // 2)
+
+
+def keys(sketch: np.ndarray, band: int, spare: int) -> np.ndarray:
+    """Join keys of a sketch's blocks: band, place and bits.
+
+    Blocks with few bits are equal by chance, so those with fewer bits than the block of rank ``spare`` are left out,
+    which are ``spare`` at most. Of two linked sets, the one with the higher limit has an equal block above it, and
+    that block is above the other's limit too: both have its key.
+    """
+    bits = np.bitwise_count(sketch)
     place = np.arange(1, len(sketch) + 1, dtype=np.uint64) * np.uint64(_BLOCK_MIX)
-    return mixed(sketch ^ place ^ np.uint64((band + 1) * _BAND_MIX & 0xFFFFFFFFFFFFFFFF))
+    made = mixed(sketch ^ place ^ np.uint64((band + 1) * _BAND_MIX & 0xFFFFFFFFFFFFFFFF))
+    return made[bits >= np.partition(bits, spare)[spare]]
+
+
+def folded(sketch: np.ndarray, bands: Bands) -> np.ndarray:
+    """A sketch with every so many blocks laid on one another: about two bits for each shingle stay, and it still
+    differs in no more bits than shingles do."""
+    keep = min(len(sketch), max(4, -(-len(sketch) * (bands.den + bands.num) // (64 * (bands.den - bands.num)))))
+    padded = np.zeros(-(-len(sketch) // keep) * keep, dtype=np.uint64)
+    padded[: len(sketch)] = sketch
+    return np.bitwise_xor.reduce(padded.reshape(-1, keep), axis=0)
 
 
 def _short(digest: bytes) -> int:
@@ -85,11 +112,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     schema = narrow.select("key").schema.add("n", "long").add("digest", "binary").add("rid", "long")
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
         for batch in batches:
             sizes, digests = [], []
             for value in batch.column(1):
-                s = shingler(value.as_py())
+                s = shingles(value.as_py(), words)
                 sizes.append(len(s))
                 digests.append(set_digest(s) if len(s) else None)
             rids = pa.array([None if d is None else _short(d) for d in digests], pa.int64())
@@ -102,7 +128,7 @@ def bucket_keys(docs: DataFrame, text: str, words: int, bands: Bands) -> DataFra
     """(bucket, rid) for every block of every sketch; a task sends those of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        seen = set()
 
         def made(found, rids):
             counts = [len(k) for k in found]
@@ -113,14 +139,14 @@ def bucket_keys(docs: DataFrame, text: str, words: int, bands: Bands) -> DataFra
         for batch in batches:
             found, rids, held = [], [], 0
             for value in batch.column(0):
-                s = shingler(value.as_py())
+                s = shingles(value.as_py(), words)
                 if len(s) < bands.least or (digest := set_digest(s)) in seen:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(digest)
                 for band in bands.of(len(s)):
-                    found.append(keys(bands.sketch(s, band), band))
+                    found.append(keys(bands.sketch(s, band), band, bands.spare(band)))
                     rids.append(_short(digest))
                     held += len(found[-1])
                 if held > 500_000:
@@ -179,11 +205,11 @@ def wanted_sets(docs: DataFrame, text: str, words: int, bands: Bands, rids: Data
     table = docs.sparkSession.sparkContext.broadcast(_wanted(rids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, bits = Shingler(words), set(), table.value
+        seen, bits = set(), table.value
         for batch in batches:
             rows, held = [], 0
             for value in batch.column(0):
-                s = shingler(value.as_py())
+                s = shingles(value.as_py(), words)
                 if len(s) < bands.least or (digest := set_digest(s)) in seen:
                     continue
                 rid = _short(digest)
@@ -193,7 +219,8 @@ def wanted_sets(docs: DataFrame, text: str, words: int, bands: Bands, rids: Data
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(digest)
-                rows.append((digest, rid, len(s), s.view(np.int64), [{"band": b, "words": bands.sketch(s, b).view(np.int64)} for b in bands.of(len(s))]))
+                sketches = [(b, bands.sketch(s, b)) for b in bands.of(len(s))]
+                rows.append((digest, rid, len(s), s.view(np.int64), [{"band": b, "words": w.view(np.int64), "fold": folded(w, bands).view(np.int64)} for b, w in sketches]))
                 held += 16 * len(s)
                 if held > 16 << 20:
                     yield _sets_batch(rows)
@@ -201,15 +228,15 @@ def wanted_sets(docs: DataFrame, text: str, words: int, bands: Bands, rids: Data
             if rows:
                 yield _sets_batch(rows)
 
-    made = docs.select(text).mapInArrow(run, "digest binary, rid long, n long, shingles array<long>, sketches array<struct<band:int,words:array<long>>>")
+    made = docs.select(text).mapInArrow(run, "digest binary, rid long, n long, shingles array<long>, sketches array<struct<band:int,words:array<long>,fold:array<long>>>")
     return made.join(rids, "rid", "left_semi").dropDuplicates(["digest"])
 
 
 def _sets_batch(rows: list) -> pa.RecordBatch:
-    digest, rid, n, shingles, sketches = zip(*rows, strict=True)
-    sketch = pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))])
+    digest, rid, n, sets, sketches = zip(*rows, strict=True)
+    sketch = pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64())), ("fold", pa.list_(pa.int64()))])
     return pa.RecordBatch.from_arrays(
-        [pa.array(digest, pa.binary()), pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(shingles, pa.list_(pa.int64())), pa.array(sketches, pa.list_(sketch))],
+        [pa.array(digest, pa.binary()), pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(sketch))],
         names=["digest", "rid", "n", "shingles", "sketches"],
     )
 
@@ -237,7 +264,7 @@ def open_pairs(rows: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """
     apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     cut = cells(rows.join(apart.select("bucket"), "bucket"), ["bucket"], "rid", CELL_ROWS)
-    banded = sets.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "n", "s.band", folded("s.words", bands).alias("words"))
+    banded = sets.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "n", "s.band", F.col("s.fold").alias("words"))
     cut = cut.join(banded, "rid").select(*_CELL, "part", "rid", "label", "n", "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,15 +274,6 @@ def open_pairs(rows: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return cut.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(compare, "a long, b long").distinct()
 
 
-def folded(words: str, bands: Bands) -> Column:
-    """A sketch with every so many blocks laid on one another: about two bits for each shingle stay, and it still
-    differs in no more bits than shingles do."""
-    w = F.size(words)
-    keep = F.greatest(F.lit(4), F.ceil(w * (bands.den + bands.num) / (64.0 * (bands.den - bands.num))).cast("int"))
-    keep = F.least(keep, w)
-    return F.transform(F.sequence(F.lit(0), keep - 1), lambda i: F.aggregate(F.filter(words, lambda _, at: at % keep == i), F.lit(0).cast("long"), lambda t, x: t.bitwiseXOR(x)))
-
-
 def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     if len(frame):
