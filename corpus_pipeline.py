@@ -2,14 +2,63 @@
 
 from __future__ import annotations
 
-import os
 from functools import lru_cache
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from taxaspark.llm import mixing, ngram_join, packing, quality, secrets
+from taxaspark.session import stage
 
-@lru_cache(maxsize=1)
+
+@lru_cache(maxsize=4)
 def tokenizer_json(path: str = public_tokenizers.path("word_bpe_49k.json")) -> str:
     """Read on the driver; a few MB that go to the tasks."""
-    with open(os.fspath(path), encoding="utf-8") as f:
+    with open(path, encoding="utf-8") as f:
         return f.read()
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under trusted text is within their language's threshold."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    return ngram_join.keep_one(docs, words=5, num=8, den=10)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets masked; n_chars counts the text that is left."""
+    masked = secrets.mask_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents repeated or left out."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with their ids."""
+    return packing.pack(docs, tokenizer_json())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+# Perplexities and tokens are beyond SQL; tests/llm compares every stage with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return docs

@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.llm.rows import cells, components, group_edges, whole_groups
@@ -329,3 +329,14 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     names = named.where("root is not null").groupBy("root").agg(F.min("key").alias("group"))
     named = named.join(names, "root", "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("group")).alias("group"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of ``linked_groups``, that with the smallest key; columns stay as they
+    are. Of rows with the same key and text one stays. Documents without a shingle all stay."""
+    groups = linked_groups(docs, key, text, **options)
+    first = groups.where(F.col(key).eqNullSafe(F.col("group"))).select(F.col(key).alias("first")).distinct()
+    held = docs.select(docs[key].alias("k"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    held = held.join(first, F.col("k").eqNullSafe(F.col("first")), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("k", f"doc.`{text}`").orderBy(F.lit(0)))
+    return held.withColumn("turn", turn).where("turn = 1").select("doc.*")

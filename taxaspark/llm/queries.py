@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, quality, secrets, tree_search
+from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pii, quality, secrets, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,12 @@ SELECT doc_id, size, source_size, target,
 """
 
 
+@query("op1_pii_surrogates")
+def op1(spark, sf_dir):
+    made = pii.with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), secret="corpus")
+    return made.select("doc.doc_id", "doc.text", F.size("kinds").cast("long").alias("n_entities"), F.array_join("kinds", ",").alias("kinds"))
+
+
 @query("op2_mix_sources", MIXING_SQL)
 def op2(spark, sf_dir):
     rows = mixing.sized(table(spark, sf_dir, "documents"), "doc_id")
@@ -186,5 +192,10 @@ def op10(spark, sf_dir):
     return judged.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(False)))
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def load():
     return QUERIES, ORACLES
