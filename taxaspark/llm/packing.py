@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,35 +14,78 @@ from pyspark.sql import types as T
 
 CAPACITY = 4096
 # Distinct words whose ids a worker remembers before it starts over.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 FLUSH_BYTES = 8 << 20
+# Letters that are composed and lower case already, then ASCII signs; no "<", with which special tokens begin.
+_SIMPLE_WORD = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]+)([!-/:;=-@\[-`{-~]*)")
+# Byte-level vocabularies write each byte as a printable character: Latin-1 ones as themselves, the rest from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its words in order;
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its words in order, and
     each distinct word is encoded once. Only blank and line feed split, which is safe for any further white space.
+    A word of Latin letters with signs behind it, which is most of them, is two units to the tokenizer whatever
+    follows: the letters go to its model directly, the signs are looked up. All other words take the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._ids: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._letters: dict[str, bytes] = {}
+        self._signs: dict[str, bytes] = {}
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         try:
-            return b"".join([self._ids[w] for w in words])
+            return b"".join([self._words[w] for w in words])
         except KeyError:
-            known = self._ids if len(self._ids) < CACHED_WORDS else {}
-            self._ids = known
-            missing = list({w for w in words if w not in known})
-            for word, got in zip(missing, self._tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(got.ids, dtype="<u4").tobytes()
+            if len(self._words) > CACHED_WORDS:
+                self._words = {}
+            if len(self._letters) > CACHED_WORDS:
+                self._letters = {}
+            known = self._words
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
             return b"".join([known[w] for w in words])
 
+    def _word(self, word: str) -> bytes:
+        simple = _SIMPLE_WORD.fullmatch(word.lower())
+        if not simple:
+            return self._whole(word)
+        letters, signs = simple.groups()
+        ids = self._letters.get(letters)
+        if ids is None:
+            units = letters if letters.isascii() else "".join([_BYTE_LETTERS[b] for b in letters.encode()])
+            ids = self._letters[letters] = np.asarray([t.id for t in self._tokenizer.model.tokenize(units)], dtype="<u4").tobytes()
+        if not signs:
+            return ids
+        if signs not in self._signs:
+            if len(self._signs) > CACHED_WORDS:
+                self._signs = {}
+            self._signs[signs] = self._whole(signs)
+        return ids + self._signs[signs]
+
+    def _whole(self, word: str) -> bytes:
+        return np.asarray(self._tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_json: str) -> WordEncoder:
+    """One per worker process, which keeps what it knows from task to task."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
 
 def cut_points(tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full sequences, then falling reciprocals capacity / 2^j of it.
@@ -108,7 +152,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 2, capacity: int =
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer_json)
+        encode = encoder(tokenizer_json)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 40)
         out, held, kind = [], 0, None
 
