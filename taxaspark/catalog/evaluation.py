@@ -88,11 +88,30 @@ def h2(spark, sf_dir):
     return out.select(*KEYS, r9("accuracy_among_answered").alias("accuracy"))
 
 
+def _binomial(src: str, keys: str) -> str:
+    """Twin of ``metrics.binomial_ranges`` over (keys, size, p)."""
+    ends = f"""SELECT *, CASE WHEN p <= 0 OR p >= 1 THEN m ELSE greatest(0, m-d) END AS lo, CASE WHEN p <= 0 OR p >= 1 THEN m ELSE least(size, m+d) END AS hi
+        FROM (SELECT *, least(floor((size+1)*p)::BIGINT, size) AS m, ceil(12*sqrt(size*p*(1-p)))::BIGINT+30 AS d FROM {src})"""
+    steps = f"SELECT *, CASE WHEN k=lo THEN 0 ELSE ln((size-k+1)::DOUBLE/k*p/(1-p)) END AS step FROM (SELECT *, unnest(range(lo, hi+1)) AS k FROM ({ends}))"
+    levels = f"SELECT *, sum(step) OVER (PARTITION BY {keys} ORDER BY k) AS lev FROM ({steps})"
+    weights = f"SELECT *, exp(lev - max(lev) OVER (PARTITION BY {keys})) AS wt FROM ({levels})"
+    cumulated = f"SELECT *, sum(wt) OVER (PARTITION BY {keys} ORDER BY k)/sum(wt) OVER (PARTITION BY {keys}) AS c FROM ({weights})"
+    return f"SELECT {keys}, k, coalesce(lag(c) OVER (PARTITION BY {keys} ORDER BY k), -1) AS below, CASE WHEN k=hi THEN 2 ELSE c END AS upto FROM ({cumulated})"
+
+
+def _hashed_uniform(stream: str) -> str:
+    return f"(('0x'||substr(md5('42|'||holdout_fraction||'|'||method||'|'||rank||'|'||rep||'|{stream}'),1,8))::BIGINT + 0.5::DOUBLE)/4294967296.0::DOUBLE"
+
+
 _BOOT = {
     "bc": "SELECT holdout_fraction, method, rank, count(*) AS n, count(*) FILTER (call = truth) AS n_right, count(*) FILTER (call <> truth) AS n_wrong FROM s_preds WHERE split='test' GROUP BY ALL",
-    "bd": "SELECT *, unnest(range(n)) AS draw FROM (SELECT *, unnest(range(200)) AS rep FROM bc)",
-    "bu": "SELECT *, (('0x'||substr(md5('42|'||holdout_fraction||'|'||method||'|'||rank||'|'||rep||'|'||draw),1,8))::BIGINT/4294967296.0::DOUBLE)*n AS u FROM bd",
-    "br": "SELECT holdout_fraction, method, rank, n, rep, count(*) FILTER (u < n_right) AS hits, count(*) FILTER (u < n_right+n_wrong) AS answered FROM bu GROUP BY ALL",
+    "b_trials": "SELECT holdout_fraction, method, rank, n AS size, (n_right+n_wrong)::DOUBLE/n AS p FROM bc",
+    "b_ranges": _binomial("b_trials", "holdout_fraction, method, rank"),
+    "b_reps": f"SELECT *, {_hashed_uniform('answered')} AS u FROM (SELECT *, unnest(range(1000)) AS rep FROM bc)",
+    "b_drawn": f"SELECT holdout_fraction, method, rank, n, n_right, n_wrong, rep, k AS answered, {_hashed_uniform('right')} AS u2 FROM b_reps JOIN b_ranges USING (holdout_fraction, method, rank) WHERE u > below AND u <= upto",
+    "b_trials2": "SELECT DISTINCT holdout_fraction, method, rank, answered, answered AS size, CASE WHEN n_right+n_wrong > 0 THEN n_right::DOUBLE/(n_right+n_wrong) ELSE 0 END AS p FROM b_drawn",
+    "b_ranges2": _binomial("b_trials2", "holdout_fraction, method, rank, answered"),
+    "br": "SELECT holdout_fraction, method, rank, n, rep, answered, k AS hits FROM b_drawn JOIN b_ranges2 USING (holdout_fraction, method, rank, answered) WHERE u2 > below AND u2 <= upto",
 }
 
 
@@ -103,7 +122,7 @@ _BOOT = {
     **_BOOT,
 )
 def h3(spark, sf_dir):
-    out = metrics.bootstrap_intervals(specimen_long(spark, sf_dir).where("split = 'test'"), KEYS, 200)
+    out = metrics.bootstrap_intervals(specimen_long(spark, sf_dir).where("split = 'test'"), KEYS)
     return out.select(*KEYS, *[r6(c).alias(c) for c in ("coverage_low", "coverage_high", "accuracy_low", "accuracy_high")])
 
 
@@ -239,7 +258,7 @@ def h16(spark, sf_dir):
 @query("h17_encoder_comparison")
 def h17(spark, sf_dir):
     """Both encoders under the same splits and cascade."""
-    conv = {"embedding_dim": 8, "n_filters": 8, "kernel_size": 5, "max_len": 750, "epochs": 2}
+    conv = {"embedding_dim": 8, "n_filters": 8, "kernel_size": 5, "epochs": 2, "batch_size": 128}
     return E.compare_encoders_job(barcode_split(spark, sf_dir), {"kmer_pca": {"k": 3, "n_components": 20}, "conv_triplet": conv})
 
 
@@ -295,7 +314,7 @@ def h18_fallback(spark, sf_dir):
 )
 def h18_benchmark(spark, sf_dir):
     """All four methods over barcodes with intervals."""
-    out = E.benchmark_job(four_methods(spark, sf_dir), n_bootstrap=200)
+    out = E.benchmark_job(four_methods(spark, sf_dir))
     return out.select(*KEYS, "n", r9("coverage").alias("coverage"), r9("accuracy_among_answered").alias("accuracy_among_answered"),
                       *[r6(c).alias(c) for c in ("coverage_low", "coverage_high", "accuracy_low", "accuracy_high")])
 

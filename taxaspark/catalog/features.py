@@ -82,7 +82,7 @@ def d6(spark, sf_dir):
     return rows.groupBy("channel", "pos").agg(F.count("*").alias("n"))
 
 
-CONV = {"embedding_dim": 8, "n_filters": 8, "kernel_size": 5, "max_len": 750, "epochs": 2}
+CONV = {"embedding_dim": 8, "n_filters": 8, "kernel_size": 5, "epochs": 2, "batch_size": 128}
 
 
 def _conv(spark, sf_dir):

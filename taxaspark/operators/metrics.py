@@ -7,13 +7,12 @@ predicted_rank, is_novel. Every metric is a grouped aggregate that combines map-
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark import METHODS, RANKS
 from taxaspark.operators.splits import evaluation_subsets
-from taxaspark.session import stage, task_count
+from taxaspark.session import stage
 
 
 def share(condition: Column) -> Column:
@@ -66,9 +65,6 @@ def with_missing_methods(scores: DataFrame, methods=METHODS) -> DataFrame:
 
 # --- bootstrap -----------------------------------------------------------------------------
 
-HASHED_DRAWS = 50_000_000  # above this many draws, replicate counts are drawn at once
-
-
 def _outcome_counts(long: DataFrame, keys: list[str]) -> DataFrame:
     call = F.col("call")
     return long.groupBy(*keys).agg(
@@ -78,56 +74,59 @@ def _outcome_counts(long: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _hashed_replicates(counts: DataFrame, keys: list[str], n_bootstrap: int, seed: int) -> DataFrame:
-    """One uniform per (method, replicate, draw): a draw is right, wrong or unanswered by its share."""
-    prefix = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"))
-    stream = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn("prefix", prefix)
-    # Spread replicates over tasks before unrolling the draws.
-    stream = stream.repartition(task_count(counts.sparkSession), *keys, "rep").withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    digest = F.md5(F.concat_ws("|", "prefix", F.col("draw").cast("string")))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32)) * F.col("n")
-    hit = stream.select(*keys, "n", "rep", u.alias("u"), "n_right", "n_wrong")
-    return hit.groupBy(*keys, "n", "rep").agg(
-        F.count_if(F.col("u") < F.col("n_right")).alias("right"),
-        F.count_if(F.col("u") < F.col("n_right") + F.col("n_wrong")).alias("answered"),
-    )
-
+def _uniform(seed: int, keys: list[str], stream: str) -> Column:
+    """One hashed uniform per group, replicate and stream, never 0 or 1."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("rep").cast("string"), F.lit(stream))
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(2**32))
 
-def _multinomial_replicates(counts: DataFrame, keys: list[str], n_bootstrap: int, seed: int) -> DataFrame:
-    """The counts of n independent draws are multinomial: one draw per replicate, whatever n is."""
-    blocks = counts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_bootstrap - 1) // 1000))))
-    blocks = blocks.withColumn("stream", F.abs(F.xxhash64(F.lit(seed), *keys, "block")))
-    names = [*keys, "n", "rep", "right", "answered"]
 
-    def draw(frames):
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                reps = range(r.block * 1000, min((r.block + 1) * 1000, n_bootstrap))
-                shares = np.array([r.n_right, r.n_wrong, r.n - r.n_right - r.n_wrong]) / r.n
-                got = np.random.default_rng(r.stream).multinomial(r.n, shares, size=len(reps))
-                out = pd.DataFrame({k: getattr(r, k) for k in [*keys, "n"]}, index=range(len(reps)))
-                yield out.assign(rep=list(reps), right=got[:, 0], answered=got[:, 0] + got[:, 1])[names]
+def binomial_ranges(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys …, size, p) → (keys …, k, below, upto): the uniforms that the binomial quantile maps to k.
 
-    schema = ", ".join(f"`{k}` {counts.schema[k].dataType.simpleString()}" for k in [*keys, "n"])
-    return blocks.repartition(task_count(counts.sparkSession), *keys, "block").mapInPandas(draw, f"{schema}, rep int, right bigint, answered bigint")
-
-
-def bootstrap_intervals(long: DataFrame, keys: list[str], n_bootstrap: int = 1000, level: float = 0.95, seed: int = 42,
-                        hashed_draws: int = HASHED_DRAWS) -> DataFrame:
+    Only counts within twelve deviations (and thirty) of the mode get a row, so a group has about the square root of
+    its size. The weights follow from the ratio of neighbours and are scaled to one.
+    """
+    spread = F.ceil(12 * F.sqrt(F.col("size") * F.col("p") * (1 - F.col("p")))) + 30
+    mode = F.least(F.floor((F.col("size") + 1) * F.col("p")), F.col("size"))
+    fixed = (F.col("p") <= 0) | (F.col("p") >= 1)
+    ends = trials.withColumn("lo", F.when(fixed, mode).otherwise(F.greatest(F.lit(0), mode - spread)))
+    ends = ends.withColumn("hi", F.when(fixed, mode).otherwise(F.least("size", mode + spread)))
+    rows = ends.withColumn("k", F.explode(F.sequence("lo", "hi")))
+    odds = (F.col("size") - F.col("k") + 1) / F.col("k") * F.col("p") / (1 - F.col("p"))
+    rows = rows.withColumn("step", F.when(F.col("k") == F.col("lo"), 0.0).otherwise(F.log(odds)))
+    whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("k")
+    rows = rows.withColumn("level", F.sum("step").over(upto))
+    rows = rows.withColumn("weight", F.exp(F.col("level") - F.max("level").over(whole)))
+    rows = rows.withColumn("c", F.sum("weight").over(upto) / F.sum("weight").over(whole))
+    below = F.coalesce(F.lag("c").over(upto), F.lit(-1.0))
+    return rows.select(*keys, "k", below.alias("below"), F.when(F.col("k") == F.col("hi"), 2.0).otherwise(F.col("c")).alias("upto"))
+
+
+def _replicates(counts: DataFrame, keys: list[str], n_bootstrap: int, seed: int) -> DataFrame:
+    """(keys …, n, rep, answered, right): how many of n draws are answered, and of these right, are binomial counts."""
+    both = F.col("n_right") + F.col("n_wrong")
+    reps = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1)))).withColumn("u", _uniform(seed, keys, "answered"))
+    answered = binomial_ranges(counts.select(*keys, F.col("n").alias("size"), (both / F.col("n")).alias("p")), keys)
+    within = (F.col("u") > F.col("below")) & (F.col("u") <= F.col("upto"))
+    drawn = reps.join(answered, keys).where(within).select(*counts.columns, "rep", F.col("k").alias("answered"))
+    drawn = stage(drawn, "answered")
+    share_right = F.when(both > 0, F.col("n_right") / both).otherwise(0.0)
+    right = binomial_ranges(drawn.select(*keys, "answered", F.col("answered").alias("size"), share_right.alias("p")).distinct(), [*keys, "answered"])
+    drawn = drawn.withColumn("u", _uniform(seed, keys, "right"))
+    return drawn.join(right, [*keys, "answered"]).where(within).select(*keys, "n", "rep", "answered", F.col("k").alias("right"))
+
+
+def bootstrap_intervals(long: DataFrame, keys: list[str], n_bootstrap: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile intervals of coverage and accuracy among answered.
 
-    A draw has three outcomes, so the rows themselves are never resampled. While the number of
-    draws is moderate each one is a hashed uniform, reproducible in SQL. Beyond ``hashed_draws``
-    the replicate's counts are drawn from the multinomial they follow, at a cost free of n.
+    A draw is right, wrong or unanswered, so the rows themselves are never resampled: a replicate's counts are two
+    binomial quantiles of hashed uniforms, by one method at every size, at a cost of about the square root of n.
     """
     counts = _outcome_counts(long, keys)
     if n_bootstrap <= 0:
         null = F.lit(None).cast("double")
         return counts.select(*keys, *[null.alias(c) for c in ("coverage_low", "coverage_high", "accuracy_low", "accuracy_high")])
-    counts = stage(counts, "outcomes")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    make = _hashed_replicates if total * n_bootstrap <= hashed_draws else _multinomial_replicates
-    reps = make(counts, keys, n_bootstrap, seed).select(
+    reps = _replicates(stage(counts, "outcomes"), keys, n_bootstrap, seed).select(
         *keys,
         (F.col("answered") / F.col("n")).alias("coverage"),
         F.when(F.col("answered") > 0, F.col("right") / F.col("answered")).alias("accuracy"),

@@ -37,7 +37,7 @@ def deploy(rows: DataFrame, encoder: str | None = "kmer_pca", val_fraction: floa
 
 
 def classify(deployment: Deployment, reads: DataFrame) -> DataFrame:
-    """``reads``: process_id, lat, lon and a sequence (or vec). Column expressions and scans only, so it streams."""
+    """``reads``: process_id, lat, lon and a sequence (or vec). A stream classifies batch by batch."""
     both = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     ready = reads.withColumns(
         {

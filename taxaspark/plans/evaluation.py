@@ -128,22 +128,28 @@ def compare_encoders_job(rows: DataFrame, encoders: dict[str, dict], out: str |
     """Same splits and cascade, one encoder at a time; only the vector differs."""
     parts = []
     for name, settings in encoders.items():
-        predictions = stage(fallback_predictions(encode_splits(rows, name, **settings)), "encoder-predictions")
-        parts.append(encoder_scores(predictions, encoder_name(name), n_bins, threshold))
+        encoded = encode_splits(rows, name, **settings)
+        width = encoded.groupBy("holdout_fraction").agg(F.max(F.size("vec")).alias("dimensions"))
+        predictions = stage(fallback_predictions(encoded), "encoder-predictions")
+        parts.append(encoder_scores(predictions, encoder_name(name), n_bins, threshold).join(width, "holdout_fraction"))
     scores = stage(reduce(DataFrame.unionByName, parts), "encoder-scores")
     return _saved(encoder_table(scores), out)
 
 
 def encoder_table(scores: DataFrame) -> DataFrame:
-    """Novel rows per (encoder, fraction, rank) with the family-resolved accuracy repeated."""
+    """Per (encoder, fraction, rank): sizes, then each score of the val and of the novel rows; a fraction without val
+    rows has nulls there. The family-resolved accuracy of the novel rows is repeated."""
+    keys = ["encoder", "holdout_fraction", "rank"]
+
+    def of(split: str, suffix: str) -> DataFrame:
+        values = {"n": "n", "ece": "ece", "accuracy": "accuracy", "false_confident_wrong_rate": "false_confident_wrong_rate"}
+        return scores.where(F.col("split") == split).select(*keys, *[F.col(v).alias(f"{k}_{suffix}") for k, v in values.items()])
+
     novel = scores.where("split = 'test'")
     family = novel.where("rank = 'family'").select("encoder", "holdout_fraction", F.col("resolved_accuracy").alias("family_resolved_accuracy"))
-    return novel.join(family, ["encoder", "holdout_fraction"]).select(
-        "encoder", "holdout_fraction", "rank", F.col("ece").alias("ece_novel"), F.col("accuracy").alias("accuracy_novel"),
-        F.col("false_confident_wrong_rate").alias("false_confident_wrong_rate_novel"),
-        F.col("novelty_rate").alias("novelty_detection_recall"), "family_resolved_accuracy",
-    )
-
+    recall = novel.select(*keys, "dimensions", F.col("novelty_rate").alias("novelty_detection_recall"))
+    false_flags = scores.where("split = 'val'").select(*keys, F.col("novelty_rate").alias("novelty_rate_val"))
+    return recall.join(of("test", "novel"), keys).join(of("val", "val"), keys, "left").join(false_flags, keys, "left").join(family, ["encoder", "holdout_fraction"])
 
 def calibration_job(predictions: DataFrame, out: str | None = None, n_bins: int = 10, ece_threshold: float = 0.1,
                     method: str = "isotonic", recalibrate: bool = True) -> dict:

@@ -12,8 +12,8 @@ from taxaspark.sources.tables import read_sequences, write_sequences
 
 
 def pull(records: DataFrame, out_dir: str, manifest_path: str, *, marker: str | None = "COI-5P",
-         max_records: int | None = 50_000, batch_size: int = 1000, query: str = "", fetched_at: str = "") -> DataFrame:
-    """Filter and cap landed records, write them as array batches, and describe the pull."""
+         max_records: int | None = None, batch_size: int = 1000, query: str = "", fetched_at: str = "") -> DataFrame:
+    """Filter landed records, write them as array batches, and describe the pull. ``max_records`` caps them if asked to."""
     spark = records.sparkSession
     kept = C.marker_filter(records, marker)
     if max_records is not None:

@@ -63,6 +63,8 @@ def test_encoder_comparison_table(spark, split, tmp_path):
     rows = E.compare_encoders_job(split, {"kmer": {"k": 2, "n_components": 4}, "cnn": conv}, str(tmp_path / "encoders")).collect()
     assert len(rows) == 2 * 2 * 4
     assert {r.encoder for r in rows} == {"kmer_pca", "conv_triplet"}
+    assert {(r.encoder, r.dimensions) for r in rows} == {("kmer_pca", 4), ("conv_triplet", 6)}
+    assert all(r.n_novel > 0 and r.n_val > 0 and 0.0 <= r.accuracy_val <= 1.0 for r in rows)
     assert all(0.0 <= r.ece_novel <= 1.0 and 0.0 <= r.novelty_detection_recall <= 1.0 for r in rows)
 
 
