@@ -1,16 +1,19 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import RANKS, random_sequence
 from taxaspark.functions import text as X
 from taxaspark.operators import cleaning as C
 from taxaspark.plans import ingest
 from taxaspark.sources import raw as R
 from taxaspark.sources import tables as T
 
-GOOD = "ACGT" * 150
-BASE = {"species": "Gadus morhua", "genus": "Gadus", "family": "Gadidae", "order": "Gadiformes", "nuc": GOOD}
+LONG_ENOUGH = random_sequence(17, 611)
+BASE = {"species": "Salmo trutta", "genus": "Salmo", "family": "Salmonidae", "order": "Salmoniformes", "nuc": LONG_ENOUGH}
+REQUIRED = ("species", "genus", "family", "order", "nuc")
 
 
 @pytest.fixture
@@ -18,40 +21,46 @@ def land(spark, tmp_path):
     """Write one array batch and its manifest; return the cleaned rows as dicts."""
 
     def run(records):
-        batch = tmp_path / "raw" / "batch_0000.json"
+        batch = tmp_path / "raw" / "part-7.json"
         batch.parent.mkdir(exist_ok=True)
         batch.write_text(json.dumps(records))
         manifest = tmp_path / "manifest.json"
-        manifest.write_text(json.dumps({"batch_files": ["raw\\batch_0000.json"]}, indent=2))
+        manifest.write_text(json.dumps({"batch_files": ["raw\\part-7.json"]}, indent=2))
         out = ingest.clean(spark, str(manifest), str(tmp_path / "sequences"), root=str(tmp_path))
         return out, [r.asDict() for r in out.collect()]
 
     return run
 
 
-def test_missing_required_field_drops_the_row(land):
-    _, rows = land([dict(BASE, processid="P1"), dict(BASE, species=None), dict(BASE, genus="")])
-    assert [r["species"] for r in rows] == ["Gadus morhua"]
+def test_rows_without_a_required_field_go(land):
+    broken = [dict(BASE, processid=f"{field}{i}", **{field: value}) for field in REQUIRED for i, value in enumerate(("", None))]
+    _, rows = land([*broken[:5], dict(BASE, processid="whole"), *broken[5:]])
+    assert [r["process_id"] for r in rows] == ["whole"]
 
 
-def test_duplicate_pairs_keep_the_smallest_id(land):
-    _, rows = land([dict(BASE, processid="P9"), dict(BASE, nuc=f"\t {GOOD.lower()} \n", processid="P2"), dict(BASE)])
-    assert [r["process_id"] for r in rows] == ["P2"]
+def test_of_equal_pairs_the_smallest_id_stays(land):
+    spellings = [LONG_ENOUGH, LONG_ENOUGH.lower(), f" {LONG_ENOUGH}\n", f"{LONG_ENOUGH[:300]}\t{LONG_ENOUGH[300:]}"]
+    ids = ["Q7", "Q10", None, "Q3"]
+    other = dict(BASE, species="Salmo salar", processid="Q0")
+    _, rows = land([*(dict(BASE, nuc=n, processid=i) for n, i in zip(spellings, ids, strict=True)), other])
+    kept = {r["species"]: r["process_id"] for r in rows}
+    assert kept["Salmo salar"] == "Q0" and kept["Salmo trutta"] in ("Q10", "Q3") and len(rows) <= 3
 
 
-def test_length_and_ambiguity_filters(land):
-    _, rows = land([
-        dict(BASE, species="A a"),
-        dict(BASE, species="B b", nuc="ACGT" * 10),
-        dict(BASE, species="C c", nuc="N" * 60 + "ACGT" * 135),
-    ])
-    assert [r["species"] for r in rows] == ["A a"]
+def test_length_band_and_ambiguity_share(land):
+    cases = {length: random_sequence(length, length) for length in (499, 500, 750, 751)}
+    records = [dict(BASE, species=f"len {n}", nuc=s) for n, s in cases.items()]
+    for n in (6, 7):
+        records.append(dict(BASE, species=f"amb {n}", nuc="R" * n + random_sequence(n, 600 - n)))
+    _, rows = land(records)
+    assert {r["species"] for r in rows} == {"len 500", "len 750", "amb 6"}
 
 
-def test_table_has_the_nine_columns_and_the_coordinate_pair(land):
-    out, rows = land([dict(BASE, coord=[60.1, 5.3], processid="P1", bin_uri="BIN:0001")])
-    assert out.columns == ["species", "genus", "family", "order", "sequence", "lat", "lon", "process_id", "bin_uri"]
-    assert (rows[0]["lat"], rows[0]["lon"]) == (60.1, 5.3)
+def test_table_columns_and_coordinates(land):
+    out, rows = land([dict(BASE, coord=[-33.25, 151.75], processid="K1", bin_uri="BIN:77"), dict(BASE, nuc=random_sequence(3, 640), lat=8.5, lon=-2.0, processid="K2")])
+    assert out.columns == [*RANKS, "sequence", "lat", "lon", "process_id", "bin_uri"]
+    got = {r["process_id"]: (r["lat"], r["lon"], r["bin_uri"]) for r in rows}
+    assert got["K1"] == (-33.25, 151.75, "BIN:77") and got["K2"][:2] == (8.5, -2.0)
 
 
 def test_missing_manifest_raises(spark, tmp_path):
@@ -84,21 +93,18 @@ def test_ambiguous_fraction(spark):
     assert [r[0] for r in rows.select(X.ambiguous_fraction(F.col("s"))).collect()] == [1.0, 0.0, 0.25, 1.0]
 
 
-@pytest.mark.parametrize(
-    ("text", "sequence", "error", "invalid"),
-    [
-        (">my_read\nACGT\nACGT", "ACGTACGT", None, ""),
-        ("  acgt \n acgt  ", "ACGTACGT", None, ""),
-        ("   \n  ", "", "empty", ""),
-        (">just_a_header\n", "", "empty", ""),
-        ("ACGTXYZ", "ACGTXYZ", "invalid_chars", "XYZ"),
-        ("ACGTN", "ACGTN", None, ""),
-        ("ac gt\r\n>x\rACGT", "ACGTACGT", None, ""),
-    ],
-)
-def test_pasted_text(spark, text, sequence, error, invalid):
+def pasted(text):
+    """Header lines and white space go, letters go upper; what is left is empty, has strange signs, or is fine."""
+    sequence = "".join("".join(line.split()) for line in re.split(r"[\r\n]", text.strip()) if not line.strip().startswith(">")).upper()
+    strange = "".join(sorted(set(sequence) - set("ACGTN")))
+    return sequence, "empty" if not sequence else "invalid_chars" if strange else None, strange
+
+
+@pytest.mark.parametrize("text", ["ttga\r\nCCAG", ">seq 9 | locus\n\tgattaca\n>second\nTTT", "> only", "\n\t \r", "GATTAQA-Z", "nnnGAT", "GA TT\tACA\n", "7"])
+def test_pasted_text(spark, text):
     row = C.clean_pasted_text(spark.createDataFrame([(text,)], "raw string"), "raw").first()
-    assert (row["sequence"], row.error, row.invalid) == (sequence, error, invalid)
+    sequence, error, strange = pasted(text)
+    assert (row["sequence"], row.error, "".join(sorted(row.invalid))) == (sequence, error, strange)
 
 
 def test_ndjson_skips_blank_lines_and_fails_on_a_bad_one(spark, tmp_path):
