@@ -13,7 +13,7 @@ from taxaspark.operators import calibration, metrics, reports
 from taxaspark.operators import splits as P
 from taxaspark.streaming import streams
 
-LABEL = "CASE method WHEN 'ours' THEN 'ours' WHEN 'blast' THEN 'BLAST' WHEN 'naive_bayes' THEN 'Naive Bayes' ELSE '1-NN' END"
+LABEL = "CASE method WHEN 'ours' THEN 'ours' WHEN 'blast' THEN 'Similarity search' WHEN 'naive_bayes' THEN 'Naive Bayes' ELSE '1-NN' END"
 
 
 @query("j1_reliability_rows", "SELECT rank, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 9) AS accuracy, count, round(ece, 6) AS ece FROM s_bins JOIN s_ece USING (rank) WHERE count > 0")

@@ -66,6 +66,13 @@ def direct_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
+def picked_distance(a: np.ndarray, rows: np.ndarray, b: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """``direct_distance`` of picked rows, a bounded number of vectors at a time."""
+    step = max(1, _CHUNK_CELLS // max(a.shape[1], 1))
+    parts = [direct_distance(a[rows[i : i + step]], b[cols[i : i + step]]) for i in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def nearest_indices(q, c, k, q_geo=None, c_geo=None, weights=(1.0, 0.0), scales=(1.0, None), skip=None):
     """(query row, label row, distance) of the ``k`` nearest labels, ordered; ties go to the smaller label row.
 
@@ -96,7 +103,7 @@ def nearest_indices(q, c, k, q_geo=None, c_geo=None, weights=(1.0, 0.0), scales=
         take = min(k, len(c))
         bound = np.partition(high, take - 1, axis=1)[:, take - 1]
         r, j = np.nonzero((low <= bound[:, None] * (1 + 1e-12)) & np.isfinite(low))
-        d = direct_distance(block[r], c[j]) / scales[0]
+        d = picked_distance(block, r, c, j) / scales[0]
         if geo is not None:
             gj = geo[r, j]
             d = np.where(np.isnan(gj), d, weights[0] * d + weights[1] * gj)

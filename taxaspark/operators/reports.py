@@ -9,7 +9,7 @@ from taxaspark import RANKS
 from taxaspark.functions.vectors import finite_or_null
 
 # Display names of the methods.
-METHOD_LABELS = {"ours": "ours", "blast": "BLAST", "naive_bayes": "Naive Bayes", "nearest_neighbor": "1-NN"}
+METHOD_LABELS = {"ours": "ours", "blast": "Similarity search", "naive_bayes": "Naive Bayes", "nearest_neighbor": "1-NN"}
 METRICS = tuple(f"{r} {kind}" for r in RANKS for kind in ("coverage", "accuracy"))
 
 
