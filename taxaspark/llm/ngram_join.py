@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaspark.llm.rows import cells, components, group_edges, whole_groups
 from taxaspark.llm.shingles import mixed, set_digest, shingles
@@ -21,8 +22,8 @@ CELL_ROWS = 2048
 # Exact copies a task remembers, so that it sends their keys once.
 _SEEN = 200_000
 _FILTER_BITS = 26
-_CELL = ["bucket", "band", "i", "j"]
-_BAND_MIX, _BLOCK_MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_CELL = ["bucket", "i", "j"]
+_BLOCK_MIX = 0xC2B2AE3D27D4EB4F
 
 
 @dataclass(frozen=True)
@@ -80,82 +81,82 @@ def _edge(least: int, band: int) -> int:
     return max(size + 1, size * 3 // 2)
 
 
-def keys(sketch: np.ndarray, band: int, spare: int) -> np.ndarray:
-    """Join keys of a sketch's blocks: band, place and bits.
+def block_keys(sketch: np.ndarray, band: int) -> np.ndarray:
+    """A join key for each block: its place and bits hashed, with the band in the low byte."""
+    place = np.arange(1, sketch.shape[-1] + 1, dtype=np.uint64) * np.uint64(_BLOCK_MIX)
+    return mixed(sketch ^ place) & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(band & 255)
+
+
+def limit(sketch: np.ndarray, spare: int) -> np.ndarray:
+    """Bits that a block must have to be joined on; ``spare`` blocks at most have fewer.
 
-    Blocks with few bits are equal by chance, so those with fewer bits than the block of rank ``spare`` are left out,
-    which are ``spare`` at most. Of two linked sets, the one with the higher limit has an equal block above it, and
-    that block is above the other's limit too: both have its key.
+    Blocks with few bits are equal by chance. Of two linked sets, the one with the higher limit has an equal block
+    above it, and that block is above the other's limit too: both have its key.
     """
-    bits = np.bitwise_count(sketch)
-    place = np.arange(1, len(sketch) + 1, dtype=np.uint64) * np.uint64(_BLOCK_MIX)
-    made = mixed(sketch ^ place ^ np.uint64((band + 1) * _BAND_MIX & 0xFFFFFFFFFFFFFFFF))
-    return made[bits >= np.partition(bits, spare)[spare]]
+    return np.partition(np.bitwise_count(sketch), spare, axis=-1)[..., spare]
 
 
-def folded(sketch: np.ndarray, bands: Bands) -> np.ndarray:
-    """A sketch with every so many blocks laid on one another: about two bits for each shingle stay, and it still
-    differs in no more bits than shingles do."""
-    keep = min(len(sketch), max(4, -(-len(sketch) * (bands.den + bands.num) // (64 * (bands.den - bands.num)))))
-    padded = np.zeros(-(-len(sketch) // keep) * keep, dtype=np.uint64)
-    padded[: len(sketch)] = sketch
-    return np.bitwise_xor.reduce(padded.reshape(-1, keep), axis=0)
+def keys(sketch: np.ndarray, band: int, spare: int) -> np.ndarray:
+    return block_keys(sketch, band)[np.bitwise_count(sketch) >= limit(sketch, spare)]
 
 
 def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, n, digest, rid): size and identity of every document's set; rid is a short form of the digest."""
-    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias(text))
-    schema = narrow.select("key").schema.add("n", "long").add("digest", "binary").add("rid", "long")
-
-    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests = [], []
-            for value in batch.column(1):
-                s = shingles(value.as_py(), words)
-                sizes.append(len(s))
-                digests.append(set_digest(s) if len(s) else None)
-            rids = pa.array([None if d is None else _short(d) for d in digests], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), rids], names=["key", "n", "digest", "rid"])
+_SKETCHES = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
 
-    return narrow.mapInArrow(arrow, schema)
 
+def shingle_sets(docs: DataFrame, key: str, text: str, words: int, bands: Bands) -> DataFrame:
+    """(key, n, digest, rid, sketches): size, identity and sketches of every document's set.
 
-def bucket_keys(docs: DataFrame, text: str, words: int, bands: Bands) -> DataFrame:
-    """(bucket, rid) for every block of every sketch; a task sends those of equal sets once."""
+    rid is a short form of the digest. A task gives the sketches of equal sets once, and null with the others.
+    """
+    narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = narrow.select("key").schema.add("n", "long").add("digest", "binary").add("rid", "long")
+    schema = schema.add(T.StructField("sketches", T.ArrayType(T.StructType().add("band", "integer").add("words", T.ArrayType(T.LongType())))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen: set[bytes] = set()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sizes, digests, sketches = [], [], []
+                for value in batch.column(1):
+                    s = shingles(value.as_py(), words)
+                    digest = set_digest(s) if len(s) else None
+                    sizes.append(len(s))
+                    digests.append(digest)
+                    if len(s) < bands.least or digest in seen:
+                        sketches.append(None)
+                        continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(digest)
+                    sketches.append([(band, bands.sketch(s, band).view(np.int64)) for band in bands.of(len(s))])
+                rids = pa.array([None if d is None else _short(d) for d in digests], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), rids, pa.array(sketches, _SKETCHES)],
+                    names=["key", "n", "digest", "rid", "sketches"],
+                )
+
+    return narrow.mapInArrow(run, schema)
+
+
+def bucket_keys(sets: DataFrame, bands: Bands) -> DataFrame:
+    """(bucket, rid) for the joined blocks of every sketch."""
 
-        def made(found, rids):
-            counts = [len(k) for k in found]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(rids, dtype=np.int64), counts))], names=["bucket", "rid"]
-            )
-
-        for batch in batches:
-            found, rids, held = [], [], 0
-            for value in batch.column(0):
-                s = shingles(value.as_py(), words)
-                if len(s) < bands.least or (digest := set_digest(s)) in seen:
-                    continue
-                if len(seen) >= _SEEN:
-                    seen.clear()
-                seen.add(digest)
-                for band in bands.of(len(s)):
-                    found.append(keys(bands.sketch(s, band), band, bands.spare(band)))
-                    rids.append(_short(digest))
-                    held += len(found[-1])
-                if held > 500_000:
-                    yield made(found, rids)
-                    found, rids, held = [], [], 0
-            if found:
-                yield made(found, rids)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sketches = batch.column(2).to_numpy(zero_copy_only=False)
+                made = [keys(w.view(np.uint64), band, bands.spare(band)).view(np.int64) for band, w in zip(batch.column(1).to_pylist(), sketches, strict=True)]
+                if made:
+                    rids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in made])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(rids)], names=["bucket", "rid"])
 
-    return docs.select(text).mapInArrow(run, "bucket long, rid long")
+    return sets.select("rid", F.explode("sketches").alias("s")).select("rid", "s.band", "s.words").mapInArrow(run, "bucket long, rid long")
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -190,82 +191,103 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(run, "bucket long, rid long, hub long")
 
 
+def _bits(hashes: DataFrame, column: str) -> DataFrame:
+    """(word, bits): a bit table that has the bit of every hash; of fixed size, 2^20 words at most."""
+    place = F.shiftrightunsigned(column, 64 - _FILTER_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - _FILTER_BITS}) & 63 as int))")
+    return hashes.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
 def _wanted(rids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size (8 MB) that has the bit of every rid; others pass it too, which costs work only."""
-    place = F.shiftrightunsigned("rid", 64 - _FILTER_BITS)
-    words = rids.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(rid, {64 - _FILTER_BITS}) & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    """The bit table of ``rids`` (8 MB); others pass it too, which costs work only."""
+    got = _bits(rids, "rid").toArrow()
     table = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
     table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return table.view(np.uint64)
 
 
-def wanted_sets(docs: DataFrame, text: str, words: int, bands: Bands, rids: DataFrame) -> DataFrame:
-    """(digest, rid, n, shingles, sketches) of the sets whose rid is asked for, each once."""
+def _maybe(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
+    place = rids.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
+    return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
+    """(digest, rid, n, sketches) of the sets whose rid is asked for, each once."""
+    table = sets.sparkSession.sparkContext.broadcast(_wanted(rids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_maybe(table.value, batch.column(1).to_numpy())))
+
+    narrow = sets.where("sketches is not null").select("digest", "rid", "n", "sketches")
+    return narrow.mapInArrow(run, narrow.schema).join(rids, "rid", "left_semi").dropDuplicates(["rid", "digest"])
+
+
+def asked_sets(docs: DataFrame, text: str, words: int, rids: DataFrame) -> DataFrame:
+    """(digest, shingles) of the sets whose rid is asked for, each once; reads the texts again."""
     table = docs.sparkSession.sparkContext.broadcast(_wanted(rids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, bits = set(), table.value
+        seen: set[bytes] = set()
         for batch in batches:
             rows, held = [], 0
             for value in batch.column(0):
                 s = shingles(value.as_py(), words)
-                if len(s) < bands.least or (digest := set_digest(s)) in seen:
-                    continue
-                rid = _short(digest)
-                place = (rid & 0xFFFFFFFFFFFFFFFF) >> (64 - _FILTER_BITS)
-                if not int(bits[place >> 6]) >> (place & 63) & 1:
+                if not len(s) or (digest := set_digest(s)) in seen or not _maybe(table.value, np.frombuffer(digest[:8], dtype="<i8"))[0]:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
                 seen.add(digest)
-                sketches = [(b, bands.sketch(s, b)) for b in bands.of(len(s))]
-                rows.append((digest, rid, len(s), s.view(np.int64), [{"band": b, "words": w.view(np.int64), "fold": folded(w, bands).view(np.int64)} for b, w in sketches]))
-                held += 16 * len(s)
+                rows.append((digest, _short(digest), s.view(np.int64)))
+                held += 8 * len(s)
                 if held > 16 << 20:
                     yield _sets_batch(rows)
                     rows, held = [], 0
             if rows:
                 yield _sets_batch(rows)
 
-    made = docs.select(text).mapInArrow(run, "digest binary, rid long, n long, shingles array<long>, sketches array<struct<band:int,words:array<long>,fold:array<long>>>")
-    return made.join(rids, "rid", "left_semi").dropDuplicates(["digest"])
+    made = docs.select(text).mapInArrow(run, "digest binary, rid long, shingles array<long>")
+    return made.join(rids, "rid", "left_semi").dropDuplicates(["rid", "digest"]).select("digest", "shingles")
 
 
 def _sets_batch(rows: list) -> pa.RecordBatch:
-    digest, rid, n, sets, sketches = zip(*rows, strict=True)
-    sketch = pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64())), ("fold", pa.list_(pa.int64()))])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(digest, pa.binary()), pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.list_(sketch))],
-        names=["digest", "rid", "n", "shingles", "sketches"],
-    )
+    digest, rid, sets = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(rid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "rid", "shingles"])
 
 
 def _flips(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b) rids → (a, b) digests of the pairs that are linked: first whole sketches, then the sets decide."""
-    banded = sets.select("rid", "digest", "n", F.explode("sketches").alias("s")).select("rid", "digest", "n", "s.band", "s.words")
+def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """(a, b) rids → those whose sketches differ in no more bits than linked sets may, with their digests."""
+    banded = sketches.select("rid", "digest", "n", F.explode("sketches").alias("s")).select("rid", "digest", "n", "s.band", "s.words")
     side = lambda x: banded.select(*[F.col(c).alias(f"{x}_{c}") for c in banded.columns])
     both = pairs.join(side("a"), F.col("a") == F.col("a_rid")).join(side("b"), (F.col("b") == F.col("b_rid")) & (F.col("a_band") == F.col("b_band")))
     close = both.where(_flips("a_words", "b_words") * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
-    close = close.where("a_digest <> b_digest").select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b")).distinct()
-    whole = lambda x: sets.select(F.col("digest").alias(x), F.col("shingles").alias(f"{x}_set"))
-    both = close.join(whole("a"), "a").join(whole("b"), "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    return both.where(F.col("common") * bands.den >= (F.size("a_set") + F.size("b_set") - F.col("common")) * bands.num).select("a", "b")
+    return close.where("a_digest <> b_digest").select("a", "b", "a_digest", "b_digest").distinct()
+
+
+def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Bands) -> DataFrame:
+    """Close pairs → (a, b) digests of those whose sets are linked."""
+    rids = stage(close.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rids")
+    sets = stage(asked_sets(docs, text, words, rids), "shingles")
+    whole = lambda x: sets.select(F.col("digest").alias(f"{x}_digest"), F.col("shingles").alias(f"{x}_set"))
+    both = close.join(whole("a"), "a_digest").join(whole("b"), "b_digest").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    linked = both.where(F.col("common") * bands.den >= (F.size("a_set") + F.size("b_set") - F.col("common")) * bands.num)
+    return linked.select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
 
 
-def open_pairs(rows: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """(bucket, rid, label) → pairs of one bucket with unequal labels whose folded sketches are close enough.
+def open_pairs(rows: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+    """(bucket, rid, label) → pairs of one bucket with unequal labels whose sketches are close enough.
 
-    Large buckets are cut into parts, and each pair of parts is one cell, so no task holds more than two parts.
+    Large buckets are cut into parts, and each pair of parts is one cell, so no task holds more than two parts. Of
+    the buckets that a pair shares in a band only the first one gives it.
     """
     apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    cut = cells(rows.join(apart.select("bucket"), "bucket"), ["bucket"], "rid", CELL_ROWS)
-    banded = sets.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "n", "s.band", F.col("s.fold").alias("words"))
-    cut = cut.join(banded, "rid").select(*_CELL, "part", "rid", "label", "n", "words")
+    cut = cells(rows.join(apart.select("bucket"), "bucket"), ["bucket"], "rid", CELL_ROWS).withColumn("band", F.col("bucket").bitwiseAND(F.lit(255)).cast("int"))
+    banded = sketches.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "n", "s.band", "s.words")
+    cut = cut.join(banded, ["rid", "band"]).select(*_CELL, "band", "part", "rid", "label", "n", "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in whole_groups(batches, _CELL):
@@ -276,24 +298,33 @@ def open_pairs(rows: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    if len(frame):
-        rids, labels, sizes, parts = (frame[c].to_numpy(np.int64) for c in ("rid", "label", "n", "part"))
-        whole = (frame["i"] == frame["j"]).to_numpy()
-        edges = group_edges(frame, _CELL)
-        words = frame["words"].to_numpy()
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
-                continue
-            sketch = np.stack(words[lo:hi]).view(np.uint64)
-            for x in range(lo, hi - 1):
-                flips = np.bitwise_count(sketch[x - lo + 1 :] ^ sketch[x - lo]).sum(axis=1)
-                near = (labels[x + 1 : hi] != labels[x]) & (flips * (bands.den + bands.num) <= (sizes[x + 1 : hi] + sizes[x]) * (bands.den - bands.num))
-                if not whole[lo]:
-                    near &= parts[x + 1 : hi] != parts[x]
-                found = rids[x + 1 : hi][near]
-                if len(found):
-                    left.append(np.minimum(found, rids[x]))
-                    right.append(np.maximum(found, rids[x]))
+    rids, labels, sizes, parts, buckets, of_band = (frame[c].to_numpy(np.int64) for c in ("rid", "label", "n", "part", "bucket", "band"))
+    whole = (frame["i"] == frame["j"]).to_numpy()
+    edges = group_edges(frame, _CELL) if len(frame) else []
+    words = frame["words"].to_numpy()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
+            continue
+        band = int(of_band[lo])
+        sketch = np.stack(words[lo:hi]).view(np.uint64)
+        joined = np.bitwise_count(sketch) >= limit(sketch, bands.spare(band))[:, None]
+        for x in range(hi - lo - 1):
+            rest = slice(lo + x + 1, hi)
+            apart = labels[rest] != labels[lo + x]
+            if not whole[lo]:
+                apart &= parts[rest] != parts[lo + x]
+            others = np.flatnonzero(apart) + x + 1
+            for at in range(0, len(others), 512):  # so many at a time hold little memory
+                y = others[at : at + 512]
+                flips = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
+                y = y[flips * (bands.den + bands.num) <= (sizes[lo + y] + sizes[lo + x]) * (bands.den - bands.num)]
+                if not len(y):
+                    continue
+                shared = (sketch[y] == sketch[x]) & joined[y] & joined[x]
+                first = block_keys(sketch[x], band)[shared.argmax(axis=1)].view(np.int64)
+                found = rids[lo + y[first == buckets[lo]]]
+                left.append(np.minimum(found, rids[lo + x]))
+                right.append(np.maximum(found, rids[lo + x]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
 
@@ -310,22 +341,21 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     that has another key; an empty table gives no row. Other columns are not read.
     """
     bands = Bands(num, den)
-    sets = stage(shingle_sets(docs, key, text, words), "sets")
-    shared = stage(shared_buckets(bucket_keys(docs, text, words, bands)), "shared")
-    pairs = shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    asked = stage(shared.select("rid").distinct(), "asked")
-    wanted = stage(wanted_sets(docs, text, words, bands, asked), "wanted")
-    tested = stage(pairs, "tested")
-    links = stage(verified(tested, wanted, bands), "links")
+    sets = stage(shingle_sets(docs, key, text, words, bands), "sets")
+    shared = stage(shared_buckets(bucket_keys(sets, bands)), "shared")
+    sketches = stage(asked_sketches(sets, stage(shared.select("rid").distinct(), "asked")), "sketches")
+    tested = stage(shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "tested")
+    links = stage(verified(stage(close_pairs(tested, sketches, bands), "close"), docs, text, words, bands), "links")
     roots = components(links, "a", "b")
-    labels = roots.select(F.col("node").alias("digest"), "root").join(wanted.select("digest", "rid"), "digest")
-    labels = labels.join(wanted.select(F.col("digest").alias("root"), F.col("rid").alias("label")), "root").select("rid", "label")
+    names = sketches.select("digest", "rid")
+    labels = roots.join(names, F.col("node") == F.col("digest")).select("rid", "root")
+    labels = labels.join(names.select("digest", F.col("rid").alias("label")), F.col("root") == F.col("digest")).select("rid", "label")
     rows = shared.select("bucket", "rid").join(labels, "rid", "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
-    left = stage(open_pairs(stage(rows, "labelled"), wanted, bands).join(tested, ["a", "b"], "left_anti"), "left")
-    more = stage(verified(left, wanted, bands), "more")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), "a", "b")
-    named = sets.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "n", F.coalesce("root", "digest").alias("root"))
+    left = open_pairs(stage(rows, "labelled"), sketches, bands).join(tested, ["a", "b"], "left_anti")
+    left = stage(close_pairs(stage(left, "left"), sketches, bands), "close")
+    if not left.isEmpty():
+        roots = components(links.unionByName(verified(left, docs, text, words, bands)), "a", "b")
+    named = sets.select("key", "n", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "n", F.coalesce("root", "digest").alias("root"))
     names = named.where("root is not null").groupBy("root").agg(F.min("key").alias("group"))
     named = named.join(names, "root", "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("group")).alias("group"))
@@ -333,10 +363,20 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of ``linked_groups``, that with the smallest key; columns stay as they
-    are. Of rows with the same key and text one stays. Documents without a shingle all stay."""
-    groups = linked_groups(docs, key, text, **options)
-    first = groups.where(F.col(key).eqNullSafe(F.col("group"))).select(F.col(key).alias("first")).distinct()
-    held = docs.select(docs[key].alias("k"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    held = held.join(first, F.col("k").eqNullSafe(F.col("first")), "left_semi")
+    are. Of rows with the same key and text one stays. Documents without a shingle all stay.
+
+    Only rows whose key is given up, or is there twice, are shuffled, and the few that a bit table of fixed size
+    takes for such.
+    """
+    groups = stage(linked_groups(docs, key, text, **options).select(F.col(key).alias("k"), F.col(key).eqNullSafe(F.col("group")).alias("first")), "groups")
+    touched = groups.groupBy("k").agg(F.count("*").alias("n"), F.max("first").alias("first")).where("n > 1 or not first").select("k", "first")
+    touched = stage(touched, "touched")
+    bits = _bits(touched.select(F.xxhash64("k").alias("hash")), "hash")
+    held = docs.select(docs[key].alias("k"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(docs[key]).alias("hash"))
+    place = F.shiftrightunsigned("hash", 64 - _FILTER_BITS)
+    marked = held.join(F.broadcast(bits), F.shiftright(place, 6).cast("int") == F.col("word"), "left")
+    maybe = F.coalesce(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(hash, {64 - _FILTER_BITS}) & 63 as int)) & 1") == 1, F.lit(False))
+    seen = marked.where(maybe).select("k", "doc").join(touched.withColumnRenamed("k", "t"), F.col("k").eqNullSafe(F.col("t")), "left")
     turn = F.row_number().over(Window.partitionBy("k", f"doc.`{text}`").orderBy(F.lit(0)))
-    return held.withColumn("turn", turn).where("turn = 1").select("doc.*")
+    seen = seen.where("first or first is null").withColumn("turn", turn).where("turn = 1 or first is null")
+    return marked.where(~maybe).select("doc.*").unionByName(seen.select("doc.*"))

@@ -81,9 +81,7 @@ def test_linked_sets_share_a_key():
             assert keys[0] & keys[1]
             for band in set(bands.of(len(a))) & set(bands.of(len(b))):
                 x, y = bands.sketch(a, band), bands.sketch(b, band)
-                differ = len(np.setxor1d(a, b))
-                assert np.bitwise_count(x ^ y).sum() <= differ
-                assert np.bitwise_count(ngram_join.folded(x, bands) ^ ngram_join.folded(y, bands)).sum() <= differ
+                assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
 def test_shingles_end_at_ascii_space_only():
