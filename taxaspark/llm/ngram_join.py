@@ -22,6 +22,7 @@ CELL_ROWS = 2048
 # Exact copies a task remembers, so that it sends their keys once.
 _SEEN = 200_000
 _FILTER_BITS = 26
+_FOLDED = 8
 _CELL = ["bucket", "i", "j"]
 _BLOCK_MIX = 0xC2B2AE3D27D4EB4F
 
@@ -211,16 +212,28 @@ def _maybe(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """A sketch with its blocks laid on one another, eight or fewer stay; it still differs in no more bits than
+    shingles do."""
+    padded = np.zeros(-(-len(sketch) // _FOLDED) * _FOLDED, dtype=np.uint64)
+    padded[: len(sketch)] = sketch
+    return np.bitwise_xor.reduce(padded.reshape(-1, _FOLDED), axis=0)
+
+
 def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
-    """(digest, rid, n, sketches) of the sets whose rid is asked for, each once."""
+    """(digest, rid, n, band, words, fold): the sketches of the sets whose rid is asked for, each once."""
     table = sets.sparkSession.sparkContext.broadcast(_wanted(rids))
+    names = ["digest", "rid", "n", "band", "words", "fold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_maybe(table.value, batch.column(1).to_numpy())))
+        for whole in batches:
+            batch = whole.filter(pa.array(_maybe(table.value, whole.column(1).to_numpy())))
+            folds = [folded(w.view(np.uint64)).view(np.int64) for w in batch.column(4).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.list_(pa.int64()))], names=names)
 
-    narrow = sets.where("sketches is not null").select("digest", "rid", "n", "sketches")
-    return narrow.mapInArrow(run, narrow.schema).join(rids, "rid", "left_semi").dropDuplicates(["rid", "digest"])
+    flat = sets.select("digest", "rid", "n", F.explode("sketches").alias("s")).select("digest", "rid", "n", "s.band", "s.words")
+    schema = flat.withColumn("fold", F.col("words")).schema
+    return flat.mapInArrow(run, schema).join(rids, "rid", "left_semi").dropDuplicates(["rid", "digest", "band"]).select(*names)
 
 
 def asked_sets(docs: DataFrame, text: str, words: int, rids: DataFrame) -> DataFrame:
@@ -260,12 +273,20 @@ def _flips(a: str, b: str) -> Column:
 
 
 def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b) rids → those whose sketches differ in no more bits than linked sets may, with their digests."""
-    banded = sketches.select("rid", "digest", "n", F.explode("sketches").alias("s")).select("rid", "digest", "n", "s.band", "s.words")
-    side = lambda x: banded.select(*[F.col(c).alias(f"{x}_{c}") for c in banded.columns])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_rid")).join(side("b"), (F.col("b") == F.col("b_rid")) & (F.col("a_band") == F.col("b_band")))
-    close = both.where(_flips("a_words", "b_words") * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
-    return close.where("a_digest <> b_digest").select("a", "b", "a_digest", "b_digest").distinct()
+    """(a, b) rids → those whose sketches differ in no more bits than linked sets may, with their digests.
+
+    Folded sketches, which are small, are compared first, and the whole ones of the pairs that are left.
+    """
+
+    def joined(left: DataFrame, on: list[str], bits: str) -> DataFrame:
+        side = lambda x: sketches.select(*[F.col(c).alias(x if c == "rid" else f"{x}_{c}") for c in ("rid", "digest", "n", "band", bits)])
+        both = left.join(side("a"), ["a", *[c for c in on if c.startswith("a_")]]).join(side("b"), ["b", *[c for c in on if c.startswith("b_")]])
+        both = both.where("a_band = b_band and a_digest <> b_digest")
+        return both.where(_flips(f"a_{bits}", f"b_{bits}") * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
+
+    on = ["a_digest", "a_band", "b_digest", "b_band"]
+    near = joined(pairs, [], "fold").select("a", "b", *on)
+    return joined(near, on, "words").select("a", "b", "a_digest", "b_digest").distinct()
 
 
 def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Bands) -> DataFrame:
@@ -279,15 +300,14 @@ def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Ba
 
 
 def open_pairs(rows: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
-    """(bucket, rid, label) → pairs of one bucket with unequal labels whose sketches are close enough.
+    """(bucket, rid, label), without hubs → pairs of one bucket with unequal labels whose sketches are close enough.
 
     Large buckets are cut into parts, and each pair of parts is one cell, so no task holds more than two parts. Of
     the buckets that a pair shares in a band only the first one gives it.
     """
     apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     cut = cells(rows.join(apart.select("bucket"), "bucket"), ["bucket"], "rid", CELL_ROWS).withColumn("band", F.col("bucket").bitwiseAND(F.lit(255)).cast("int"))
-    banded = sketches.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "n", "s.band", "s.words")
-    cut = cut.join(banded, ["rid", "band"]).select(*_CELL, "band", "part", "rid", "label", "n", "words")
+    cut = cut.join(sketches.select("rid", "n", "band", "words"), ["rid", "band"]).select(*_CELL, "band", "part", "rid", "label", "n", "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in whole_groups(batches, _CELL):
@@ -333,8 +353,8 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     group is the same for all that links connect; it is the smallest key among them. Exact, whatever the sizes.
 
     Equal sets are one set throughout. Sets sharing a bucket (an equal block of their sketches) are first tested
-    with the bucket's hub; after that only sets of a bucket that are still in different groups are compared, so a
-    large group of copies costs as much as it has members, not pairs.
+    with the bucket's hub; after that only other sets of a bucket that are still in different groups are compared, so
+    a large group of copies costs as much as it has members, not pairs.
 
     A text that is null, empty or all white space has no shingle and a group of its own, which is its key; one with
     fewer words than a shingle is one shingle; repeated rows are copies; a null key is kept, but never names a group
@@ -347,10 +367,10 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     tested = stage(shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "tested")
     links = stage(verified(stage(close_pairs(tested, sketches, bands), "close"), docs, text, words, bands), "links")
     roots = components(links, "a", "b")
-    names = sketches.select("digest", "rid")
+    names = sketches.select("digest", "rid").distinct()
     labels = roots.join(names, F.col("node") == F.col("digest")).select("rid", "root")
     labels = labels.join(names.select("digest", F.col("rid").alias("label")), F.col("root") == F.col("digest")).select("rid", "label")
-    rows = shared.select("bucket", "rid").join(labels, "rid", "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
+    rows = shared.where("rid <> hub").select("bucket", "rid").join(labels, "rid", "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
     left = open_pairs(stage(rows, "labelled"), sketches, bands).join(tested, ["a", "b"], "left_anti")
     left = stage(close_pairs(stage(left, "left"), sketches, bands), "close")
     if not left.isEmpty():
