@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from taxaspark.llm.rows import cells, components, group_edges, whole_groups
+from taxaspark.llm.shingles import mixed
 from taxaspark.llm.vectors import digests, matrix, units, usable
 from taxaspark.session import stage
 
 PROJECTIONS = 40
-#: Rows from which pivots are taken, at most; pivots nearer to each other than SPACING count once.
-PIVOT_ROWS = 400
-SPACING = 0.5
-#: A vector visits every pivot that is no more than this farther than its nearest one.
-SLACK = 0.15
 CELL_ROWS = 2048
 RECALL = 0.9999
-_CELL = ["grp", "pivot", "i", "j"]
+#: About so many vectors of a label are left in a cell of unrelated ones.
+CELL_TARGET = 256
+# A strip is so many times as wide as the projections of a pair at the limit are apart.
+_STRIP = 8
+_UNRELATED = 0.42  # how often two unrelated unit vectors of some tens of dimensions share such a strip at 0.98
+_CELL = ["grp", "round", "strips", "i", "j"]
 
 
 def directions(width: int, count: int = PROJECTIONS, seed: int = 7) -> np.ndarray:
@@ -47,21 +48,36 @@ def window_and_count(width: int, cosine: float, count: int = PROJECTIONS, recall
     return 2 * spread + 1e-9, least
 
 
-def choose_pivots(vectors: np.ndarray) -> np.ndarray:
-    kept: list[np.ndarray] = []
-    for v in vectors:
-        if all(np.linalg.norm(v - k) >= SPACING for k in kept):
-            kept.append(v)
-    return np.array(kept)
+def rounds_of_strips(rows: int, recall: float = RECALL) -> tuple[int, int]:
+    """(rounds, projections in each): vectors of a label meet in a round if they share a strip of all its projections.
 
+    More vectors take more projections a round, so that a cell stays small, and more rounds, so that a pair at the
+    limit still meets in one of them with ``recall``.
+    """
+    each = max(1, math.ceil(math.log(max(1.0, rows / CELL_TARGET)) / -math.log(_UNRELATED)))
+    share = (1 - math.sqrt(2 / math.pi) / _STRIP) ** each
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - share))), each
+
+
+def strip_keys(unit: np.ndarray, rounds: int, each: int, spread: float) -> np.ndarray:
+    """(rows, rounds) of cell keys: strips of random width offset, hashed together."""
+    rng = np.random.default_rng(23)
+    onto = rng.standard_normal((unit.shape[1], rounds * each))
+    onto /= np.linalg.norm(onto, axis=0)
+    strips = np.floor((unit @ onto) / (_STRIP * spread) + rng.random(rounds * each)).astype(np.int64).astype(np.uint64)
+    key = np.zeros((len(unit), rounds), dtype=np.uint64)
+    for j in range(each):
+        key = mixed(key + strips[:, j::each] + np.uint64(j + 1))
+    return key.view(np.int64)
 
-def linked_in_cell(ids, copies, unit, projected, parts, homes, pivot, window, least, cosine, whole):
-    """(id, links …) counts and spanning edges of one cell.
+
+def linked_in_cell(ids, copies, unit, parts, keys, turn, window, least, cosine, whole):
+    """Links of each row, and spanning edges, of one cell of round ``turn``.
 
     Each projection is sorted, and every row's window is a range of that order; a pair's hits are counted over all
-    projections, and pairs with enough of them are compared in full. A pair that meets at several pivots counts at
-    the smallest one that both visit.
+    projections, and pairs with enough of them are compared in full. A pair counts in the first round it meets in.
     """
+    projected = unit @ directions(unit.shape[1])
     n, count = len(ids), np.zeros((len(ids), len(ids)), dtype=np.uint8)
     for j in range(projected.shape[1]):
         value = projected[:, j]
@@ -80,7 +96,7 @@ def linked_in_cell(ids, copies, unit, projected, parts, homes, pivot, window, le
         x, y = a[at : at + 50_000], b[at : at + 50_000]
         linked[at : at + 50_000] = (unit[x] * unit[y]).sum(axis=1) >= cosine
     a, b = a[linked], b[linked]
-    first = np.fromiter((min(homes[x] & homes[y]) == pivot for x, y in zip(a, b, strict=True)), bool, len(a))
+    first = (keys[a] == keys[b]).argmax(axis=1) == turn if len(a) else np.zeros(0, dtype=bool)
     a, b = a[first], b[first]
     links = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
     parent = list(range(n))
@@ -103,10 +119,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """(key, n_links, component, kept): vectors with equal labels and cosine similarity of ``cosine`` or more are
     linked; n_links counts a row's direct links, component is the smallest key reachable, kept marks its row.
 
-    Equal vectors of a label are one throughout, and counted by their number. A bounded sample gives pivots; a vector
-    visits the pivots about as near as its nearest, and only vectors that meet there are compared, by counting window
-    hits over sorted projections (``linked_in_cell``). A large group is cut into cells of bounded size; a cell gives
-    counts and a spanning forest, never its pairs. Links are exact; some at the limit of similarity may be missed.
+    Equal vectors of a label are one throughout, and counted by their number. Vectors of a label meet in cells: strips
+    of a few projections, in several rounds, as many as the largest label needs (``rounds_of_strips``). In a cell
+    window hits over sorted projections decide which pairs are compared (``linked_in_cell``). A large cell is cut
+    into parts of bounded size; a cell gives counts and a spanning forest, never its pairs. Links are exact; few at
+    the limit of similarity may be missed.
 
     Null labels, null or zero vectors, and those with null or non-finite components link with nothing; so do
     rows without a key. Repeated rows are copies of each other. Vectors of other lengths than most fail.
@@ -116,33 +133,25 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     good = F.col(label).isNotNull() & F.col(key).isNotNull() & usable(vector)
     rows = stage(digests(df.where(good), key, F.col(label), vector), "digests")
     classes = rows.groupBy("digest").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.min("group").alias("grp"))
-    vectors = df.where(good).select(F.col(key).alias("id"), F.col(label).cast("string").alias("grp"), F.col(vector).cast("array<double>").alias("v"))
+    vectors = df.where(good).select(F.col(key).alias("id"), F.col(label).cast("string").alias("grp"), F.col(vector).alias("v"))
     classes = stage(classes, "classes")
     whole = vectors.join(classes.select("id", "copies", "grp", "digest"), ["id", "grp"])
     whole = stage(whole.dropDuplicates(["digest"]).select("id", "copies", "grp", "v"), "vectors")
-    sample = whole.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("v").collect()
+    largest, width = whole.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).agg(F.max("n"), F.max("w")).first()
     everything = df.select(F.col(key).alias(key))
-    if not sample:
+    if not largest:
         return everything.select(key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component"), F.lit(True).alias("kept"))
-    pivots = choose_pivots(units(np.array([r["v"] for r in sample], dtype=np.float64)))
-    window, least = window_and_count(pivots.shape[1], cosine)
-    onto = directions(pivots.shape[1])
+    window, least = window_and_count(width, cosine)
+    rounds, each = rounds_of_strips(largest)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = units(matrix(batch.column(batch.schema.get_field_index("v"))))
-            far = np.sqrt(np.maximum(0.0, 2 - 2 * unit @ pivots.T))
-            near = far <= far.min(axis=1, keepdims=True) + SLACK
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(3)] + [pa.array(list(unit), pa.list_(pa.float64())), pa.array(list(unit @ onto), pa.list_(pa.float64())), pa.array([np.flatnonzero(x).tolist() for x in near], pa.list_(pa.int32()))],
-                names=["id", "copies", "grp", "unit", "projected", "homes"],
-            )
-
-    met = whole.mapInArrow(visit, whole.select("id", "copies", "grp", F.col("v").alias("unit"), F.col("v").alias("projected"), F.array(F.lit(0)).alias("homes")).schema)
-    met = met.withColumn("pivot", F.explode("homes"))
-    met = cells(stage(met, "visits"), ["grp", "pivot"], "id", CELL_ROWS)
+            if batch.num_rows:
+                found = strip_keys(units(matrix(batch.column(3))), rounds, each, window / 2)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int64()))], names=["id", "copies", "grp", "v", "keys"])
+
+    kept = whole.mapInArrow(visit, whole.withColumn("keys", F.array(F.lit(0).cast("long"))).schema)
+    met = cells(stage(kept, "keys").select("*", F.posexplode("keys").alias("round", "strips")), _CELL[:3], "id", CELL_ROWS)
     kind = to_arrow_type(whole.schema["id"].dataType)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +164,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 part = frame.iloc[lo:hi]
                 ids = part["id"].tolist()
                 links, spanning = linked_in_cell(
-                    ids, part["copies"].to_numpy(), np.stack(part["unit"]), np.stack(part["projected"]), part["part"].to_numpy(),
-                    [set(h) for h in part["homes"]], part["pivot"].iloc[0], window, least, cosine, part["i"].iloc[0] == part["j"].iloc[0],
+                    ids, part["copies"].to_numpy(), units(np.stack(part["v"]).astype(np.float64)), part["part"].to_numpy(), np.stack(part["keys"]),
+                    part["round"].iloc[0], window, least, cosine, part["i"].iloc[0] == part["j"].iloc[0],
                 )
                 out += [(ids[x], int(links[x]), None) for x in np.flatnonzero(links)] + [(x, 0, y) for x, y in spanning]
             a, n, b = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(n, pa.int64()), pa.array(b, kind)], names=["id", "links", "other"])
 
     schema = whole.select("id").schema.add("links", "long").add("other", whole.schema["id"].dataType)
-    found = stage(met.repartition(*_CELL).sortWithinPartitions(*_CELL).select("id", "copies", "grp", "unit", "projected", "homes", "pivot", "part", "i", "j").mapInArrow(compare, schema), "links")
+    sorted_cells = met.select("id", "copies", "v", "keys", "part", *_CELL).repartition(*_CELL).sortWithinPartitions(*_CELL)
+    found = stage(sorted_cells.mapInArrow(compare, schema), "links")
     roots = components(found.where("other is not null").select("id", "other"), "id", "other").withColumnRenamed("node", "id")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     told = classes.join(links, "id", "left").join(roots, "id", "left")

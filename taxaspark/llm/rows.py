@@ -89,7 +89,8 @@ def cells(df: DataFrame, group: list[str], by: str, rows: int) -> DataFrame:
 
     Adds part, i and j, a row once for each cell it is in; every pair of rows meets in one cell, or in (i, i).
     """
-    sizes = df.groupBy(*group).agg((F.floor((F.count("*") - 1) / rows) + 1).cast("int").alias("parts"))
-    cut = df.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+    sizes = df.groupBy(*group).agg((F.floor((F.count("*") - 1) / rows) + 1).cast("int").alias("parts")).where("parts > 1")
+    cut = df.join(sizes, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cut.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
