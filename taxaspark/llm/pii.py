@@ -30,6 +30,9 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:{_BEFORE}) +{_NAME}(?: +{_NAME}){{0,2}}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# To find out whether a text has any: what can only stand at few characters is tried there alone.
+_NUMBER = f"(?=[0-9+(A-Z])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in ('ip', 'iban', 'card', 'ssn', 'phone'))})"
+_NAMED = f"(?=[{''.join(sorted({w[0] for w in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *CUES)}))}]){PATTERNS['name']}"
 _NAME_PARTS = rf"^({_BEFORE}) +(.*)$"
 # Sounds that names are put together from, by script: beginnings, middles, female and male ends.
 _SOUNDS = {
@@ -45,6 +48,12 @@ def mentions(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_ANY), F.lit(0))
 
 
+def has_mention(text: Column) -> Column:
+    """Whether ``mentions`` finds any; most texts have no digit and no @, and are looked through for names only."""
+    found = (text.contains("@") & text.rlike(PATTERNS["email"])) | (text.rlike("[0-9]") & text.rlike(_NUMBER)) | text.rlike(_NAMED)
+    return F.coalesce(found, F.lit(False))
+
+
 def kind_of(mention: Column) -> Column:
     out = F.lit("name")
     for kind in reversed([k for k in PATTERNS if k != "name"]):
@@ -206,7 +215,7 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text") -> DataFra
     alike; an empty table stays empty; other columns of any name are carried along in the struct.
     """
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text].alias("body"))
-    has = F.coalesce(F.col("body").rlike(_ANY), F.lit(False))
+    has = has_mention(F.col("body"))
     none = held.where(~has).select("doc", F.array().cast("array<string>").alias("kinds"))
     found = held.where(has).select("doc", "body", F.transform(mentions(F.col("body")), lambda m: F.struct(kind_of(m).alias("kind"), parts(m).alias("parts"))).alias("found"))
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "found")
