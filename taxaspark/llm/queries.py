@@ -186,10 +186,8 @@ def op9(spark, sf_dir):
 
 @query("op10_quality")
 def op10(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    score, threshold = quality.judge(docs, table(spark, sf_dir, "labels"))
-    judged = docs.select("doc_id", "lang", score.alias("log_perplexity"), threshold.alias("threshold"))
-    return judged.withColumn("keep", F.coalesce(F.col("log_perplexity") <= F.col("threshold"), F.lit(False)))
+    made = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return made.select("doc.doc_id", "doc.lang", "log_perplexity", "threshold", "word_score", "word_threshold", "keep")
 
 
 QUERIES["pipeline"] = corpus_pipeline.run
