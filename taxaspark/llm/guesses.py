@@ -6,7 +6,7 @@ import math
 import re
 from functools import lru_cache
 
-# Words that password lists put first, by rank.
+# Words that password lists put first, by rank; ``secrets.corpus_words`` puts a corpus's own words after them.
 COMMON_WORDS = (
     "password", "admin", "welcome", "login", "letmein", "master", "hello", "secret", "test", "user", "root", "guest", "monkey", "dragon",
     "sunshine", "princess", "football", "baseball", "shadow", "superman", "batman", "trustno", "access", "flower", "summer", "winter",
@@ -52,14 +52,21 @@ def word_cost(part: str, ranks: dict[str, int]) -> float | None:
     return cost + sum(a != b for a, b in zip(low, plain, strict=True)) * math.log10(2) * (low not in ranks)
 
 
+class Ranked:
+    """Many words with their ranks; unlike a tuple, cheap to hand from call to call."""
+
+    def __init__(self, words: tuple[str, ...]):
+        self.ranks, self.longest = _ranked.__wrapped__(words)
+
+
 @lru_cache(maxsize=4)
 def _ranked(words: tuple[str, ...]) -> tuple[dict[str, int], int]:
     return {w: i for i, w in reversed(list(enumerate(words, 1)))}, max(map(len, words), default=0)
 
 
-def spans(value: str, words: tuple[str, ...] = COMMON_WORDS) -> list[tuple[int, int, float]]:
+def spans(value: str, words: tuple[str, ...] | Ranked = COMMON_WORDS) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every word, date, longest keyboard walk and longest repeat in ``value``."""
-    ranks, longest = _ranked(words)
+    ranks, longest = (words.ranks, words.longest) if isinstance(words, Ranked) else _ranked(words)
     n, low, out = len(value), value.lower(), []
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
@@ -90,7 +97,7 @@ def spans(value: str, words: tuple[str, ...] = COMMON_WORDS) -> list[tuple[int,
     return out
 
 
-def log10_guesses(value: str, words: tuple[str, ...] = COMMON_WORDS) -> float:
+def log10_guesses(value: str, words: tuple[str, ...] | Ranked = COMMON_WORDS) -> float:
     """Cheapest way to put ``value`` together from spans and single brute-force characters."""
     starting: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost in spans(value, words) if len(value) > 1 else ():

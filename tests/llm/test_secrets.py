@@ -78,3 +78,20 @@ def test_rows_of_all_sorts(spark):
 def test_overlapping_spans_are_masked_once(spark):
     df = spark.createDataFrame([("ab0123456789cd", [("assign", 2, 8), ("hex", 4, 12)])], f"t string, s {secrets.SPAN_TYPE}")
     assert df.select(secrets.masked(F.col("t"), F.col("s"))).first()[0] == "ab[SECRET]cd"
+
+
+def test_other_words_are_no_context():
+    for clean in ("Author: Johnson", "Secretary: Williams", "tokenizer: sentencepiece", "AUTHOR: JOHNSON"):
+        assert secrets.all_spans(clean) == [], clean
+    for name in ("auth", "Authorization", "pwd2", "db_pwd", "credentials", "authToken", "auth-header"):
+        assert [k for _, k, _ in secrets.all_spans(f"{name}: x8!Kf$2qZ")][:1] in ([3], [0]), name
+
+
+def test_words_of_the_corpus_are_cheap_but_leaked_values_are_not(spark):
+    rows = ["the sentencepiece model", "a sentencepiece model", "Sentencepiece here"] + ["pwd: kdhqzvnwyb and credential: sentencepiece"] * 5
+    docs = spark.createDataFrame(list(enumerate([*rows, None, ""])), "doc_id int, text string")
+    words = secrets.corpus_words(docs)
+    assert "sentencepiece" in words.ranks and "kdhqzvnwyb" not in words.ranks and words.ranks["password"] == 1
+    got = {r["text"] for r in secrets.mask_secrets(docs).collect()}
+    assert "pwd: [SECRET] and credential: sentencepiece" in got
+    assert secrets.all_spans(rows[-1], words=guesses.COMMON_WORDS) != secrets.all_spans(rows[-1], words=words)
