@@ -13,10 +13,14 @@ FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora"
 OTHER_TITLES = ("Dr", "Prof")
 CUES = ("My name is", "my name is", "Name:", "name:", "Contact:", "Patient:", "Author:")
 
+# What may stand in lower case between the words of a name.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "las", "los", "el", "al", "bin", "ibn", "ter", "ten", "zu", "zum", "y")
+
 _WORD = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}][\p{IsLatin}\p{IsCyrillic}\p{IsGreek}'’-]*"
 _SHORT = ("Mr", "Sr", "Mrs", "Ms", "Mme", "Mlle", "Sra", *OTHER_TITLES)
 _BEFORE = "|".join([rf"(?:{'|'.join(_SHORT)})\.?", *sorted({*MALE_TITLES, *FEMALE_TITLES} - {*_SHORT}), *CUES])
 _NAME = rf"(?!(?:{_BEFORE})(?!\w))(?=\p{{Lu}}){_WORD}"
+_NAMES = rf"(?:(?:{'|'.join(PARTICLES)}) +){{0,3}}{_NAME}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 #: Kinds and their patterns, tried in this order at each place of a text.
@@ -27,12 +31,13 @@ PATTERNS = {
     "card": r"(?<![\w.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{7,15}(?!\w)",
-    "name": rf"(?<!\w)(?:{_BEFORE}) +{_NAME}(?: +{_NAME}){{0,2}}",
+    "name": rf"(?<!\w)(?:{_BEFORE}) +{_NAMES}(?: +{_NAMES})*",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # To find out whether a text has any: what can only stand at few characters is tried there alone.
 _NUMBER = f"(?=[0-9+(A-Z])(?:{'|'.join(f'(?:{PATTERNS[k]})' for k in ('ip', 'iban', 'card', 'ssn', 'phone'))})"
 _NAMED = f"(?=[{''.join(sorted({w[0] for w in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES, *CUES)}))}]){PATTERNS['name']}"
+_OWNED = r"['’][sS]$"
 _NAME_PARTS = rf"^({_BEFORE}) +(.*)$"
 # Sounds that names are put together from, by script: beginnings, middles, female and male ends.
 _SOUNDS = {
@@ -62,7 +67,7 @@ def kind_of(mention: Column) -> Column:
 
 
 def parts(mention: Column) -> Column:
-    """A mention → array of (kind, norm, raw); kind keep is what stays: a title, a cue, a blank.
+    """A mention → array of (kind, norm, raw); kind keep is what stays: a title, a cue, a blank, a particle, a genitive s.
 
     Equal norms of a kind are one entity: signs between digits, the case of letters, and what comes before the last
     ten digits of a telephone number do not count.
@@ -75,11 +80,14 @@ def parts(mention: Column) -> Column:
     title = F.regexp_replace(before, r"\.$", "")
     gender = F.when(title.isin(*MALE_TITLES), "m").when(title.isin(*FEMALE_TITLES), "f").otherwise("u")
     words = F.split(rest, " +")
-    named = F.transform(
-        words, lambda w, i: piece(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), gender)), F.lower(w), w)
-    )
     blank = piece(F.lit("keep"), F.lit(""), F.lit(" "))
-    spaced = F.flatten(F.transform(named, lambda p: F.array(blank, p)))
+
+    def named(w: Column, i: Column) -> Column:
+        own, owned = F.regexp_replace(w, _OWNED, ""), F.regexp_extract(w, _OWNED, 0)
+        of = F.when(w.isin(*PARTICLES), "keep").when(i == F.size(words) - 1, "surname").otherwise(F.concat(F.lit("given_"), gender))
+        return F.array(blank, piece(of, F.when(of == "keep", "").otherwise(F.lower(own)), own), piece(F.lit("keep"), F.lit(""), owned))
+
+    spaced = F.flatten(F.transform(words, named))
     return F.when(kind == "name", F.concat(F.array(piece(F.lit("keep"), F.lit(""), before)), spaced)).otherwise(F.array(piece(kind, plain, mention)))
 
 
@@ -203,12 +211,28 @@ def _in_form(raw: Column, norm: Column, made: Column) -> Column:
     return F.when(F.length(raw) == F.length(norm), cased).otherwise(spread)
 
 
+def _bare(gap: Column, known: Column) -> Column:
+    """``gap`` with each capitalised word that is one of ``known`` (norm → surrogate) replaced."""
+
+    def put(word: Column) -> Column:
+        own, owned = F.regexp_replace(word, _OWNED, ""), F.regexp_extract(word, _OWNED, 0)
+        made = known[F.lower(own)]
+        takes = made.isNotNull() & (F.substring(own, 1, 1) != F.lower(F.substring(own, 1, 1)))
+        return F.when(takes, F.concat(_in_form(own, F.lower(own), made), owned)).otherwise(word)
+
+    said = F.transform(F.regexp_extract_all(gap, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){_WORD}"), F.lit(0)), put)
+    between = F.split(gap, rf"(?<![\p{{L}}\p{{N}}_]){_WORD}", -1)
+    whole = F.array_join(F.zip_with(between, said, lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+    return F.when(F.size(known) > 0, whole).otherwise(gap)
+
+
 def with_surrogates(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """(doc, kinds): each row as a struct, with entities in ``text`` replaced, and the kinds of these in order.
 
     An entity has the same surrogate wherever it is mentioned, and another one than any other entity: surrogates are
     drawn by a hash with ``secret``, checked against each other and against all entities, and drawn again where they
-    meet. Replacements keep the form (signs between digits, valid check digits, capitals), names also script and
+    meet. A given name or surname that a row has after a title or cue is replaced wherever else it stands capitalised in
+    that row; ``kinds`` does not list these again. Replacements keep the form (signs between digits, valid check digits, capitals), names also script and
     gender as the title tells it. Only rows with an entity are shuffled, and only distinct entities are compared.
 
     A null text stays null and an empty one empty; rows without an entity stay as they are; repeated rows are treated
@@ -222,10 +246,16 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text") -> DataFra
     told = found.select("row", F.posexplode("found").alias("at", "m")).select("row", "at", F.posexplode("m.parts").alias("part", "p")).select("row", "at", "part", "p.*")
     names = assigned(told.where("kind <> 'keep'").select("kind", "norm").distinct(), secret)
     said = told.join(names, ["kind", "norm"], "left")
-    said = said.select("row", "at", "part", F.when(F.col("surrogate").isNull(), F.col("raw")).otherwise(_in_form(F.col("raw"), F.col("norm"), F.col("surrogate"))).alias("new"))
-    whole = said.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "part", "new"))).alias("news"))
+    said = said.select("row", "at", "part", "kind", "norm", "surrogate", F.when(F.col("surrogate").isNull(), F.col("raw")).otherwise(_in_form(F.col("raw"), F.col("norm"), F.col("surrogate"))).alias("new"))
+    whole = said.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("at", "part", "new"))).alias("news"),
+        F.array_sort(F.collect_set(F.when(F.col("kind").rlike("^(given_|surname)"), F.struct("norm", "kind", "surrogate")))).alias("people"),
+    )
+    # a word that is both a given name and a surname: the last kind in order, the surname
+    known = F.map_from_entries(F.filter(F.transform("people", lambda p: F.struct(p["norm"], p["surrogate"])), lambda p, i: ~F.coalesce(F.get("people", i + 1)["norm"] == p["norm"], F.lit(False))))
+    whole = whole.select("row", "news", known.alias("known"))
     # the text between the mentions, each followed by the parts of the next one
-    gaps = F.split("body", _ANY, -1)
+    gaps = F.transform(F.split("body", _ANY, -1), lambda g: _bare(g, F.col("known")))
     by_mention = F.transform(F.sequence(F.lit(0), F.size("found") - 1), lambda i: F.array_join(F.transform(F.filter("news", lambda n: n["at"] == i), lambda n: n["new"]), ""))
     body = F.array_join(F.zip_with(gaps, by_mention, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     out = found.join(whole, "row").select(F.col("doc").withField(f"`{text}`", body).alias("doc"), F.col("found.kind").alias("kinds"))

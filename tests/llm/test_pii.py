@@ -72,3 +72,19 @@ def test_empty_table_and_long_text(spark):
     assert pii.with_surrogates(docs.limit(0), "k").count() == 0
     out = pii.with_surrogates(docs, "k").first()
     assert out["kinds"] == ["email"] and out["doc"]["text"].startswith("word " * 100_000) and "me@x.org" not in out["doc"]["text"]
+
+
+def test_bare_mentions_and_particles(spark):
+    rows = [
+        (1, "Dr. Maria Garcia spoke. Garcia said: MARIA's garcia, Garciamar. Garcia's own."),
+        (2, "Mr Jan van der Berg left; Berg, Jan."),
+        (3, "Garcia and Berg are not people of this row: x@y.org"),
+        (4, "Mrs. Ana Luz Mar Sol Paz Vega's house. Vega. Κυρία Μαρία Παππά, Παππά"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in replaced(spark, rows)}
+    one = re.fullmatch(r"Dr\. (\w+) (\w+) spoke\. (\w+) said: (\w+)'s garcia, Garciamar\. (\w+)'s own\.", got[1])
+    assert one and one[2] == one[3] == one[5] != "Garcia" and one[4] == one[1].upper() != "MARIA"
+    two = re.fullmatch(r"Mr (\w+) van der (\w+) left; (\w+), (\w+)\.", got[2])
+    assert two and two[1] == two[4] != "Jan" and two[2] == two[3] != "Berg"
+    assert got[3].startswith("Garcia and Berg are not")
+    assert not re.search("Ana|Luz|Mar|Sol|Paz|Vega|Παππά", got[4]) and "'s house" in got[4]
