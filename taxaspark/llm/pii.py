@@ -161,7 +161,9 @@ def surrogate(kind: Column, norm: Column, attempt: Column, secret: str) -> Colum
     seed = key(F.concat_ws("|", kind, norm, attempt.cast("string")))
     local, host = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     domain, top = F.regexp_extract(host, r"^(.*)\.[^.]*$", 1), F.regexp_extract(host, r"(\.[^.]*)$", 1)
-    email = F.concat(_scrambled(local, seed), F.lit("@"), _scrambled(domain, key(F.concat(F.lit("host|"), host))), top)
+    # where short local parts keep meeting, longer ones are drawn
+    longer = _scrambled(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), key(F.concat(F.lit("more|"), seed)))
+    email = F.concat(_scrambled(local, seed), longer, F.lit("@"), _scrambled(domain, key(F.concat(F.lit("host|"), host))), top)
     ip = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
     number = _scrambled(norm, seed)
     body = F.concat(F.substring(norm, 1, 1), F.substring(number, F.lit(2), F.length(norm) - 2))

@@ -88,3 +88,10 @@ def test_bare_mentions_and_particles(spark):
     assert two and two[1] == two[4] != "Jan" and two[2] == two[3] != "Berg"
     assert got[3].startswith("Garcia and Berg are not")
     assert not re.search("Ana|Luz|Mar|Sol|Paz|Vega|Παππά", got[4]) and "'s house" in got[4]
+
+
+def test_all_short_addresses_of_a_host_get_surrogates(spark):
+    norms = [f"{i}@x.org" for i in range(10, 100)] + [f"{chr(97 + i)}@y.org" for i in range(26)]
+    got = pii.assigned(spark.createDataFrame([("email", n) for n in norms], "kind string, norm string"), "k").collect()
+    made = {r["surrogate"] for r in got}
+    assert len(got) == len(made) == len(norms) and not made & set(norms)
