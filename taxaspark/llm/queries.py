@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pii, quality, secrets, tree_search
+from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pattern_packing, pii, quality, secrets, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,6 +191,12 @@ def op10(spark, sf_dir):
     return made.select("doc.doc_id", "doc.lang", "log_perplexity", "threshold", "word_score", "word_threshold", "keep")
 
 
+@query("op11_pattern_packing")
+def op11(spark, sf_dir):
+    pieces = pattern_packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_json())
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
