@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pattern_packing, pii, quality, secrets, tree_search
+from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pattern_packing, pii, quality, secrets, token_alignment, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +200,20 @@ def op11(spark, sf_dir):
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+@lru_cache(maxsize=1)
+def piece_model(path: str = public_tokenizers.path("piece_bpe_32k.model")) -> bytes:
+    return Path(path).read_bytes()
+
+
+@query("op13_token_alignment")
+def op13(spark, sf_dir):
+    byte_json = corpus_pipeline.tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = token_alignment.align(table(spark, sf_dir, "documents"), byte_json, public_tokenizers.PATTERN, piece_model(), with_overlaps=False)
+    n_a, n_b = F.size("a_ids").cast("long"), F.size("b_ids").cast("long")
+    told = rows.select("doc_id", n_a.alias("n_a"), n_b.alias("n_b"), "n_groups", F.when(n_a > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"), "pairs", "times")
+    return token_alignment.with_link_scores(told).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
