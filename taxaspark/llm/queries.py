@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pattern_packing, pii, quality, secrets, token_alignment, tree_search
+from taxaspark.llm import chat, embedding_dups, langid, mixing, ngram_join, packing, pattern_packing, pii, quality, repair, secrets, token_alignment, tree_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -200,6 +200,87 @@ def op11(spark, sf_dir):
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+REPAIR_SQL = r"""
+WITH RECURSIVE
+-- crc32 byte by byte, from its table of 256 remainders
+remainders AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS i))),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, role, text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS damage FROM keyed, remainders),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN damage = 3 THEN 2 ELSE 1 END)) AS again
+  FROM hashed WHERE damage <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, left(role, 1) AS initial FROM damaged),
+rows AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS two FROM placed),
+-- states: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+inserted(q, to_q, cost, told, lines) AS (VALUES
+  (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+  (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'), (2, 3, 2, 'I', chr(10) || 'assistant:'),
+  (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (3, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 2, 4, 'II', chr(10) || 'assistant:' || chr(10) || 'user:')),
+edited(edit, initial, q, to_q, cost, role) AS (VALUES
+  ('D', NULL, 0, 0, 3, NULL), ('D', NULL, 1, 1, 3, NULL), ('D', NULL, 2, 2, 3, NULL), ('D', NULL, 3, 3, 3, NULL),
+  ('K', 's', 0, 1, 0, NULL), ('K', 'u', 0, 2, 0, NULL), ('K', 'u', 1, 2, 0, NULL), ('K', 'u', 3, 2, 0, NULL), ('K', 'a', 2, 3, 0, NULL),
+  ('R', NULL, 0, 2, 2, 'user'), ('R', NULL, 1, 2, 2, 'user'), ('R', NULL, 3, 2, 2, 'user'), ('R', NULL, 2, 3, 2, 'assistant')),
+dp(conv_id, place, q, best) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0, 'told': '', 'lines': ''} FROM conversations
+  UNION ALL
+  SELECT r.conv_id, r.place, e.to_q, min({'cost': best.cost + i.cost + e.cost + CASE WHEN r.fault = 'truncated' AND e.edit <> 'D' THEN 1 ELSE 0 END,
+    'told': best.told || i.told || e.edit, 'lines': best.lines || i.lines || CASE WHEN e.edit = 'D' THEN '' ELSE chr(10) || coalesce(e.role, r.role) || ':' || r.text END})
+  FROM dp JOIN rows r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.place = dp.place + 1 JOIN inserted i ON i.q = dp.q JOIN edited e ON e.q = i.to_q
+  WHERE (e.initial IS NULL OR e.initial = r.initial) AND (e.edit = 'D' OR r.fault IS NULL OR r.fault = 'truncated')
+  GROUP BY r.conv_id, r.place, e.to_q),
+sizes AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (place > 1 AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id),
+ended AS (
+  SELECT dp.conv_id, min({'cost': best.cost + i.cost, 'told': best.told || i.told, 'lines': best.lines || i.lines}) AS best
+  FROM dp LEFT JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM dp.conv_id JOIN inserted i ON i.q = dp.q
+  WHERE dp.place = coalesce(s.n, 0) AND i.to_q IN (0, 3) GROUP BY dp.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.told AS audit, sha256(substr(best.lines, 2)) AS repaired_sha256
+FROM ended e LEFT JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows lost, emptied, cut, repeated or given to the user, by a hash of conversation and turn."""
+    space = F.lit(" ")
+    part = lambda c: F.coalesce(F.col(c).cast("string"), space)
+    turns = turns.select("conv_id", "turn", part("role").alias("role"), part("text").alias("text"), (F.crc32(F.concat(part("conv_id"), F.lit(":"), part("turn"))) % 20).alias("damage"))
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = turns.where("damage <> 0").withColumn("copy", F.explode(copies))
+    return kept.select("conv_id", "turn", F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    rows = repair.faults(damaged(turns))
+    edits, costs = repair.cheapest_edits(rows)
+    hashes = repair.transcripts_sha256(repair.repaired(rows, edits))
+    found = repair.report(rows, edits, costs).join(hashes.withColumnRenamed("conv", "__conv"), F.col("conv").eqNullSafe(F.col("__conv")), "left")
+    every = turns.select("conv_id").distinct()
+    made = every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    zeros = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return made.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @lru_cache(maxsize=1)
 def piece_model(path: str = public_tokenizers.path("piece_bpe_32k.model")) -> bytes:
     return Path(path).read_bytes()
