@@ -107,6 +107,31 @@ def g6(spark, sf_dir):
     return out.select("holdout_fraction", "process_id", r6(F.col("confidence")["species"]).alias("confidence"))
 
 
+def indexed_neighbors(spark, sf_dir):
+    """The same model through the metric index, whatever share of the pairs it leaves."""
+
+    def build():
+        return nearest_neighbor.fit(E.train_rows(specimen_rows(spark, sf_dir)), by_index=True, most_pairs=None)
+
+    return shared(spark, sf_dir, "nn-indexed", build)
+
+
+@query(
+    "g4_indexed_nearest_row",
+    'SELECT holdout_fraction, process_id, nearest_id, round(d, 6) AS distance, species, genus, family, "order", round(confidence, 6) AS confidence FROM s_nncall',
+)
+def g4_indexed(spark, sf_dir):
+    out = nearest_neighbor.predict(indexed_neighbors(spark, sf_dir), E.query_rows(specimen_rows(spark, sf_dir)), most_pairs=None)
+    score = r6(F.col("confidence")["species"]).alias("confidence")
+    return out.select("holdout_fraction", "process_id", "nearest_id", r6("nearest_distance").alias("distance"), *RANKS, score)
+
+
+@query("g5_indexed_distance_scale", "SELECT holdout_fraction, round(scale, 6) AS scale FROM s_nnscale")
+def g5_indexed(spark, sf_dir):
+    scales = indexed_neighbors(spark, sf_dir).scales
+    return spark.createDataFrame(list(scales.items()), "holdout_fraction double, scale double").withColumn("scale", r6("scale"))
+
+
 W = similarity.WORD
 SEGMENTS = {
     "w_seq": "SELECT split='train' AS is_s, sequence, min(process_id) AS id FROM b_rows GROUP BY ALL",

@@ -74,18 +74,21 @@ def bin_of(value, low, high):
     return F.least(F.lit(BINS - 1), F.floor((value - low) / (high - low) * BINS)).cast("int")
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name: str = "quantile") -> DataFrame:
+def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name: str = "quantile", weight: str | None = None) -> DataFrame:
     """``prob`` quantile of ``value`` per ``keys`` (linear interpolation, nulls ignored).
 
+    A row with a ``weight``, a whole number above zero, counts so many times.
+
     Small groups use the built-in exact percentile, which holds a group's values; beyond
     ``SMALL_GROUP`` rows the same number comes from histogram passes.
     """
     spark = df.sparkSession
-    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    stats = present.groupBy(*keys).agg(F.min("_v"), F.max("_v"), F.count("*").alias("n"))
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_w"))
+    stats = present.groupBy(*keys).agg(F.min("_v"), F.max("_v"), F.sum("_w").alias("n"))
     extents = {tuple(r[k] for k in keys): (r[-3], r[-2], r[-1]) for r in stats.collect()}
     if max((n for _, _, n in extents.values()), default=0) <= SMALL_GROUP:
-        return present.groupBy(*keys).agg(F.percentile("_v", F.lit(prob)).alias(name))
+        return present.groupBy(*keys).agg(F.percentile("_v", F.lit(prob), F.col("_w")).alias(name))
 
     def histogram(brackets):
         bounds = spark.createDataFrame(
@@ -96,7 +99,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, name
         joined = present.join(F.broadcast(bounds), keys)
         inside = joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         counted = inside.groupBy(*keys, bin_of(F.col("_v"), F.col("_lo"), F.col("_hi")).alias("_b")).agg(
-            F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
+            F.sum("_w").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
         )
         out: dict = {k: [] for k in brackets}
         for r in counted.collect():
