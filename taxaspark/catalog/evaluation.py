@@ -34,7 +34,7 @@ def specimen_test(spark, sf_dir):
 
 
 def four_methods(spark, sf_dir):
-    """Long predictions of all methods over cleaned barcodes, one fraction."""
+    """Long predictions of all methods over cleaned barcodes."""
 
     def build():
         return E.system_predictions(encoded_barcodes(spark, sf_dir), nb_k=NB_K)
@@ -55,15 +55,15 @@ METHOD_SQL = (
     | NB
     | SEGMENTS
     | {
-        "nb_conf": """SELECT c.process_id, sum(p.p) FILTER (p.species=c.species) AS c1, sum(p.p) FILTER (p.genus=c.genus) AS c2, sum(p.p) FILTER (p.family=c.family) AS c3,
-            sum(p.p) FILTER (p."order"=c."order") AS c4 FROM nb_call c JOIN nb_post p USING (process_id) GROUP BY ALL""",
-        "q_bayes": """SELECT 'naive_bayes' AS method, 0.5::DOUBLE AS holdout_fraction, r.split, r.process_id, unnest(['species','genus','family','order']) AS rank,
+        "nb_conf": """SELECT c.holdout_fraction, c.process_id, sum(p.p) FILTER (p.species=c.species) AS c1, sum(p.p) FILTER (p.genus=c.genus) AS c2, sum(p.p) FILTER (p.family=c.family) AS c3,
+            sum(p.p) FILTER (p."order"=c."order") AS c4 FROM nb_call c JOIN nb_post p USING (holdout_fraction, process_id) GROUP BY ALL""",
+        "q_bayes": """SELECT 'naive_bayes' AS method, holdout_fraction, r.split, process_id, unnest(['species','genus','family','order']) AS rank,
             unnest([r.species, r.genus, r.family, r."order"]) AS truth, unnest([c.species, c.genus, c.family, c."order"]) AS call, unnest([c.species, c.genus, c.family, c."order"]) AS nearest,
-            unnest([c1, c2, c3, c4]) AS confidence FROM nb_call c JOIN nb_conf USING (process_id) JOIN b_rows r USING (process_id)""",
-        "q_blast": """SELECT 'blast' AS method, 0.5::DOUBLE AS holdout_fraction, r.split, r.process_id, unnest(['species','genus','family','order']) AS rank,
-            unnest([r.species, r.genus, r.family, r."order"]) AS truth, unnest(CASE WHEN h.pident>=97 THEN [t.species, t.genus, t.family, t."order"] ELSE [NULL, NULL, NULL, NULL] END) AS call,
+            unnest([c1, c2, c3, c4]) AS confidence FROM nb_call c JOIN nb_conf USING (holdout_fraction, process_id) JOIN b_rows r USING (holdout_fraction, process_id)""",
+        "q_blast": """SELECT 'blast' AS method, holdout_fraction, r.split, process_id, unnest(['species','genus','family','order']) AS rank,
+            unnest([r.species, r.genus, r.family, r."order"]) AS truth, unnest(CASE WHEN c.pident>=97 THEN [t.species, t.genus, t.family, t."order"] ELSE [NULL, NULL, NULL, NULL] END) AS call,
             unnest([t.species, t.genus, t.family, t."order"]) AS nearest, c.confidence
-            FROM w_call c JOIN b_rows r USING (process_id) LEFT JOIN w_hit h ON h.qseqid=c.process_id AND h.sseqid=c.sseqid LEFT JOIN b_rows t ON t.process_id=c.sseqid""",
+            FROM w_call c JOIN b_rows r USING (holdout_fraction, process_id) LEFT JOIN (SELECT holdout_fraction, process_id AS sseqid, species, genus, family, "order" FROM b_rows) t USING (holdout_fraction, sseqid)""",
         "q_preds": "SELECT method, holdout_fraction, split, process_id, rank, truth, call, nearest, confidence FROM q_ours UNION ALL BY NAME SELECT method, holdout_fraction, split, process_id, rank, truth, call, nearest, confidence FROM q_nnlong "
         "UNION ALL BY NAME SELECT * FROM q_bayes UNION ALL BY NAME SELECT * FROM q_blast",
         "q_subsets": "SELECT *, 'all' AS subset FROM q_preds UNION ALL BY NAME SELECT *, 'novel' AS subset FROM q_preds WHERE split='test'",

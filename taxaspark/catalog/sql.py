@@ -152,7 +152,7 @@ for _name, _cte in {
     **splits_of("specimens", prefix="s_"),
     **fallback_of("s_rows", 64, "s_"),
     **neighbours_of("s_rows", "s_"),
-    **splits_of("clean", "[0.5]", prefix="b_"),
+    **splits_of("clean", prefix="b_"),
     **splits_of("clean", prefix="c_"),
 }.items():
     BASE[_name] = _cte
