@@ -13,7 +13,7 @@ from taxaspark.functions import scores
 from taxaspark.operators import calibration, classifier, fallback
 from taxaspark.operators import splits as P
 from taxaspark.operators.kmers import kmer_vectors
-from taxaspark.operators.nearest import nearest_hits
+from taxaspark.operators.nearest import distance_profiles, nearest_hits
 from taxaspark.operators.predictions import long_form
 from taxaspark.plans import deployment
 from taxaspark.plans import evaluation as E
@@ -163,9 +163,21 @@ def _specimen_hits(spark, sf_dir, k):
     return nearest_hits(queries, model.centroids, {r: k for r in RANKS} if isinstance(k, int) else k, model.metric)
 
 
-@query("f4_scaled_distance", "SELECT holdout_fraction, process_id, rank, label, round(d, 6) AS distance FROM s_place WHERE rn <= 3")
+@query("f4_scaled_distance", "SELECT holdout_fraction, process_id, rank, label, round(d, 6) AS distance FROM s_place")
 def f4(spark, sf_dir):
-    return _hit_rows(_specimen_hits(spark, sf_dir, 3)).select("holdout_fraction", "process_id", "rank", "label", "distance")
+    """To every label of every rank; where that is too much, the next query adds them up."""
+    labels = specimen_model(spark, sf_dir).centroids.count()
+    return _hit_rows(_specimen_hits(spark, sf_dir, labels)).select("holdout_fraction", "process_id", "rank", "label", "distance")
+
+
+@query(
+    "f4_distance_profile",
+    "SELECT holdout_fraction, process_id, rank, count(*) AS n_labels, round(sum(d), 6) AS total, round(sum(d*d), 6) AS squares, round(min(d), 6) AS least, round(max(d), 6) AS most FROM s_dist GROUP BY ALL",
+)
+def f4_profile(spark, sf_dir):
+    model = specimen_model(spark, sf_dir)
+    out = distance_profiles(E.query_rows(specimen_rows(spark, sf_dir)), model.centroids, RANKS, model.metric)
+    return out.select("holdout_fraction", "process_id", "rank", "n_labels", *[r6(c).alias(c) for c in ("total", "squares", "least", "most")])
 
 
 @query("f5_nearest_label", "SELECT holdout_fraction, process_id, rank, label, round(d, 6) AS distance, support FROM s_near")
@@ -306,6 +318,33 @@ def f16(spark, sf_dir):
     return prediction_records(deployment.classify(deployed(spark, sf_dir), reads(spark, sf_dir)))
 
 
+# the same for barcodes, encoded by the deployment itself
+SEQUENCES = K2 | {
+    "v_known": "SELECT * FROM clean JOIN dense2 USING (process_id)",
+    "v_role": DEPLOYED["w_role"].replace("specimens", "v_known"),
+    "v_rows": DEPLOYED["w_rows"].replace("w_role", "v_role").replace("specimens", "v_known"),
+} | fallback_of("v_rows", 16, "v_")
+SEQUENCES["v_read"] = "SELECT * FROM v_pred WHERE split='read'"
+SEQUENCES_SQL = _RECORD.format(p="v_").replace("FROM v_pred p", "FROM v_read p")
+
+
+def deployed_sequences(spark, sf_dir):
+    def build():
+        return deployment.deploy(cleaned_barcodes(spark, sf_dir), encoder="kmer_pca", k=2, n_components=16)
+
+    return shared(spark, sf_dir, "deployed-sequences", build)
+
+
+def sequence_reads(spark, sf_dir):
+    return cleaned_barcodes(spark, sf_dir).select(F.concat(F.lit("R"), "process_id").alias("process_id"), "lat", "lon", "sequence")
+
+
+@query("f16_sequence_deployment", SEQUENCES_SQL, **SEQUENCES)
+def f16_sequences(spark, sf_dir):
+    """Reads come as sequences; the deployment's own encoder makes their vectors."""
+    return prediction_records(deployment.classify(deployed_sequences(spark, sf_dir), sequence_reads(spark, sf_dir)))
+
+
 CASCADE = K2 | {"k_rows": "SELECT r.*, d.vec FROM k2_rows r JOIN dense2 d USING (process_id)"}
 
 

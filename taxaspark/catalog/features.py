@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from taxaspark.catalog.registry import query, r6, r9, shared, vec_key
@@ -89,13 +90,32 @@ def _conv(spark, sf_dir):
     return shared(spark, sf_dir, "conv", lambda: conv.fit_conv(cleaned_barcodes(spark, sf_dir), **CONV))
 
 
-@query("d7_conv_embedding", "SELECT process_id, 1.0::DOUBLE AS norm, 8 AS dimensions FROM clean")
+def _convolution(src: str, width: str, prefix: str) -> dict[str, str]:
+    """The encoder's forward pass with its first weights as relations: taps join the ones of the one-hot form.
+
+    ``width`` is the padded length; biases are zero, so places without a one add nothing.
+    """
+    w = conv.initial_weights(CONV["n_filters"], CONV["kernel_size"], CONV["embedding_dim"], 42)
+    p, k = prefix, CONV["kernel_size"]
+    taps = ", ".join(f"({f}, {c}, {t}, {w.conv_w[f, c, t]!r}::DOUBLE)" for f, c, t in np.ndindex(*w.conv_w.shape)).replace("np.float64", "")
+    dense = ", ".join(f"({f}, {d}, {w.dense_w[f, d]!r}::DOUBLE)" for f, d in np.ndindex(*w.dense_w.shape)).replace("np.float64", "")
+    return {
+        f"{p}taps": f"SELECT * FROM (VALUES {taps}) t(f, channel, tap, w)",
+        f"{p}dense": f"SELECT * FROM (VALUES {dense}) t(f, dim, w)",
+        f"{p}hot": f"SELECT process_id, i AS pos, strpos('ACGT', substr(sequence, i+1, 1))-1 AS channel FROM (SELECT *, unnest(range(0, length(sequence))) AS i FROM {src}) WHERE strpos('ACGT', substr(sequence, i+1, 1)) > 0",
+        f"{p}active": f"SELECT process_id, f, pos-tap AS place, greatest(sum(w), 0) AS a FROM {p}hot JOIN {p}taps USING (channel) WHERE pos-tap BETWEEN 0 AND ({width})-{k} GROUP BY ALL",
+        f"{p}pooled": f"SELECT process_id, f, sum(a)/(({width})-{k}+1) AS a FROM {p}active GROUP BY ALL",
+        f"{p}pre": f"SELECT process_id, dim, sum(a*w) AS x FROM {p}pooled JOIN {p}dense USING (f) GROUP BY ALL",
+        f"{p}vec": f"SELECT process_id, list(x/norm ORDER BY dim) AS vec FROM {p}pre JOIN (SELECT process_id, greatest(sqrt(sum(x*x)), 1e-9) AS norm FROM {p}pre GROUP BY ALL) USING (process_id) GROUP BY ALL",
+    }
+
+
+@query("d7_conv_embedding", f"SELECT process_id, {sql_vec_key('vec')} AS vec FROM d7_vec", **_convolution("clean", "750", "d7_"))
 def d7(spark, sf_dir):
-    """Unit vectors of the given weights (the values themselves are tested against a direct loop)."""
-    model = conv.ConvModel(conv.initial_weights(8, 5, 8, 42), 750)
+    """Unit vectors of the encoder with its first weights."""
+    model = conv.ConvModel(conv.initial_weights(CONV["n_filters"], CONV["kernel_size"], CONV["embedding_dim"], 42), 750)
     out = model.transform(cleaned_barcodes(spark, sf_dir).select("process_id", "sequence"))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    return out.select("process_id", r6(norm).alias("norm"), F.size("vec").alias("dimensions"))
+    return out.select("process_id", vec_key("vec").alias("vec"))
 
 
 def _u(draw):
@@ -148,6 +168,18 @@ def d10(spark, sf_dir):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.losses)], "step int, mean_hinge double")
 
 
+@query(
+    "d10_first_step",
+    "SELECT 0 AS step, round(avg(greatest(power(list_distance(a.vec, p.vec), 2)-power(list_distance(a.vec, n.vec), 2)+0.4, 0)), 6) AS mean_hinge "
+    "FROM mined JOIN d10_vec a ON a.process_id=anchor JOIN d10_vec p ON p.process_id=positive JOIN d10_vec n ON n.process_id=negative",
+    **_triplet_sql("clean", str(CONV["batch_size"])),
+    **_convolution("clean", "(SELECT max(length(sequence)) FROM clean)", "d10_"),
+)
+def d10_first(spark, sf_dir):
+    """Mean hinge of the first step's triplets, before any weight has moved."""
+    return spark.createDataFrame([(0, float(_conv(spark, sf_dir).losses[0]))], "step int, mean_hinge double").withColumn("mean_hinge", r6("mean_hinge"))
+
+
 @query(
     "d11_l2_normalise",
     f"SELECT process_id, {sql_vec_key('list_transform(vec, lambda x: x/greatest(norm, 1e-9))')} AS vec FROM normed",

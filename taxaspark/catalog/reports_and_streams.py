@@ -113,12 +113,22 @@ def k1(spark, sf_dir):
     return records(spark.read.parquet(out))
 
 
-@query("k2_stream_classify", CL.DEPLOYED_SQL, **CL.DEPLOYED)
-def k2(spark, sf_dir):
-    """The deployed model over a stream of reads."""
+def _streamed(spark, model, reads):
+    """What the stream of ``reads``, written as files, leaves in its sink."""
     source, out = scratch(spark, "reads"), scratch(spark, "classified")
-    reads = CL.reads(spark, sf_dir)
     reads.write.parquet(source)
     stream = spark.readStream.schema(reads.schema).parquet(source)
-    streams.classify_stream(CL.deployed(spark, sf_dir), stream, out, scratch(spark, "classify-checkpoint")).awaitTermination()
+    streams.classify_stream(model, stream, out, scratch(spark, "classify-checkpoint")).awaitTermination()
     return CL.prediction_records(spark.read.parquet(out))
+
+
+@query("k2_stream_classify", CL.DEPLOYED_SQL, **CL.DEPLOYED)
+def k2(spark, sf_dir):
+    """The deployed model over a stream of reads."""
+    return _streamed(spark, CL.deployed(spark, sf_dir), CL.reads(spark, sf_dir))
+
+
+@query("k2_sequence_stream", CL.SEQUENCES_SQL, **CL.SEQUENCES)
+def k2_sequences(spark, sf_dir):
+    """A stream of sequences, encoded and classified micro-batch by micro-batch."""
+    return _streamed(spark, CL.deployed_sequences(spark, sf_dir), CL.sequence_reads(spark, sf_dir))

@@ -240,6 +240,68 @@ def _by_cells(queries, labels, k_by_rank, metric, skip_self, row_bytes):
     ).select("holdout_fraction", "process_id", *kept, F.coalesce("hits", F.array().cast(f"array<{HIT}>")).alias("hits"))
 
 
+PROFILE = ("n_labels", "total", "squares", "least", "most")
+
+
+def _profile_of_batch(batch, labels: LabelSet, metric: Metric, ranks: tuple[str, ...]) -> list[tuple]:
+    """(rows, rank, *PROFILE) arrays of a query batch over all labels of each rank; a strip of queries at a time."""
+    fraction, vec = floats(batch["holdout_fraction"]), matrix(batch["vec"])
+    geo = np.column_stack([floats(batch["lat"]), floats(batch["lon"])])
+    found = []
+    for f in np.unique(fraction):
+        here = np.flatnonzero(fraction == f)
+        for rank in ranks:
+            lo, hi = labels.spans.get(float(f), {}).get(rank, (0, 0))
+            step = max(1, _CHUNK_CELLS // max(hi - lo, 1))
+            for at in (here[i : i + step] for i in range(0, len(here) if hi > lo else 0, step)):
+                seq_scale, geo_scale = metric.at(float(f), rank)
+                d = full_distances(vec[at], labels.vec[lo:hi]) / seq_scale
+                if geo_scale is not None:
+                    g = haversine_matrix(geo[at, 0], geo[at, 1], labels.geo[lo:hi, 0], labels.geo[lo:hi, 1]) / geo_scale
+                    d = np.where(np.isnan(g), d, metric.seq_weight * d + metric.geo_weight * g)
+                found.append((at, [rank] * len(at), np.full(len(at), hi - lo), d.sum(axis=1), (d * d).sum(axis=1), d.min(axis=1), d.max(axis=1)))
+    return found
+
+
+def distance_profiles(queries: DataFrame, labels: DataFrame, ranks: tuple[str, ...], metric: Metric = Metric(),
+                      broadcast_bytes: int | None = None) -> DataFrame:
+    """(holdout_fraction, process_id, rank, n_labels, total, squares, least, most) over a query's distances to all labels.
+
+    Every distance is computed and none is a row: what leaves a task are sums and extremes, which add up over any
+    cells, so the result has one row per query and rank however many labels there are. A rank without labels has none.
+    """
+    key = ["holdout_fraction", "process_id"]
+    types = [pa.int64()] + 4 * [pa.float64()]
+    schema = "holdout_fraction double, process_id string, rank string, n_labels long, total double, squares double, least double, most double"
+
+    def table_of(batch, found) -> list[pa.Array]:
+        at = pa.array(np.concatenate([x[0] for x in found]) if found else np.zeros(0, int), pa.int64())
+        rank = pa.array([r for x in found for r in x[1]], pa.string())
+        rest = [pa.array(np.concatenate([x[i] for x in found]) if found else [], t) for i, t in enumerate(types, 2)]
+        picked = [batch[c].combine_chunks() if isinstance(batch[c], pa.ChunkedArray) else batch[c] for c in key]
+        return [*(c.take(at) for c in picked), rank, *rest]
+
+    labels, slim = labels.select(*LABEL_COLUMNS), queries.select(*key, "lat", "lon", "vec")
+    rows, row_bytes = label_count(labels)
+    names = [*key, "rank", *PROFILE]
+    if fits_broadcast(rows, row_bytes, **({} if broadcast_bytes is None else {"limit": broadcast_bytes})):
+        shared = queries.sparkSession.sparkContext.broadcast(labels.toArrow())
+
+        def scan(batches):
+            label_set = LabelSet(shared.value)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(table_of(batch, _profile_of_batch(batch, label_set, metric, ranks)), names=names)
+
+        return slim.mapInArrow(scan, schema)
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = _profile_of_batch(left, LabelSet(right), metric, ranks) if left.num_rows and right.num_rows else []
+        return pa.table(table_of(left, found), names=names)
+
+    parts = cell_join(slim, labels, kernel, schema, row_bytes).groupBy(*key, "rank")
+    return parts.agg(*[F.sum(c).alias(c) for c in PROFILE[:3]], F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def full_distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """All direct-difference distances, one dimension at a time (no three-way temporary)."""
     total = np.zeros((len(q), len(c)))
