@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark import RANKS
+from taxaspark.functions.geo import EARTH_RADIUS_KM
 from taxaspark.operators.cells import cell_join
 from taxaspark.operators.nearest import LABEL_COLUMNS, direct_distance, floats, haversine_matrix, label_count, matrix
-from taxaspark.operators.quantiles import BINS, refine_quantile
+from taxaspark.operators.quantiles import refine_quantile
 from taxaspark.session import fits_broadcast, stage, task_count
 
 _PAIR_CHUNK = 500_000
+SPACING_BINS = 1 << 13  # of a pass over the label pairs; two passes tell distances 2^-26 of the range apart
 
 
 def lineage_sums(train: DataFrame) -> DataFrame:
@@ -103,13 +105,12 @@ def _strip_histogram(left, right, brackets: dict) -> list[tuple]:
             if b is None or bounds is None:
                 continue
             low, high = bounds
-            n = np.zeros(BINS, np.int64)
-            lo, hi = np.full(BINS, np.inf), np.full(BINS, -np.inf)
+            n = np.zeros(SPACING_BINS, np.int64)
+            lo, hi = np.full(SPACING_BINS, np.inf), np.full(SPACING_BINS, -np.inf)
             for d in _pair_values(*a, *b, kind):
                 d = d[(d >= low) & (d <= high)]
-                width = high - low
-                bins = np.zeros(len(d), int) if not np.isfinite(width) else np.minimum(BINS - 1, (d - low) / width * BINS).astype(int)
-                n += np.bincount(bins, minlength=BINS)
+                bins = np.minimum(SPACING_BINS - 1, (d - low) / (high - low) * SPACING_BINS).astype(int)
+                n += np.bincount(bins, minlength=SPACING_BINS)
                 np.minimum.at(lo, bins, d)
                 np.maximum.at(hi, bins, d)
             out += [(*group, kind, int(i), int(n[i]), lo[i], hi[i]) for i in np.flatnonzero(n)]
@@ -144,6 +145,10 @@ def centroid_spacing(centroids: DataFrame, broadcast_bytes: int | None = None) -
 
     Median distance over all label pairs of a rank. Fewer than two labels, or a median of exactly
     zero, gives sequence scale 1; fewer than two located labels gives no geographic scale.
+
+    All pairs are gone through twice: once in bins over a range no distance can leave (the diagonal of the box around
+    the labels, half the earth's girth), once in bins over the bin that holds the median. Only where that many bins
+    still leave several values beside it is there a third pass.
     """
     spark = centroids.sparkSession
     slim = centroids.select("holdout_fraction", "rank", "label", "lat", "lon", "vec")
@@ -176,18 +181,19 @@ def centroid_spacing(centroids: DataFrame, broadcast_bytes: int | None = None) -
             out[(r.holdout_fraction, r["rank"], r.kind)].append((r.bin, r.n, r.lo, r.hi))
         return out
 
+    vec = array_to_vector("vec")
     sizes = slim.groupBy("holdout_fraction", "rank").agg(
-        F.count("*").alias("n"), F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("n_geo")
-    ).collect()
+        F.count("*").alias("n"), F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("n_geo"),
+        Summarizer.min(vec).alias("low"), Summarizer.max(vec).alias("high"),
+    ).collect()
     groups = [(r.holdout_fraction, r["rank"]) for r in sizes]
-    open_pairs = {(*g, kind): n * (n - 1) // 2
-                  for g, r in zip(groups, sizes) for kind, n in (("vec", r.n), ("geo", r.n_geo)) if n >= 2}
-    medians = {}
-    if open_pairs:
-        # The first pass has no bounds, so it returns the extent of each group in one bin.
-        first = histogram({k: (-np.inf, np.inf) for k in open_pairs})
-        extents = {k: (v[0][2], v[0][3], open_pairs[k]) for k, v in first.items()}
-        medians = refine_quantile(extents, 0.5, histogram)
+    extents = {}
+    for g, r in zip(groups, sizes):
+        box = float(np.linalg.norm(r.high.toArray() - r.low.toArray()))
+        for kind, n, most in (("vec", r.n, box), ("geo", r.n_geo, np.pi * EARTH_RADIUS_KM)):
+            if n >= 2:
+                extents[(*g, kind)] = (0.0, most * (1 + 1e-9), n * (n - 1) // 2)
+    medians = refine_quantile(extents, 0.5, histogram)
     spacing = {}
     for g in groups:
         seq, geo = medians.get((*g, "vec")), medians.get((*g, "geo"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxaspark.functions import text as X
@@ -40,16 +40,24 @@ def normalise_sequences(df: DataFrame) -> DataFrame:
     return df.withColumn("sequence", X.normalise_sequence(F.col("sequence")))
 
 
+def _digest(*columns: str) -> list:
+    """192 bits of some columns, as a number and a text of fixed size; different rows sharing them is taken to be impossible."""
+    both = F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in columns])
+    return [F.xxhash64(*columns), F.unhex(F.md5(both))]
+
+
 def dedupe(df: DataFrame) -> DataFrame:
     """One row per (species, sequence): the smallest process_id, nulls last.
 
-    A grouped minimum, not a window: copies combine before the shuffle, so a sequence that
-    makes up a third of the table sends one row per task.
+    Rows are dealt and sorted by a digest of the two, never by the sequence. The first row of each is picked before the
+    shuffle as well as after it, so a sequence that makes up a third of the table sends one row per task.
     """
     rest = [c for c in df.columns if c not in ("species", "sequence", "process_id")]
-    first = F.min(F.struct(F.col("process_id").isNull().alias("missing"), "process_id", *rest)).alias("first")
-    picked = df.groupBy("species", "sequence").agg(first)
-    return picked.select(*[c if c in ("species", "sequence") else F.col(f"first.{c}").alias(c) for c in df.columns])
+    number, digest = _digest("species", "sequence")
+    order = [F.col("process_id").asc_nulls_last(), *[F.col(c) for c in rest]]
+    keyed = df.withColumn("_number", number).withColumn("_digest", digest)
+    place = F.row_number().over(Window.partitionBy("_number", "_digest").orderBy(*order))
+    return keyed.withColumn("_place", place).where("_place = 1").select(*df.columns)
 
 
 def length_ok(min_length: int = MIN_LENGTH, max_length: int = MAX_LENGTH):
@@ -75,19 +83,18 @@ def funnel_counts(df: DataFrame, min_length: int = MIN_LENGTH, max_length: int =
                   max_ambiguous: float = MAX_AMBIGUOUS) -> DataFrame:
     """Rows left after each stage, in one pass and one shuffle."""
     ok = F.coalesce(has_required(), F.lit(False))
-    keyed = df.select(
-        ok.alias("ok"),
-        F.when(ok, F.col("species")).alias("species"),
-        F.when(ok, X.normalise_sequence(F.col("sequence"))).alias("sequence"),
-    )
-    distinct = keyed.groupBy("ok", "species", "sequence").agg(F.count("*").alias("n"))
+    ready = df.select(ok.alias("ok"), F.when(ok, F.col("species")).alias("species"), F.when(ok, X.normalise_sequence(F.col("sequence"))).alias("sequence"))
     band = F.col("ok") & length_ok(min_length, max_length)
+    number, digest = _digest("species", "sequence")
+    # What a group's rows have in common is decided before the shuffle, so neither text is in it.
+    keyed = ready.select("ok", band.alias("band"), (band & ambiguity_ok(max_ambiguous)).alias("clear"), number.alias("number"), digest.alias("digest"))
+    distinct = keyed.groupBy("ok", "band", "clear", "number", "digest").agg(F.count("*").alias("n"))
     return distinct.agg(
         F.sum("n").alias("n_raw"),
         F.coalesce(F.sum(F.when(F.col("ok"), F.col("n"))), F.lit(0)).alias("n_required"),
         F.count_if(F.col("ok")).alias("n_dedupe"),
-        F.count_if(band).alias("n_length"),
-        F.count_if(band & ambiguity_ok(max_ambiguous)).alias("n_ambiguous"),
+        F.count_if(F.col("band")).alias("n_length"),
+        F.count_if(F.col("clear")).alias("n_ambiguous"),
     )
 
 

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from taxaspark import RANKS
 from helpers import BruteCascade, random_specimens, vector_rows
 from taxaspark.operators import cells, centroids, classifier, fallback, naive_bayes, nearest_neighbor, quantiles
-from taxaspark.operators.nearest import nearest_hits
+from taxaspark.operators.nearest import distance_profiles, nearest_hits
 
 KEY = ["holdout_fraction", "process_id"]
 
@@ -51,6 +52,22 @@ def test_nearest_by_cells_equals_broadcast(spark, rows):
     assert set(small.columns) == set(large.columns)
 
 
+def test_distance_profiles_add_up_all_labels(spark, rows):
+    train, queries = part(spark, rows, "train"), part(spark, rows, "val", "test")
+    model = fallback.fit(train)
+    labels = model.centroids.count()
+    every = {}
+    for r in nearest_hits(queries, model.centroids, {r: labels for r in RANKS}, model.metric).collect():
+        for h in r.hits:
+            every.setdefault((r.process_id, h["rank"]), []).append(h.distance)
+    want = {k: (len(d), sum(d), sum(x * x for x in d), min(d), max(d)) for k, d in every.items()}
+    for limit in (None, 0):
+        out = distance_profiles(queries, model.centroids, RANKS, model.metric, broadcast_bytes=limit)
+        got = {(r.process_id, r["rank"]): (r.n_labels, r.total, r.squares, r.least, r.most) for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_spacing_by_cells_equals_broadcast(spark, rows):
     c = centroids.fit_centroids(part(spark, rows, "train"))
     small, large = centroids.centroid_spacing(c), centroids.centroid_spacing(c, broadcast_bytes=0)
