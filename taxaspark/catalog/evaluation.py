@@ -10,7 +10,7 @@ from taxaspark.catalog.classification import CLASSIFIER, specimen_classifier, sp
 from taxaspark.catalog.features import K2
 from taxaspark.catalog.registry import query, r6, r9, scratch, shared
 from taxaspark.catalog.sql import bins, fallback_of, neighbours_of
-from taxaspark.operators import calibration, classifier, metrics
+from taxaspark.operators import calibration, classifier, isotonic, metrics
 from taxaspark.operators import splits as P
 from taxaspark.operators.predictions import long_form
 from taxaspark.plans import evaluation as E
@@ -392,24 +392,20 @@ def i4(spark, sf_dir):
 
 
 _ISO = {
-    "iso_x": "SELECT confidence AS x, avg(correct) AS y, count(*) AS w, row_number() OVER (ORDER BY confidence) AS i FROM s_test WHERE rank='family' GROUP BY confidence",
-    "iso_p": "SELECT i, x, sum(w) OVER (ORDER BY i) AS cw, sum(w*y) OVER (ORDER BY i) AS cy, w, w*y AS wy FROM iso_x",
-    "iso_ab": "SELECT a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM iso_p a JOIN iso_p b ON b.i>=a.i",
-    "iso_min": "SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM iso_ab",
-    "iso_fit": "SELECT b AS i, max(m) AS fit FROM iso_min GROUP BY b",
+    "iso_x": "SELECT rank, confidence AS x, avg(correct) AS y, count(*) AS w, row_number() OVER (PARTITION BY rank ORDER BY confidence) AS i FROM s_test GROUP BY rank, confidence",
+    "iso_p": "SELECT rank, i, x, sum(w) OVER (PARTITION BY rank ORDER BY i) AS cw, sum(w*y) OVER (PARTITION BY rank ORDER BY i) AS cy, w, w*y AS wy FROM iso_x",
+    "iso_ab": "SELECT a.rank, a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM iso_p a JOIN iso_p b ON b.rank=a.rank AND b.i>=a.i",
+    "iso_min": "SELECT rank, a, b, min(m) OVER (PARTITION BY rank, a ORDER BY b DESC) AS m FROM iso_ab",
+    "iso_fit": "SELECT rank, b AS i, max(m) AS fit FROM iso_min GROUP BY rank, b",
 }
+_ISO_SQL = "SELECT t.holdout_fraction, t.process_id, t.rank, round(f.fit, 6) AS confidence FROM s_test t JOIN iso_x x ON t.confidence=x.x AND t.rank=x.rank JOIN iso_fit f ON f.rank=x.rank AND f.i=x.i"
 
 
-@query(
-    "i5_isotonic_map",
-    "SELECT t.holdout_fraction, t.process_id, round(f.fit, 6) AS confidence FROM s_test t JOIN iso_x x ON t.confidence=x.x JOIN iso_fit f USING (i) WHERE t.rank='family'",
-    **_ISO,
-)
+@query("i5_isotonic_map", _ISO_SQL, **_ISO)
 def i5(spark, sf_dir):
-    """Isotonic fit on the pooled held-out family scores, applied to the same rows (max-min formula in SQL)."""
-    rows = specimen_test(spark, sf_dir).where("rank = 'family'")
-    fitted = calibration.fit_map(rows, "isotonic")
-    return rows.select("holdout_fraction", "process_id", r6(fitted.column(F.col("confidence"))).alias("confidence"))
+    """Isotonic fits of every rank on the pooled held-out scores, applied to the same rows (max-min formula in SQL)."""
+    out = isotonic.recalibrated(specimen_test(spark, sf_dir), ["rank"])
+    return out.select("holdout_fraction", "process_id", "rank", r6("confidence").alias("confidence"))
 
 
 _NEWTON = """SELECT t.holdout_fraction, t.process_id, round(1/(1+exp(-(f.a*t.confidence+f.b))), 4) AS confidence FROM s_test t, (
@@ -457,21 +453,13 @@ LOHO = {
 }
 
 
-@query("i8_leave_one_holdout", "SELECT holdout_fraction, process_id, round(confidence, 6) AS confidence, correct FROM l_new WHERE rank='family'", **LOHO)
+@query("i8_leave_one_holdout", "SELECT holdout_fraction, process_id, rank, round(confidence, 6) AS confidence, correct FROM l_new", **LOHO)
 def i8(spark, sf_dir):
-    out = calibration.leave_one_holdout(specimen_test(spark, sf_dir).where("rank = 'family'"))
-    return out.select("holdout_fraction", "process_id", r6("confidence").alias("confidence"), "correct")
+    out = calibration.leave_one_holdout(specimen_test(spark, sf_dir), by=("rank",))
+    return out.select("holdout_fraction", "process_id", "rank", r6("confidence").alias("confidence"), "correct")
 
 
-@query(
-    "i9_rank_maps",
-    "SELECT t.holdout_fraction, t.process_id, t.rank, round(f.fit, 6) AS confidence FROM s_test t JOIN iso_x x ON t.confidence=x.x AND t.rank=x.rank JOIN iso_fit f ON f.rank=x.rank AND f.i=x.i",
-    iso_x="SELECT rank, confidence AS x, avg(correct) AS y, count(*) AS w, row_number() OVER (PARTITION BY rank ORDER BY confidence) AS i FROM s_test GROUP BY rank, confidence",
-    iso_p="SELECT rank, i, x, sum(w) OVER (PARTITION BY rank ORDER BY i) AS cw, sum(w*y) OVER (PARTITION BY rank ORDER BY i) AS cy, w, w*y AS wy FROM iso_x",
-    iso_ab="SELECT a.rank, a.i AS a, b.i AS b, (b.cy-a.cy+a.wy)/(b.cw-a.cw+a.w) AS m FROM iso_p a JOIN iso_p b ON b.rank=a.rank AND b.i>=a.i",
-    iso_min="SELECT rank, a, b, min(m) OVER (PARTITION BY rank, a ORDER BY b DESC) AS m FROM iso_ab",
-    iso_fit="SELECT rank, b AS i, max(m) AS fit FROM iso_min GROUP BY rank, b",
-)
+@query("i9_rank_maps", _ISO_SQL, **_ISO)
 def i9(spark, sf_dir):
     """Maps fitted per rank, saved as a table, read back and applied."""
     rows = specimen_test(spark, sf_dir)

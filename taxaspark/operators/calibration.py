@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxaspark import RANKS
+from taxaspark.operators import isotonic
 from taxaspark.session import stage
 
 
@@ -205,16 +206,25 @@ def maps_from_table(table: DataFrame) -> dict[str, ConfidenceMap]:
     return out
 
 
-def leave_one_holdout(rows: DataFrame, method: str = "isotonic") -> DataFrame:
-    """Remap each fraction's scores with a map fitted on the other fractions (one fraction: on itself)."""
+def leave_one_holdout(rows: DataFrame, method: str = "isotonic", by: tuple[str, ...] = ()) -> DataFrame:
+    """Remap each fraction's scores with a map fitted on the other fractions (one fraction: on itself), per group ``by``."""
+    if method == "isotonic":
+        return isotonic.leave_one_out(rows, list(by))
+    parts = []
+    for group in (r.asDict() for r in rows.select(*by).distinct().collect()) if by else [{}]:
+        same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.lit(group[k])), group, F.lit(True))
+        parts += _leave_one_out_of(rows.where(same), method)
+    return reduce(DataFrame.unionByName, parts) if parts else rows
+
+
+def _leave_one_out_of(rows: DataFrame, method: str) -> list[DataFrame]:
     fractions = [r[0] for r in rows.select("holdout_fraction").distinct().orderBy("holdout_fraction").collect()]
-    if len(fractions) < 2:
-        return rows.withColumn("confidence", fit_map(rows, method).column(F.col("confidence"))) if fractions else rows
     parts = []
     for f in fractions:
-        fitted = fit_map(rows.where(F.col("holdout_fraction") != f), method)
+        others = rows.where(F.col("holdout_fraction") != f) if len(fractions) > 1 else rows
+        fitted = fit_map(others, method)
         parts.append(rows.where(F.col("holdout_fraction") == f).withColumn("confidence", fitted.column(F.col("confidence"))))
-    return reduce(DataFrame.unionByName, parts)
+    return parts
 
 
 def raw_gate(rows: DataFrame, n_bins: int = 10, ece_threshold: float = 0.1) -> DataFrame:

@@ -161,8 +161,8 @@ def calibration_job(predictions: DataFrame, out: str | None = None, n_bins: int
     bad = [r for r in RANKS if gate.get(r) is not None and gate[r] > ece_threshold]
     still_bad, remapped, maps = [], None, {}
     if bad and recalibrate:
-        parts = [calibration.leave_one_holdout(test.where(F.col("rank") == r), method) for r in bad]
-        fixed = stage(reduce(DataFrame.unionByName, parts, test.where(~F.col("rank").isin(bad))), "recalibrated")
+        remade = calibration.leave_one_holdout(test.where(F.col("rank").isin(bad)), method, by=("rank",))
+        fixed = stage(remade.unionByName(test.where(~F.col("rank").isin(bad))), "recalibrated")
         remapped = calibration.report(fixed, ["rank"], n_bins)
         after = calibration.raw_gate(fixed, n_bins, ece_threshold).where("failed").collect()
         still_bad = [r["rank"] for r in after]
