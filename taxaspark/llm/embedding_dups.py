@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from taxaspark.llm.rows import cells, components, group_edges, whole_groups
 from taxaspark.llm.shingles import mixed
-from taxaspark.llm.vectors import digests, matrix, units, usable
+from taxaspark.llm.vectors import common_length, digests, matrix, units, usable
 from taxaspark.session import stage
 
 PROJECTIONS = 40
@@ -126,11 +126,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     the limit of similarity may be missed.
 
     Null labels, null or zero vectors, and those with null or non-finite components link with nothing; so do
-    rows without a key. Repeated rows are copies of each other. Vectors of other lengths than most fail.
+    rows without a key, and vectors of another length than most. Repeated rows are copies of each other.
     An empty table gives no row; other columns are not read.
     """
     spark = df.sparkSession
     good = F.col(label).isNotNull() & F.col(key).isNotNull() & usable(vector)
+    good &= F.size(vector) == common_length(df.where(good), vector)
     rows = stage(digests(df.where(good), key, F.col(label), vector), "digests")
     classes = rows.groupBy("digest").agg(F.min("key").alias("id"), F.count("*").alias("copies"), F.min("group").alias("grp"))
     vectors = df.where(good).select(F.col(key).alias("id"), F.col(label).cast("string").alias("grp"), F.col(vector).alias("v"))

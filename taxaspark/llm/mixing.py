@@ -70,10 +70,12 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: str =
     """``docs`` with every row repeated or left out so that sources reach their targets (see ``source_targets``).
 
     Columns and their names stay as they are. A null text counts no word and is taken at its source's rate like
-    any other; a null source is a source; equal rows are sampled one by one; an empty table stays empty.
+    any other; a null source is a source; equal rows are sampled one by one; an empty table stays empty. Which rows come
+    out depends on the rows alone, not on their order or partitions.
     """
     tagged = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[source].alias("source"), word_count(docs[text]).alias("size"), F.monotonically_increasing_id().alias("row")), "tagged")
-    rows = tagged.select("row", "source", "size")
+    # Rows of a size are ordered by what is in them, so that the sample does not depend on how they are dealt.
+    rows = tagged.select(F.md5(F.to_json("doc")).alias("content"), "row", "source", "size")
     taken = sample_copies(rows, targets_of(rows, **options), seed).where("copies > 0").select("row", "copies")
     out = tagged.select("row", "doc").join(taken, "row")
     return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")

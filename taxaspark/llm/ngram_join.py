@@ -383,7 +383,7 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of ``linked_groups``, that with the smallest key; columns stay as they
-    are. Of rows with the same key and text one stays. Documents without a shingle all stay.
+    are. Of rows with the same key and text that whose JSON comes first stays. Documents without a shingle all stay.
 
     Only rows whose key is given up, or is there twice, are shuffled, and the few that a bit table of fixed size
     takes for such.
@@ -397,6 +397,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     marked = held.join(F.broadcast(bits), F.shiftright(place, 6).cast("int") == F.col("word"), "left")
     maybe = F.coalesce(F.expr(f"shiftrightunsigned(bits, cast(shiftrightunsigned(hash, {64 - _FILTER_BITS}) & 63 as int)) & 1") == 1, F.lit(False))
     seen = marked.where(maybe).select("k", "doc").join(touched.withColumnRenamed("k", "t"), F.col("k").eqNullSafe(F.col("t")), "left")
-    turn = F.row_number().over(Window.partitionBy("k", f"doc.`{text}`").orderBy(F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy("k", f"doc.`{text}`").orderBy(F.to_json("doc")))
     seen = seen.where("first or first is null").withColumn("turn", turn).where("turn = 1 or first is null")
     return marked.where(~maybe).select("doc.*").unionByName(seen.select("doc.*"))

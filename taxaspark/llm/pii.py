@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaspark.session import stage
+from taxaspark.session import stage, task_count
 
 # Titles that come before a name, by the gender they tell.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος")
@@ -183,8 +183,9 @@ def assigned(entities: DataFrame, secret: str) -> DataFrame:
 
     Where two meet, the first by attempts and norm keeps it and the others try again, until none meet.
     """
-    family = F.split("kind", "_")[0]
-    now = entities.withColumn("attempt", F.lit(0))
+    family = _family(F.col("kind"))
+    # Drawing takes time, so even few entities are spread over tasks.
+    now = entities.repartition(task_count(entities.sparkSession), "kind", "norm").withColumn("attempt", F.lit(0))
     for _ in range(_ROUNDS):
         now = stage(now.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), secret)).withColumn("family", family), "surrogates")
         first = F.row_number().over(Window.partitionBy("family", "surrogate").orderBy("attempt", "kind", "norm"))
@@ -228,6 +229,22 @@ def _bare(gap: Column, known: Column) -> Column:
     return F.when(F.size(known) > 0, whole).otherwise(gap)
 
 
+def _family(kind: Column) -> Column:
+    """Entities of a family are told apart by their norm alone: a given name and a surname that are one word are one."""
+    return F.when(kind.rlike("^(given_|surname)"), "name").otherwise(kind)
+
+
+def entities(told: DataFrame) -> DataFrame:
+    """Mentioned parts → distinct (kind, norm). A name is one entity whatever stands before it: given where it is that
+    anywhere, with the gender that more titles tell, f where as many tell either, u where none does; else a surname."""
+    kind = F.col("kind")
+    votes = told.where("kind <> 'keep'").groupBy(_family(kind).alias("family"), "norm")
+    votes = votes.agg(*[F.count_if(kind == f"given_{g}").alias(g) for g in "mfu"])
+    gender = F.when((F.col("m") == 0) & (F.col("f") == 0), "u").when(F.col("m") > F.col("f"), "m").otherwise("f")
+    given = F.when(F.col("m") + F.col("f") + F.col("u") > 0, F.concat(F.lit("given_"), gender)).otherwise("surname")
+    return votes.select(F.when(F.col("family") == "name", given).otherwise(F.col("family")).alias("kind"), "norm")
+
+
 def with_surrogates(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     """(doc, kinds): each row as a struct, with entities in ``text`` replaced, and the kinds of these in order.
 
@@ -235,7 +252,7 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text") -> DataFra
     drawn by a hash with ``secret``, checked against each other and against all entities, and drawn again where they
     meet. A given name or surname that a row has after a title or cue is replaced wherever else it stands capitalised in
     that row; ``kinds`` does not list these again. Replacements keep the form (signs between digits, valid check digits, capitals), names also script and
-    gender as the title tells it. Only rows with an entity are shuffled, and only distinct entities are compared.
+    gender as its titles tell it; a name under several titles is one entity. Only rows with an entity are shuffled, and only distinct entities are compared.
 
     A null text stays null and an empty one empty; rows without an entity stay as they are; repeated rows are treated
     alike; an empty table stays empty; other columns of any name are carried along in the struct.
@@ -246,14 +263,14 @@ def with_surrogates(docs: DataFrame, secret: str, text: str = "text") -> DataFra
     found = held.where(has).select("doc", "body", F.transform(mentions(F.col("body")), lambda m: F.struct(kind_of(m).alias("kind"), parts(m).alias("parts"))).alias("found"))
     found = stage(found.withColumn("row", F.monotonically_increasing_id()), "found")
     told = found.select("row", F.posexplode("found").alias("at", "m")).select("row", "at", F.posexplode("m.parts").alias("part", "p")).select("row", "at", "part", "p.*")
-    names = assigned(told.where("kind <> 'keep'").select("kind", "norm").distinct(), secret)
-    said = told.join(names, ["kind", "norm"], "left")
+    names = assigned(entities(told), secret).withColumn("family", _family(F.col("kind"))).drop("kind")
+    said = told.withColumn("family", _family(F.col("kind"))).join(names, ["family", "norm"], "left")
     said = said.select("row", "at", "part", "kind", "norm", "surrogate", F.when(F.col("surrogate").isNull(), F.col("raw")).otherwise(_in_form(F.col("raw"), F.col("norm"), F.col("surrogate"))).alias("new"))
     whole = said.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("at", "part", "new"))).alias("news"),
         F.array_sort(F.collect_set(F.when(F.col("kind").rlike("^(given_|surname)"), F.struct("norm", "kind", "surrogate")))).alias("people"),
     )
-    # a word that is both a given name and a surname: the last kind in order, the surname
+    # a word may be there as a given name and a surname, with one surrogate
     known = F.map_from_entries(F.filter(F.transform("people", lambda p: F.struct(p["norm"], p["surrogate"])), lambda p, i: ~F.coalesce(F.get("people", i + 1)["norm"] == p["norm"], F.lit(False))))
     whole = whole.select("row", "news", known.alias("known"))
     # the text between the mentions, each followed by the parts of the next one

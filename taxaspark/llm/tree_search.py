@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxaspark.llm.vectors import matrix, units, usable
+from taxaspark.llm.vectors import common_length, matrix, units, usable
 from taxaspark.session import stage
 
 #: Vectors the tree is fitted on, at most; every vector is put into it.
@@ -140,12 +140,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", ve
     neighbours, and more as long as those hold no k + 1 vectors. Visits and vectors meet by leaf, a large leaf in
     cells of bounded size; cells give k rows a query. Scores are exact, in doubles; ties go to the smaller key.
 
-    Null or zero vectors, and those with null or non-finite components, take no part, nor do rows without an integer
+    Null or zero vectors, those with null or non-finite components, and those of another length than most take no part, nor do rows without an integer
     key. All copies of a query's row share its key, so none of them is its neighbour. An empty table gives no row;
     other columns are not read.
     """
     spark = df.sparkSession
-    good = df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
+    one_length = F.size(vector) == common_length(df.where(F.col(key).isNotNull()), vector)
+    good = df.where(F.col(key).isNotNull() & usable(vector) & one_length).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks"))
     good = stage(good, "vectors")
     schema = "query long, rank int, id long, score double"
     rows = good.count()

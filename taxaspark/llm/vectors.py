@@ -18,6 +18,13 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & whole & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def common_length(df: DataFrame, vector: str) -> int:
+    """The length most usable vectors of a table have, the smaller of two as frequent; 0 without any."""
+    sizes = df.where(usable(vector)).groupBy(F.size(vector).alias("size")).count()
+    first = sizes.orderBy(F.col("count").desc(), "size").first()
+    return first["size"] if first else 0
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of vectors of one length → 2-d doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -66,3 +66,10 @@ def test_empty_table(spark):
 
 def test_only_empty_texts(spark):
     assert mixing.mix(made(spark, [(1, "a", None, 0), (2, None, "", 0)])).count() == 0
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    rows = [(i % 250, "w " * (i % 3 + 1), f"s{i % 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    told = {tuple(sorted(map(str, mixing.mix(docs.repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(told) == 1

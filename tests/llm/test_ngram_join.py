@@ -99,3 +99,10 @@ def test_keep_one(spark):
     names = {str(g if n else rows[i][0]) for i, (n, g) in want.items()}
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(names)
     assert ngram_join.linked_groups(docs.limit(0)).count() == 0
+
+
+def test_kept_rows_do_not_depend_on_partitions(spark):
+    rows = [(1, "a b c d e f g h", s) for s in "xyz"] + [(2, "a b c d e f g h", "w"), (3, "other text is here for you to read", "v")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    told = {tuple(sorted(map(str, ngram_join.keep_one(docs.repartition(n)).collect()))) for n in (1, 3, 7)}
+    assert len(told) == 1 and len(next(iter(told))) == 2

@@ -95,3 +95,20 @@ def test_all_short_addresses_of_a_host_get_surrogates(spark):
     got = pii.assigned(spark.createDataFrame([("email", n) for n in norms], "kind string, norm string"), "k").collect()
     made = {r["surrogate"] for r in got}
     assert len(got) == len(made) == len(norms) and not made & set(norms)
+
+
+def test_one_surrogate_under_all_titles(spark):
+    rows = [
+        (1, "Dr. Maria Garcia met us. Mrs. Maria Garcia left. My name is Maria Garcia."),
+        (2, "Prof. Maria spoke; Maria agreed."),
+        (3, "Mr. Luca Bianchi. Mr. Luca Bianchi. Mr. Luca."),
+        (4, "Mrs. Luca Verdi."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in replaced(spark, rows)}
+    one = re.fullmatch(r"Dr\. (\w+) (\w+) met us\. Mrs\. (\w+) (\w+) left\. My name is (\w+) (\w+)\.", got[1])
+    assert one and one[1] == one[3] == one[5] != "Maria" and one[2] == one[4] == one[6] != "Garcia"
+    assert got[2] == f"Prof. {one[1]} spoke; {one[1]} agreed."
+    assert one[1][-1] == "a"
+    three = re.fullmatch(r"Mr\. (\w+) (\w+)\. Mr\. (\w+) (\w+)\. Mr\. (\w+)\.", got[3])
+    assert three and three[1] == three[3] == three[5] and three[2] == three[4] and got[4].startswith(f"Mrs. {three[1]} ")
+    assert re.search("(o|en|us)$", three[1])  # two of three titles are male

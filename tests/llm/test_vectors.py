@@ -95,3 +95,12 @@ def test_few_candidates_and_ties(spark):
     rows = [(0, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (5, [3.0, 0.0], None), (9, [0.0, 1.0], 1), (None, [1.0, 0.0], 1)]
     got = [tuple(r) for r in tree_search.nearest(frame(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 5, 1.0), (0, 2, 7, 1.0), (0, 3, 9, 0.0)]
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(i, [1.0, float(i % 5), 2.0], 1) for i in range(40)] + [(50, [1.0, 2.0], 1), (51, [1.0, 2.0], 1), (52, [1.0] * 6, 1), (53, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in embedding_dups.near_duplicates(df).collect()}
+    assert len(got) == 44 and all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (50, 51, 52, 53)) and got[0]["n_links"] >= 7
+    found = tree_search.nearest(df, F.col("vec_id") % 10 == 0).collect()
+    assert {r["query"] for r in found} == {0, 10, 20, 30} and not {r["vec_id"] for r in found} & {50, 51, 52, 53}
