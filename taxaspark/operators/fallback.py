@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taxaspark import RANKS
 from taxaspark.functions.scores import distance_confidence, support_reliability
 from taxaspark.operators.centroids import centroid_spacing, fit_centroids
-from taxaspark.operators.nearest import Metric, nearest_hits
+from taxaspark.operators.nearest import Metric, SharedLabels, nearest_hits, share_labels
 from taxaspark.operators.predictions import rank_map
 from taxaspark.operators.quantiles import exact_quantile
 from taxaspark.session import stage
@@ -45,11 +45,16 @@ class FallbackModel:
     spacing: dict
     thresholds: dict | None = None
     calibrators: dict = field(default_factory=dict)  # rank -> confidence map
+    shared: SharedLabels | None = None  # the centroids, measured and broadcast ahead of many searches
 
     @property
     def metric(self) -> Metric:
         return Metric(*self.settings.weights, scales=self.spacing)
 
+    def prepared(self) -> "FallbackModel":
+        """The same model, whose centroids are no longer read for every table it predicts."""
+        return replace(self, shared=share_labels(self.centroids))
+
     def with_calibrators(self, calibrators: dict | None) -> "FallbackModel":
         return replace(self, calibrators=dict(calibrators or {}))
 
@@ -63,7 +68,7 @@ def fit(train: DataFrame, settings: FallbackSettings = FallbackSettings()) -> Fa
 def hits(model: FallbackModel, queries: DataFrame, relatives: int = 1) -> DataFrame:
     """Nearest label per rank; ``relatives`` of them for species and genus."""
     k = {"species": relatives, "genus": relatives, "family": 1, "order": 1}
-    return nearest_hits(queries, model.centroids, k, model.metric)
+    return nearest_hits(queries, model.shared or model.centroids, k, model.metric)
 
 
 def long_hits(hit_rows: DataFrame) -> DataFrame:

@@ -188,20 +188,35 @@ def label_count(labels: DataFrame) -> tuple[int, int]:
     return r[0], 8 * (r[1] or 0) + 200
 
 
-def nearest_hits(queries: DataFrame, labels: DataFrame, k_by_rank: dict[str, int], metric: Metric = Metric(),
+@dataclass(frozen=True)
+class SharedLabels:
+    """A label table measured once, and broadcast if it is small enough; for many searches of the same labels."""
+
+    table: DataFrame
+    row_bytes: int
+    data: object | None  # broadcast Arrow table
+
+
+def share_labels(labels: DataFrame, broadcast_bytes: int | None = None) -> SharedLabels:
+    table = labels.select(*LABEL_COLUMNS)
+    rows, row_bytes = label_count(table)
+    limit = {} if broadcast_bytes is None else {"limit": broadcast_bytes}
+    small = fits_broadcast(rows, row_bytes, **limit)
+    return SharedLabels(table, row_bytes, table.sparkSession.sparkContext.broadcast(table.toArrow()) if small else None)
+
+
+def nearest_hits(queries: DataFrame, labels: DataFrame | SharedLabels, k_by_rank: dict[str, int], metric: Metric = Metric(),
                  skip_self: bool = False, broadcast_bytes: int | None = None) -> DataFrame:
     """``queries`` (holdout_fraction, process_id, lat, lon, vec, …) with ``hits`` in place of ``vec``."""
-    labels = labels.select(*LABEL_COLUMNS)
-    rows, row_bytes = label_count(labels)
-    limit = {} if broadcast_bytes is None else {"limit": broadcast_bytes}
+    if not isinstance(labels, SharedLabels):
+        labels = share_labels(labels, broadcast_bytes)
     passed = [f for f in queries.schema.fields if f.name != "vec"]
-    if fits_broadcast(rows, row_bytes, **limit):
-        return _by_broadcast(queries, labels, k_by_rank, metric, skip_self, passed)
-    return _by_cells(queries, labels, k_by_rank, metric, skip_self, row_bytes)
+    if labels.data is not None:
+        return _by_broadcast(queries, labels.data, k_by_rank, metric, skip_self, passed)
+    return _by_cells(queries, labels.table, k_by_rank, metric, skip_self, labels.row_bytes)
 
 
-def _by_broadcast(queries, labels, k_by_rank, metric, skip_self, passed):
-    shared = queries.sparkSession.sparkContext.broadcast(labels.toArrow())
+def _by_broadcast(queries, shared, k_by_rank, metric, skip_self, passed):
     names = [f.name for f in passed]
 
     def scan(batches):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -32,8 +34,10 @@ def classify_stream(deployment: Deployment, reads: DataFrame, out: str, checkpoi
     """Predictions of a streaming ``reads`` frame against the fitted model, whatever its size.
 
     Each micro-batch is classified like a table and replaces the folder of its number, so one that is run again after
-    a failure leaves no row twice. The result is read as a table partitioned by ``batch``.
+    a failure leaves no row twice. The result is read as a table partitioned by ``batch``. The model's labels are
+    measured, and broadcast where they are small enough, once for the whole stream.
     """
+    deployment = replace(deployment, model=deployment.model.prepared())
 
     def write(rows: DataFrame, batch: int) -> None:
         classify(deployment, rows).write.mode("overwrite").parquet(f"{out}/batch={batch}")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import RANKS, random_sequence
+from taxaspark.operators import nearest
 from taxaspark.operators import splits as P
 from taxaspark.operators.cleaning import marker_filter, project_records
 from taxaspark.plans import deployment
@@ -128,6 +129,23 @@ def test_stream_of_reads_equals_the_batch(spark, deployed, tmp_path):
         assert got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1])
 
 
+def test_a_stream_measures_its_labels_once(spark, deployed, tmp_path, monkeypatch):
+    reads = corpus(spark).select("process_id", "lat", "lon", "sequence").limit(12)
+    source = str(tmp_path / "reads")
+    for i in range(3):
+        reads.where(F.pmod(F.xxhash64("process_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(source)
+    counted, plain = [], nearest.label_count
+    monkeypatch.setattr(nearest, "label_count", lambda labels: counted.append(1) or plain(labels))
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.classify_stream(deployed, stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.select("batch").distinct().count() > 1 and out.count() == 12 and len(counted) == 1
+    model = deployed.model.prepared()
+    want = sorted(map(str, deployment.classify(deployed, reads).select("process_id", "predicted_rank", "confidence").collect()))
+    assert sorted(map(str, out.select("process_id", "predicted_rank", "confidence").collect())) == want
+    assert model.shared.data is not None and nearest.share_labels(model.centroids, 0).data is None
+
+
 def test_landing_stream_reads_each_file_once(spark, tmp_path):
     landing, out, cp = (str(tmp_path / n) for n in ("landing", "out", "cp"))
 
