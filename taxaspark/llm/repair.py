@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxaspark.llm.rows import positions
-from taxaspark.session import stage
+from taxaspark.session import stage, task_count
 
 # A conversation's k-th block holds its places from FIRST_BLOCK * k^2 on; nothing but the sizes of tasks depends on it.
 FIRST_BLOCK = 64
@@ -150,8 +150,11 @@ def cheapest_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     kind = F.coalesce(F.when(F.substring("role", 1, 1).isin("s", "u", "a"), F.instr(F.lit(KINDS), F.substring("role", 1, 1)) - 1), F.lit(3))
     code = kind + F.when(F.col("fault").isin("blank", "duplicate"), _BLANK).when(F.col("fault") == "truncated", _CUT).otherwise(0)
-    rows = rows.select("conv", "place", code.cast("tinyint").alias("code"))
-    coded = rows.groupBy("conv", _block(F.col("place")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("list"))
+    spark = rows.sparkSession
+    # Codes are small and walking them is not: a number of tasks is asked for, which few bytes do not reduce.
+    tasks = max(task_count(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("conv", "place", code.cast("tinyint").alias("code"), _block(F.col("place")).alias("block"))
+    coded = rows.repartition(tasks, "conv", "block").groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("list"))
     coded = coded.select("conv", "block", F.col("list.code").alias("codes"))
 
     @F.pandas_udf("map array<double>, illegal long, first int, last int")
@@ -183,6 +186,7 @@ def cheapest_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_conv = stage(by_conv.withColumn("back", back("blocks")).select("conv", "back.*"), "checkpoints")
     points = by_conv.select(F.col("conv").alias("__conv"), F.explode("checkpoints").alias("c")).select("__conv", F.col("c.block").alias("__block"), "c.after")
     here = coded.join(points, _same() & (F.col("block") == F.col("__block"))).select("conv", "block", "codes", "after")
+    here = here.repartition(tasks, "conv", "block")
 
     @F.pandas_udf("exits array<int>, edits array<string>")
     def forward(codes: pd.Series, after: pd.Series) -> pd.DataFrame:
