@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from taxaspark.llm.rows import cells, components, group_edges, whole_groups
 from taxaspark.llm.shingles import mixed, set_digest, shingles
-from taxaspark.session import stage
+from taxaspark.session import stage, unstage
 
 #: Rows of one bucket that are compared in one go; a larger bucket is cut into pairs of such parts.
 CELL_ROWS = 2048
@@ -23,6 +23,7 @@ CELL_ROWS = 2048
 _SEEN = 200_000
 _FILTER_BITS = 26
 _FOLDED = 8
+_PARITY = 0x0000FFFF0000FFFF  # of two blocks in a long
 _CELL = ["bucket", "i", "j"]
 _BLOCK_MIX = 0xC2B2AE3D27D4EB4F
 
@@ -32,9 +33,10 @@ class Bands:
     """Sizes in bands, each with a sketch of its own width, for pairs with Jaccard similarity of ``num / den`` or more.
 
     Such sets of a and b shingles differ in at most (den - num) / (den + num) * (a + b). A band's sketch has one
-    block of 64 bits more than two sets of its largest size may differ, plus some spare ones, and every shingle
-    flips one bit of one block: the blocks of two sketches that differ are no more than the shingles that do, so
-    more blocks than the spare ones are equal.
+    block of 32 bits more than two sets of its largest size may differ, plus some spare ones. Every shingle goes to
+    one block, flips one of its 16 parity bits and is xor-ed into its 16 hash bits: the blocks of two sketches that
+    differ, and the parity bits that do, are no more than the shingles that do, so more blocks than the spare ones
+    are equal. The hash bits keep blocks of few shingles from being equal by chance.
     """
 
     num: int
@@ -52,7 +54,9 @@ class Bands:
         return (self.den - self.num) * total // (self.den + self.num)
 
     def spare(self, band: int) -> int:
-        return 1 + 3 * (self.den - self.num) * (self.differ(2 * (self.edge(band + 1) - 1)) + 1) // (self.den + self.num)
+        needed = self.differ(2 * (self.edge(band + 1) - 1)) + 1
+        spare = 1 + 3 * (self.den - self.num) * needed // (self.den + self.num)
+        return spare + (needed + spare) % 2  # an even number of blocks fills whole longs
 
     def blocks(self, band: int) -> int:
         return self.differ(2 * (self.edge(band + 1) - 1)) + 1 + self.spare(band)
@@ -67,10 +71,14 @@ class Bands:
         return [band, band + 1] if self.den * size >= self.num * self.edge(band + 1) else [band]
 
     def sketch(self, found: np.ndarray, band: int) -> np.ndarray:
+        """A block is 16 parity bits, low, and 16 hash bits. ``found`` is sorted, so each block's shingles stand together."""
         blocks = self.blocks(band)
-        bit = ((found >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)) * np.uint64(64) + (found & np.uint64(63))
-        flips = np.bincount(bit.astype(np.int64), minlength=blocks * 64) & 1
-        return np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
+        at = ((found >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+        bits = np.uint64(1) << (found & np.uint64(15)) | (found >> np.uint64(8) & np.uint64(0xFFFF)) << np.uint64(16)
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        made = np.zeros(blocks, dtype=np.uint32)
+        made[at[starts]] = np.bitwise_xor.reduceat(bits, starts)
+        return made
 
 
 @lru_cache(maxsize=1000)
@@ -85,20 +93,25 @@ def _edge(least: int, band: int) -> int:
 def block_keys(sketch: np.ndarray, band: int) -> np.ndarray:
     """A join key for each block: its place and bits hashed, with the band in the low byte."""
     place = np.arange(1, sketch.shape[-1] + 1, dtype=np.uint64) * np.uint64(_BLOCK_MIX)
-    return mixed(sketch ^ place) & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(band & 255)
+    return mixed(sketch.astype(np.uint64) ^ place) & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(band & 255)
+
+
+def parity(sketch: np.ndarray) -> np.ndarray:
+    """How many parity bits of each block are set."""
+    return np.bitwise_count(sketch & np.uint32(0xFFFF))
 
 
 def limit(sketch: np.ndarray, spare: int) -> np.ndarray:
-    """Bits that a block must have to be joined on; ``spare`` blocks at most have fewer.
+    """Parity bits that a block must have to be joined on; ``spare`` blocks at most have fewer.
 
-    Blocks with few bits are equal by chance. Of two linked sets, the one with the higher limit has an equal block
+    Blocks with few bits hold few shingles, or none, and are equal more often. Of two linked sets, the one with the higher limit has an equal block
     above it, and that block is above the other's limit too: both have its key.
     """
-    return np.partition(np.bitwise_count(sketch), spare, axis=-1)[..., spare]
+    return np.partition(parity(sketch), spare, axis=-1)[..., spare]
 
 
 def keys(sketch: np.ndarray, band: int, spare: int) -> np.ndarray:
-    return block_keys(sketch, band)[np.bitwise_count(sketch) >= limit(sketch, spare)]
+    return block_keys(sketch, band)[parity(sketch) >= limit(sketch, spare)]
 
 
 def _short(digest: bytes) -> int:
@@ -152,7 +165,7 @@ def bucket_keys(sets: DataFrame, bands: Bands) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sketches = batch.column(2).to_numpy(zero_copy_only=False)
-                made = [keys(w.view(np.uint64), band, bands.spare(band)).view(np.int64) for band, w in zip(batch.column(1).to_pylist(), sketches, strict=True)]
+                made = [keys(w.view(np.uint32), band, bands.spare(band)).view(np.int64) for band, w in zip(batch.column(1).to_pylist(), sketches, strict=True)]
                 if made:
                     rids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in made])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(rids)], names=["bucket", "rid"])
@@ -213,11 +226,12 @@ def _maybe(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
 
 
 def folded(sketch: np.ndarray) -> np.ndarray:
-    """A sketch with its blocks laid on one another, eight or fewer stay; it still differs in no more bits than
+    """A sketch's parity bits with their longs laid on one another, eight stay; they still differ in no more bits than
     shingles do."""
-    padded = np.zeros(-(-len(sketch) // _FOLDED) * _FOLDED, dtype=np.uint64)
-    padded[: len(sketch)] = sketch
-    return np.bitwise_xor.reduce(padded.reshape(-1, _FOLDED), axis=0)
+    bits = (sketch & np.uint32(0xFFFF)).astype(np.uint16)
+    padded = np.zeros(-(-len(bits) // (4 * _FOLDED)) * 4 * _FOLDED, dtype=np.uint16)
+    padded[: len(bits)] = bits
+    return np.bitwise_xor.reduce(padded.view(np.uint64).reshape(-1, _FOLDED), axis=0)
 
 
 def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
@@ -228,7 +242,7 @@ def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             batch = whole.filter(pa.array(_maybe(table.value, whole.column(1).to_numpy())))
-            folds = [folded(w.view(np.uint64)).view(np.int64) for w in batch.column(4).to_numpy(zero_copy_only=False)]
+            folds = [folded(w.view(np.uint32)).view(np.int64) for w in batch.column(4).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.list_(pa.int64()))], names=names)
 
     flat = sets.select("digest", "rid", "n", F.explode("sketches").alias("s")).select("digest", "rid", "n", "s.band", "s.words")
@@ -268,8 +282,8 @@ def _sets_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(rid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "rid", "shingles"])
 
 
-def _flips(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+def _flips(a: str, b: str, mask: int) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(mask)))), F.lit(0), lambda t, x: t + x)
 
 
 def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
@@ -278,25 +292,28 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFram
     Folded sketches, which are small, are compared first, and the whole ones of the pairs that are left.
     """
 
-    def joined(left: DataFrame, on: list[str], bits: str) -> DataFrame:
+    def joined(left: DataFrame, on: list[str], bits: str, mask: int) -> DataFrame:
         side = lambda x: sketches.select(*[F.col(c).alias(x if c == "rid" else f"{x}_{c}") for c in ("rid", "digest", "n", "band", bits)])
         both = left.join(side("a"), ["a", *[c for c in on if c.startswith("a_")]]).join(side("b"), ["b", *[c for c in on if c.startswith("b_")]])
         both = both.where("a_band = b_band and a_digest <> b_digest")
-        return both.where(_flips(f"a_{bits}", f"b_{bits}") * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
+        return both.where(_flips(f"a_{bits}", f"b_{bits}", mask) * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
 
     on = ["a_digest", "a_band", "b_digest", "b_band"]
-    near = joined(pairs, [], "fold").select("a", "b", *on)
-    return joined(near, on, "words").select("a", "b", "a_digest", "b_digest").distinct()
+    near = joined(pairs, [], "fold", -1).select("a", "b", *on)
+    return joined(near, on, "words", _PARITY).select("a", "b", "a_digest", "b_digest").distinct()
 
 
 def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Bands) -> DataFrame:
     """Close pairs → (a, b) digests of those whose sets are linked."""
     rids = stage(close.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rids")
     sets = stage(asked_sets(docs, text, words, rids), "shingles")
+    unstage(rids)
     whole = lambda x: sets.select(F.col("digest").alias(f"{x}_digest"), F.col("shingles").alias(f"{x}_set"))
     both = close.join(whole("a"), "a_digest").join(whole("b"), "b_digest").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
     linked = both.where(F.col("common") * bands.den >= (F.size("a_set") + F.size("b_set") - F.col("common")) * bands.num)
-    return linked.select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b"))
+    linked = stage(linked.select(F.col("a_digest").alias("a"), F.col("b_digest").alias("b")), "links")
+    unstage(sets)
+    return linked
 
 
 def open_pairs(rows: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
@@ -326,8 +343,8 @@ def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
         if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
             continue
         band = int(of_band[lo])
-        sketch = np.stack(words[lo:hi]).view(np.uint64)
-        joined = np.bitwise_count(sketch) >= limit(sketch, bands.spare(band))[:, None]
+        sketch = np.stack(words[lo:hi]).view(np.uint32)
+        joined = parity(sketch) >= limit(sketch, bands.spare(band))[:, None]
         for x in range(hi - lo - 1):
             rest = slice(lo + x + 1, hi)
             apart = labels[rest] != labels[lo + x]
@@ -336,7 +353,7 @@ def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
             others = np.flatnonzero(apart) + x + 1
             for at in range(0, len(others), 512):  # so many at a time hold little memory
                 y = others[at : at + 512]
-                flips = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
+                flips = parity(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
                 y = y[flips * (bands.den + bands.num) <= (sizes[lo + y] + sizes[lo + x]) * (bands.den - bands.num)]
                 if not len(y):
                     continue
@@ -363,19 +380,27 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     bands = Bands(num, den)
     sets = stage(shingle_sets(docs, key, text, words, bands), "sets")
     shared = stage(shared_buckets(bucket_keys(sets, bands)), "shared")
-    sketches = stage(asked_sketches(sets, stage(shared.select("rid").distinct(), "asked")), "sketches")
+    asked = stage(shared.select("rid").distinct(), "asked")
+    sketches = stage(asked_sketches(sets, asked), "sketches")
+    every = stage(sets.select("key", "n", "digest"), "every")
+    unstage(sets, asked)
     tested = stage(shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "tested")
-    links = stage(verified(stage(close_pairs(tested, sketches, bands), "close"), docs, text, words, bands), "links")
+    close = stage(close_pairs(tested, sketches, bands), "close")
+    links = verified(close, docs, text, words, bands)
     roots = components(links, "a", "b")
     names = sketches.select("digest", "rid").distinct()
     labels = roots.join(names, F.col("node") == F.col("digest")).select("rid", "root")
     labels = labels.join(names.select("digest", F.col("rid").alias("label")), F.col("root") == F.col("digest")).select("rid", "label")
     rows = shared.where("rid <> hub").select("bucket", "rid").join(labels, "rid", "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
-    left = open_pairs(stage(rows, "labelled"), sketches, bands).join(tested, ["a", "b"], "left_anti")
-    left = stage(close_pairs(stage(left, "left"), sketches, bands), "close")
-    if not left.isEmpty():
-        roots = components(links.unionByName(verified(left, docs, text, words, bands)), "a", "b")
-    named = sets.select("key", "n", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "n", F.coalesce("root", "digest").alias("root"))
+    rows = stage(rows, "labelled")
+    unstage(shared, close)
+    left = stage(open_pairs(rows, sketches, bands).join(tested, ["a", "b"], "left_anti"), "left")
+    unstage(rows, tested)
+    near = stage(close_pairs(left, sketches, bands), "close")
+    unstage(left, sketches)
+    if not near.isEmpty():
+        roots = components(links.unionByName(verified(near, docs, text, words, bands)), "a", "b")
+    named = every.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "n", F.coalesce("root", "digest").alias("root"))
     names = named.where("root is not null").groupBy("root").agg(F.min("key").alias("group"))
     named = named.join(names, "root", "left")
     return named.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("group")).alias("group"))
