@@ -23,7 +23,9 @@ CELL_ROWS = 2048
 _SEEN = 200_000
 _FILTER_BITS = 26
 _FOLDED = 8
-_PARITY = 0x0000FFFF0000FFFF  # of two blocks in a long
+# Bits of a long that count together: all of a fold's, either half of either block of a sketch's.
+_FOLD_FIELDS = [[-1]]
+_BLOCK_FIELDS = [[0xFFFF, 0xFFFF << 16], [0xFFFF << 32, -1 << 48]]
 _CELL = ["bucket", "i", "j"]
 _BLOCK_MIX = 0xC2B2AE3D27D4EB4F
 
@@ -34,9 +36,9 @@ class Bands:
 
     Such sets of a and b shingles differ in at most (den - num) / (den + num) * (a + b). A band's sketch has one
     block of 32 bits more than two sets of its largest size may differ, plus some spare ones. Every shingle goes to
-    one block, flips one of its 16 parity bits and is xor-ed into its 16 hash bits: the blocks of two sketches that
-    differ, and the parity bits that do, are no more than the shingles that do, so more blocks than the spare ones
-    are equal. The hash bits keep blocks of few shingles from being equal by chance.
+    one block and flips one bit of each of its halves: the blocks of two sketches that differ, and in either half of
+    a block the bits that do, are no more than the shingles that do, so more blocks than the spare ones are equal.
+    Shingles that cancel each other in one half seldom do in the other.
     """
 
     num: int
@@ -71,10 +73,10 @@ class Bands:
         return [band, band + 1] if self.den * size >= self.num * self.edge(band + 1) else [band]
 
     def sketch(self, found: np.ndarray, band: int) -> np.ndarray:
-        """A block is 16 parity bits, low, and 16 hash bits. ``found`` is sorted, so each block's shingles stand together."""
+        """``found`` is sorted, so each block's shingles stand together."""
         blocks = self.blocks(band)
         at = ((found >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        bits = np.uint64(1) << (found & np.uint64(15)) | (found >> np.uint64(8) & np.uint64(0xFFFF)) << np.uint64(16)
+        bits = np.uint64(1) << (found & np.uint64(15)) | np.uint64(1) << (np.uint64(16) + (found >> np.uint64(8) & np.uint64(15)))
         starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         made = np.zeros(blocks, dtype=np.uint32)
         made[at[starts]] = np.bitwise_xor.reduceat(bits, starts)
@@ -97,12 +99,12 @@ def block_keys(sketch: np.ndarray, band: int) -> np.ndarray:
 
 
 def parity(sketch: np.ndarray) -> np.ndarray:
-    """How many parity bits of each block are set."""
-    return np.bitwise_count(sketch & np.uint32(0xFFFF))
+    """How many bits of each block's fuller half are set; of two sketches xor-ed, the shingles that differ at least."""
+    return np.maximum(np.bitwise_count(sketch & np.uint32(0xFFFF)), np.bitwise_count(sketch >> np.uint32(16)))
 
 
 def limit(sketch: np.ndarray, spare: int) -> np.ndarray:
-    """Parity bits that a block must have to be joined on; ``spare`` blocks at most have fewer.
+    """Bits that a block must have to be joined on; ``spare`` blocks at most have fewer.
 
     Blocks with few bits hold few shingles, or none, and are equal more often. Of two linked sets, the one with the higher limit has an equal block
     above it, and that block is above the other's limit too: both have its key.
@@ -226,7 +228,7 @@ def _maybe(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
 
 
 def folded(sketch: np.ndarray) -> np.ndarray:
-    """A sketch's parity bits with their longs laid on one another, eight stay; they still differ in no more bits than
+    """The low halves of a sketch's blocks with their longs laid on one another, eight stay; they still differ in no more bits than
     shingles do."""
     bits = (sketch & np.uint32(0xFFFF)).astype(np.uint16)
     padded = np.zeros(-(-len(bits) // (4 * _FOLDED)) * 4 * _FOLDED, dtype=np.uint16)
@@ -282,8 +284,14 @@ def _sets_batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(rid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "rid", "shingles"])
 
 
-def _flips(a: str, b: str, mask: int) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(mask)))), F.lit(0), lambda t, x: t + x)
+def _flips(a: str, b: str, fields: list[list[int]]) -> Column:
+    """At least so many shingles differ: the sum over longs and blocks of the bits that do in the fuller field."""
+
+    def differ(x: Column, y: Column) -> Column:
+        counts = [[F.bit_count(x.bitwiseXOR(y).bitwiseAND(F.lit(mask))) for mask in block] for block in fields]
+        return sum((F.greatest(*c) if len(c) > 1 else c[0] for c in counts), F.lit(0))
+
+    return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda t, x: t + x)
 
 
 def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
@@ -292,15 +300,15 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFram
     Folded sketches, which are small, are compared first, and the whole ones of the pairs that are left.
     """
 
-    def joined(left: DataFrame, on: list[str], bits: str, mask: int) -> DataFrame:
+    def joined(left: DataFrame, on: list[str], bits: str, fields: list[list[int]]) -> DataFrame:
         side = lambda x: sketches.select(*[F.col(c).alias(x if c == "rid" else f"{x}_{c}") for c in ("rid", "digest", "n", "band", bits)])
         both = left.join(side("a"), ["a", *[c for c in on if c.startswith("a_")]]).join(side("b"), ["b", *[c for c in on if c.startswith("b_")]])
         both = both.where("a_band = b_band and a_digest <> b_digest")
-        return both.where(_flips(f"a_{bits}", f"b_{bits}", mask) * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
+        return both.where(_flips(f"a_{bits}", f"b_{bits}", fields) * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
 
     on = ["a_digest", "a_band", "b_digest", "b_band"]
-    near = joined(pairs, [], "fold", -1).select("a", "b", *on)
-    return joined(near, on, "words", _PARITY).select("a", "b", "a_digest", "b_digest").distinct()
+    near = joined(pairs, [], "fold", _FOLD_FIELDS).select("a", "b", *on)
+    return joined(near, on, "words", _BLOCK_FIELDS).select("a", "b", "a_digest", "b_digest").distinct()
 
 
 def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Bands) -> DataFrame:

@@ -85,6 +85,14 @@ def test_linked_sets_share_a_key():
                 assert np.bitwise_count(ngram_join.folded(x) ^ ngram_join.folded(y)).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sql_and_numpy_count_the_same_bits(spark):
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(0, 1 << 32, 40).astype(np.uint32) for _ in range(2))
+    row = spark.createDataFrame([(x.view(np.int64).tolist(), y.view(np.int64).tolist())], "a array<long>, b array<long>")
+    got = row.select(ngram_join._flips("a", "b", ngram_join._BLOCK_FIELDS), ngram_join._flips("a", "b", ngram_join._FOLD_FIELDS)).first()
+    assert tuple(got) == (ngram_join.parity(x ^ y).sum(), np.bitwise_count(x ^ y).sum())
+
+
 def test_shingles_end_at_ascii_space_only():
     assert len(shingles("a\x0bb\x0cc d e", 3)) == 2
     assert (shingles("ÀB c d", 3) == shingles("Àb C D", 3)).all()
