@@ -54,11 +54,18 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished jobs now: it does so once the driver has collected their frames,
+    which by itself it may not do for half an hour."""
+    spark._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to shared scratch and read it back: lineage is cut, a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
+    release_shuffles(df.sparkSession)
     staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged._staged_path = path
     return staged
