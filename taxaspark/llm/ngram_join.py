@@ -214,15 +214,15 @@ def _bits(hashes: DataFrame, column: str) -> DataFrame:
     return hashes.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
 
 
-def _wanted(rids: DataFrame) -> np.ndarray:
-    """The bit table of ``rids`` (8 MB); others pass it too, which costs work only."""
-    got = _bits(rids, "rid").toArrow()
+def hash_bits(hashes: DataFrame, column: str) -> np.ndarray:
+    """The bit table of a column of hashes (8 MB); others pass it too, which costs work only."""
+    got = _bits(hashes, column).toArrow()
     table = np.zeros(1 << (_FILTER_BITS - 6), dtype=np.int64)
     table[got["word"].to_numpy()] = got["bits"].to_numpy()
     return table.view(np.uint64)
 
 
-def _maybe(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
+def in_bits(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
     place = rids.view(np.uint64) >> np.uint64(64 - _FILTER_BITS)
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
@@ -238,12 +238,12 @@ def folded(sketch: np.ndarray) -> np.ndarray:
 
 def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
     """(digest, rid, n, band, words, fold): the sketches of the sets whose rid is asked for, each once."""
-    table = sets.sparkSession.sparkContext.broadcast(_wanted(rids))
+    table = sets.sparkSession.sparkContext.broadcast(hash_bits(rids, "rid"))
     names = ["digest", "rid", "n", "band", "words", "fold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            batch = whole.filter(pa.array(_maybe(table.value, whole.column(1).to_numpy())))
+            batch = whole.filter(pa.array(in_bits(table.value, whole.column(1).to_numpy())))
             folds = [folded(w.view(np.uint32)).view(np.int64) for w in batch.column(4).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.list_(pa.int64()))], names=names)
 
@@ -254,7 +254,7 @@ def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
 
 def asked_sets(docs: DataFrame, text: str, words: int, rids: DataFrame) -> DataFrame:
     """(digest, shingles) of the sets whose rid is asked for, each once; reads the texts again."""
-    table = docs.sparkSession.sparkContext.broadcast(_wanted(rids))
+    table = docs.sparkSession.sparkContext.broadcast(hash_bits(rids, "rid"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -262,7 +262,7 @@ def asked_sets(docs: DataFrame, text: str, words: int, rids: DataFrame) -> DataF
             rows, held = [], 0
             for value in batch.column(0):
                 s = shingles(value.as_py(), words)
-                if not len(s) or (digest := set_digest(s)) in seen or not _maybe(table.value, np.frombuffer(digest[:8], dtype="<i8"))[0]:
+                if not len(s) or (digest := set_digest(s)) in seen or not in_bits(table.value, np.frombuffer(digest[:8], dtype="<i8"))[0]:
                     continue
                 if len(seen) >= _SEEN:
                     seen.clear()
