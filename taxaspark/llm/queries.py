@@ -78,7 +78,7 @@ def _of_kind(kind: str):
 @query("op3_secrets")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", secrets.secret_spans("text", words=secrets.corpus_words(docs)).alias("found"))
+    found = docs.select("doc_id", secrets.secret_spans("text", words=secrets.corpus_words(docs), whole=True).alias("found"))
     base = F.filter("found", lambda s: s["kind"] != "guess")
     counts = [_of_kind(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(secrets.spans_digest(base), 256).alias("base_sha256"), secrets.spans_digest(F.col("found")).alias("spans"))

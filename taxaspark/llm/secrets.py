@@ -41,12 +41,12 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of credential patterns; of an assignment its value."""
+def base_spans(text: str, whole: bool = False) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of credential patterns; of an assignment its value, or if ``whole`` all of it from its word on."""
     low = text.lower()
     found = []
     if any(h in low for h in _ASSIGN_HINTS):
-        found += [(m.start(2), 0, m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+        found += [(m.start(0 if whole else 2), 0, m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     return found + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
@@ -90,19 +90,23 @@ def corpus_words(docs: DataFrame, text: str = "text", most: int = DICTIONARY, le
     return Ranked((*COMMON_WORDS, *[r["word"] for r in ranked.orderBy(F.desc("n"), "word").collect()]))
 
 
-def all_spans(text: str, min_log10: float = MIN_LOG10, words: tuple[str, ...] | Ranked = COMMON_WORDS) -> list[tuple[int, int, int]]:
+def all_spans(text: str, min_log10: float = MIN_LOG10, words: tuple[str, ...] | Ranked = COMMON_WORDS, whole: bool = False) -> list[tuple[int, int, int]]:
     """Base spans, and what stands after a credential word and costs more than 10^``min_log10`` guesses, unless a
-    base span covers it; sorted by start, then kind."""
+    base span covers it; sorted by start, then kind. ``whole`` is as for ``base_spans`` and adds or drops no span."""
     found = base_spans(text)
     for start, end in _values(text):
         if end - start >= 6 and not any(a <= start and end <= b for a, k, b in found if k < 3) and log10_guesses(text[start:end], words) >= min_log10:
             found.append((start, 3, end))
+    if whole and any(k == 0 for _, k, _ in found):
+        found = base_spans(text, whole=True) + [s for s in found if s[1] == 3]
     return sorted(found)
 
 
-def secret_spans(text: str | Column, min_log10: float = MIN_LOG10, words: tuple[str, ...] | Ranked = COMMON_WORDS) -> Column:
+def secret_spans(text: str | Column, min_log10: float = MIN_LOG10, words: tuple[str, ...] | Ranked = COMMON_WORDS, whole: bool = False) -> Column:
     """Column of spans (kind, start, stop; code points, stop exclusive) in a whole text.
 
+    An assignment's span is its value, which is what to mask; ``whole``: the matched text from the credential word on.
+
     A value is cut at least cost into words, dates, repeats, keyboard walks and single characters
     (``guesses.log10_guesses``). ``words``: ranked words, cheapest first, as of ``corpus_words``. A null or empty text
     has none.
@@ -113,7 +117,7 @@ def secret_spans(text: str | Column, min_log10: float = MIN_LOG10, words: tuple[
     @F.pandas_udf(SPAN_TYPE)
     def scan(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([[(KINDS[k], a, b) for a, k, b in all_spans(t, min_log10, given if sent is None else sent.value)] if t else [] for t in part], dtype=object)
+            yield pd.Series([[(KINDS[k], a, b) for a, k, b in all_spans(t, min_log10, given if sent is None else sent.value, whole)] if t else [] for t in part], dtype=object)
 
     return scan(F.col(text) if isinstance(text, str) else text)
 

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from taxaspark.llm import guesses, secrets
+from taxaspark.llm import guesses, queries, secrets
 
 
 def naive(text):
@@ -95,3 +96,16 @@ def test_words_of_the_corpus_are_cheap_but_leaked_values_are_not(spark):
     got = {r["text"] for r in secrets.mask_secrets(docs).collect()}
     assert "pwd: [SECRET] and credential: sentencepiece" in got
     assert secrets.all_spans(rows[-1], words=guesses.COMMON_WORDS) != secrets.all_spans(rows[-1], words=words)
+
+
+def test_the_query_reports_whole_matches(spark, tmp_path):
+    text = "é token = 'abcdef12' and pwd: x8!Kf$2qZ, " + "0123456789abcdef" * 2 + ' api_key="' + "ab12" * 6 + '"; secret=short'
+    docs = spark.createDataFrame([(1, text), (2, None), (None, text), (1, text)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    base = "assign:2:19,hex:41:73,assign:74:107,hex:83:107"
+    assert text[2:19] == "token = 'abcdef12" and text[74:107] == 'api_key="' + "ab12" * 6
+    got = sorted((r.doc_id or 0, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in queries.QUERIES["op3_secrets"](spark, str(tmp_path)).collect())
+    found = (2, 0, 2, hashlib.sha256(base.encode()).hexdigest(), base.replace("hex:41", "guess:30:39,hex:41", 1))
+    assert got == sorted([(0, *found), (1, *found), (1, *found), (2, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")])
+    # What is masked stays the value.
+    assert secrets.all_spans("password=hunter2abc", whole=True) == [(0, 0, 19)] and secrets.all_spans("password=hunter2abc") == [(9, 0, 19)]
