@@ -117,6 +117,19 @@ def test_gradient_matches_finite_differences():
         assert total[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def test_counted_windows_give_the_same_vectors_and_gradient(monkeypatch):
+    w = conv.initial_weights(3, 4, 5, 2)
+    texts = [random_sequence(i, 9 + 6 * i) for i in range(4)] + ["", "ACGTNNACGTxACg", "A"]
+    d_emb = np.random.default_rng(1).normal(size=(len(texts), 5))
+    w = w.like(w.flat() + 0.01)  # with biases
+    emb, saved = conv.embed(w, texts, 24)
+    plain, laid_out = conv.forward(w, conv.one_hot(texts, 24))
+    np.testing.assert_allclose(emb, plain, atol=1e-12)
+    np.testing.assert_allclose(conv.gradient(w, emb, saved, d_emb), conv.gradient(w, plain, laid_out, d_emb), atol=1e-12)
+    monkeypatch.setattr(conv, "_TABLE", 0)
+    assert len(conv.embed(w, texts, 24)[1]) == 4
+
+
 def families(spark, copies=5, length=70):
     """Species that differ in base composition; each row is a fresh draw."""
     rng = np.random.default_rng(13)
@@ -150,6 +163,21 @@ def test_updates_follow_the_gradient_of_each_step(spark):
     np.testing.assert_allclose(model.weights.flat(), w.flat(), atol=1e-9)
 
 
+@pytest.mark.parametrize("chars", [1, 4000, 1 << 24])
+def test_small_steps_share_jobs(spark, monkeypatch, chars):
+    """Not a job per step; whatever a job holds, the steps are the same."""
+    df, jobs = families(spark), []
+    descend = conv._descend
+    monkeypatch.setattr(conv, "_JOB_CHARS", chars)
+    monkeypatch.setattr(conv, "_descend", lambda *a: jobs.append(1) or descend(*a))
+    model = conv.fit_conv(df, epochs=3, batch_size=4, **SHAPE)
+    monkeypatch.setattr(conv, "_BATCH", 3)  # too large for one task: a job per step
+    alone = conv.fit_conv(df, epochs=3, batch_size=4, **SHAPE)
+    assert len(jobs) == {1: 12, 4000: 3, 1 << 24: 1}[chars] and len(model.losses) == 12
+    np.testing.assert_allclose(model.losses, alone.losses, atol=1e-9)
+    np.testing.assert_allclose(model.weights.flat(), alone.weights.flat(), atol=1e-9)
+
+
 def test_defaults_read_whole_sequences_in_several_updates(spark):
     df = families(spark, copies=30)
     model = conv.fit_conv(df, epochs=1, **SHAPE)
