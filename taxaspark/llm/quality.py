@@ -12,15 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxaspark.llm import word_model
-from taxaspark.session import stage, unstage
+from taxaspark.session import fits_broadcast, stage, unstage
 
 ORDER = 4
 _BITS = 6
 CLASSES = 1 << _BITS
 GRAMS = CLASSES**ORDER
-#: Trusted rows that the model is fitted on, and further ones that the thresholds come from, at most.
-FIT_ROWS = 60_000
-CALIBRATION_ROWS = 20_000
 #: Target: of held-out trusted rows each score may reject half a hundredth per language, both together one hundredth.
 QUANTILE = 0.995
 MARGIN = 0.0
@@ -28,8 +25,10 @@ MARGIN = 0.0
 PRIOR_CHARS = 200
 #: The same for the score by words.
 PRIOR_WORDS = 20
-#: Of all trusted rows, one in so many is kept out of the word model, for its thresholds.
+#: Of all trusted rows, one in so many is kept out of each model, for its thresholds.
 HELD_OUT = 4
+# Of a trusted row's key in a broadcast table.
+_KEY_BYTES = 32
 # Scores travel as whole thousandths of a nat.
 _UNIT = 1000.0
 _CHUNK_CHARS = 4_000_000
@@ -166,24 +165,38 @@ def log_perplexity(text: str | Column, table: Broadcast) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-def chosen_rows(labels: DataFrame, key: str, good: Column, fit_rows: int, calibration_rows: int) -> DataFrame:
-    """(key, fit): a bounded sample by a hash of the key of the rows that ``good`` marks; true ones are fitted on."""
+def chosen_rows(labels: DataFrame, key: str, good: Column, fit_rows: int | None = None, calibration_rows: int | None = None) -> DataFrame:
+    """(key, fit): the keys that ``good`` marks, each once; true ones, by a hash of the key, are fitted on.
+
+    All of them, one in ``HELD_OUT`` not fitted on; with both numbers told, a sample of about so many.
+    """
     trusted = labels.where(good & F.col(key).isNotNull()).select(F.col(key).alias("chosen")).distinct()
-    n, most = max(1, trusted.count()), fit_rows + calibration_rows
     spread = F.abs(F.xxhash64("chosen", F.lit("quality"))) % 1_000_000
+    if fit_rows is None or calibration_rows is None:
+        return trusted.select("chosen", (spread < 1_000_000 * (1 - 1 / HELD_OUT)).alias("fit"))
+    n, most = max(1, trusted.count()), fit_rows + calibration_rows
     share = min(1.0, most / n)
     cut = 1_000_000 * share * fit_rows / most
     return trusted.where(spread < 1_000_000 * share).select("chosen", (spread < cut).alias("fit"))
 
 
+def _marked(rows: DataFrame, chosen: DataFrame, small: bool) -> DataFrame:
+    """``rows`` (key, ...) with ``fit``, null where the key is not a chosen one. Few keys are broadcast; in a shuffle rows
+    without a key would all meet, so they stay out of it."""
+    if small:
+        return rows.join(F.broadcast(chosen), F.col("key") == F.col("chosen"), "left").drop("chosen")
+    told = rows.where("key is not null").join(chosen, F.col("key") == F.col("chosen"), "left").drop("chosen")
+    return told.unionByName(rows.where("key is null").withColumn("fit", F.lit(None).cast("boolean")))
+
+
 def judge(
     docs: DataFrame, labels: DataFrame, good: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, quantile: float = QUANTILE, margin: float = MARGIN, prior_chars: int = PRIOR_CHARS,
+    fit_rows: int | None = None, calibration_rows: int | None = None, quantile: float = QUANTILE, margin: float = MARGIN, prior_chars: int = PRIOR_CHARS,
 ):
     """(score, threshold), two columns over ``docs``; a row is kept where the first is at most the second.
 
-    The model is fitted on up to about ``fit_rows`` rows of ``docs`` that ``labels`` (same key) marks by ``good``
-    (default: quality is 1). The score is the log perplexity per character, with ``prior_chars`` characters at the
+    The model is fitted on all rows of ``docs`` that ``labels`` (same key) marks by ``good`` (default: quality is 1) but
+    one in ``HELD_OUT``; ``fit_rows`` and ``calibration_rows`` are an optional bound that nothing here needs. The score is the log perplexity per character, with ``prior_chars`` characters at the
     language's median added, so that a short text is not judged by a few letters. The threshold is the language's
     ``quantile`` of the score over further trusted rows, not fitted on, plus ``margin``; a language without any takes
     that over all. The n-grams of all documents are gathered and scored.
@@ -195,12 +208,11 @@ def judge(
     spark = docs.sparkSession
     chosen = stage(chosen_rows(labels, key, F.col("quality") == 1 if good is None else good, fit_rows, calibration_rows), "trusted")
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    marked = narrow.join(F.broadcast(chosen), F.col("key") == F.col("chosen"), "left")  # at most fit_rows + calibration_rows rows
+    marked = _marked(narrow, chosen, fits_broadcast(chosen.count(), _KEY_BYTES))
     grams = stage(corpus_grams(marked.select("text", F.coalesce("fit", F.lit(False)).alias("fit"))), "grams")
     table = spark.sparkContext.broadcast(score_table(gram_scores(grams)))
     unstage(grams)
-    held = narrow.join(F.broadcast(chosen.where("not fit")), F.col("key") == F.col("chosen"))
-    held = held.select("lang", F.length("text").alias("chars"), log_perplexity("text", table).alias("perplexity")).where("perplexity is not null")
+    held = marked.where("not fit").select("lang", F.length("text").alias("chars"), log_perplexity("text", table).alias("perplexity")).where("perplexity is not null")
     held = stage(held, "calibration")
     medians = _by_language(held, "perplexity", 0.5)
     shrunk = lambda cost, chars, language: (cost * chars + prior_chars * _of_language(medians, language)) / (chars + prior_chars)

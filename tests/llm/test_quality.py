@@ -98,6 +98,24 @@ def test_fit_sample_is_bounded(spark):
     assert 230 < n[True] < 370 and 60 < n[False] < 140
 
 
+def test_model_and_thresholds_come_from_all_trusted_rows(spark, monkeypatch):
+    labels = spark.range(100_000).select((F.col("id") % 99_000).alias("doc_id"), F.lit(1).alias("quality"))
+    docs = spark.createDataFrame([(1, GOOD[0], "en")], "doc_id long, text string, lang string")
+    staged, stage = {}, quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    quality.judge(docs, labels)
+    n = {r["fit"]: r["count"] for r in staged["trusted"].groupBy("fit").count().collect()}
+    assert sum(n.values()) == 99_000 and abs(n[True] - 74_250) < 1000
+
+
+def test_many_trusted_rows_are_joined_in_a_shuffle(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    told = lambda: sorted(map(repr, quality.judged(docs, labels).select("doc", "log_perplexity", "threshold", "keep").collect()))
+    by_broadcast = told()
+    monkeypatch.setattr(quality, "fits_broadcast", lambda *_: False)
+    assert told() == by_broadcast and len(by_broadcast) == docs.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 def test_junk_goes_and_clean_documents_stay(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
