@@ -70,16 +70,19 @@ def read_raw_batches(spark: SparkSession, manifest_path: str, root: str = "") ->
 
 
 def write_batches(records: DataFrame, path: str, batch_size: int = 1000) -> None:
-    """NDJSON files of at most ``batch_size`` records; the data is never gathered to be cut."""
-    records.write.option("maxRecordsPerFile", batch_size).option("ignoreNullFields", True).json(path)
+    """NDJSON files of at most ``batch_size`` records; the data is never gathered to be cut.
+
+    Files are compressed; none is so large that a reader would want to split it.
+    """
+    records.write.option("maxRecordsPerFile", batch_size).option("ignoreNullFields", True).option("compression", "gzip").json(path)
 
 
 def write_array_batches(records: DataFrame, path: str, batch_size: int = 1000) -> None:
-    """Files that each hold one JSON array of at most ``batch_size`` records."""
+    """Compressed files that each hold one JSON array of at most ``batch_size`` records."""
     record = F.struct(*[F.col(f"`{c}`") for c in records.columns])
     # mapInArrow sees bounded Arrow batches, so an array never outgrows batch_size records.
     lines = records.select(F.to_json(record).alias("value")).mapInArrow(_array_chunks(batch_size), "value string")
-    lines.write.option("maxRecordsPerFile", 1).text(path)
+    lines.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def _array_chunks(batch_size: int):

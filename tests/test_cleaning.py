@@ -148,3 +148,14 @@ def test_split_store_misses_raise(spark, tmp_path):
     assert T.read_splits(spark, str(tmp_path / "splits"), 0.3).count() == 1
     with pytest.raises(FileNotFoundError):
         T.read_splits(spark, str(tmp_path / "splits"), 0.5)
+
+
+def test_landed_batches_are_compressed(spark, tmp_path):
+    """Long repetitive records take a fraction of their letters, and read back as they were."""
+    rows = spark.createDataFrame([(f"p{i}", "ACGT" * 500 if i % 7 else None) for i in range(60)], "process_id string, sequence string").repartition(2)
+    R.write_batches(rows, str(tmp_path / "lines"), 10)
+    R.write_array_batches(rows, str(tmp_path / "arrays"), 10)
+    for folder, read in (("lines", R.read_ndjson), ("arrays", lambda s, p: R.read_array_batches(s, [p]))):
+        files = list((tmp_path / folder).glob("part-*"))
+        assert len(files) >= 6 and sum(f.stat().st_size for f in files) < 51 * 2000 / 10
+        assert sorted(map(tuple, read(spark, str(tmp_path / folder)).select("process_id", "sequence").collect())) == sorted(map(tuple, rows.collect()))
