@@ -175,6 +175,49 @@ def test_best_segment_of_many_random_pairs():
             assert matches[i] == (2 * want[1] + want[0]) // 3
 
 
+def test_best_scores_are_those_of_the_segments(monkeypatch):
+    """Also where an overlap is longer than what is compared at a time, and pairs are more than are scored at a time."""
+    monkeypatch.setattr(similarity, "_PAIRS", 64)
+    monkeypatch.setattr(similarity, "_AHEAD", 16)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("ACGTN"), rng.integers(1, 90), p=[0.5, 0.3, 0.1, 0.05, 0.05])) for _ in range(60)]
+    q, s = rng.integers(0, 60, 500), rng.integers(0, 60, 500)
+    d = np.array([int(rng.integers(-len(texts[b]) + 1, len(texts[a]))) for a, b in zip(q, s)])
+    score, _, _ = similarity.score_diagonals([texts[i] for i in q], [texts[i] for i in s], d)
+    assert similarity.best_scores(texts, texts, q, s, d).tolist() == np.maximum(score, 0).tolist()
+
+
+def test_no_text_travels_with_a_pair(spark, monkeypatch):
+    """A text comes to a tile of pairs once, however many diagonals its sequence has there; results do not change."""
+    seen = []
+    real = similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda df, name, **k: seen.append((name, df.columns)) or real(df, name, **k))
+    monkeypatch.setattr(similarity, "TILE_PAIRS", 50)
+    queries = [("test", f"Q{i:02d}", B, s) for i, s in enumerate(related(1, 20) + ["AC" * 60, "CA" * 55 + "G"])]
+    subjects = [("train", f"S{i:02d}", A, s) for i, s in enumerate(related(1, 16)[::-1] + ["AC" * 50 + "T", "GT" + "AC" * 40])]
+    hits = similarity.best_hits(sequence_rows(spark, queries), sequence_rows(spark, subjects), 8).collect()
+    assert {h.qseqid: (h.score, h.sseqid, h.length) for h in hits} == brute_hits([(i, s) for _, i, _, s in queries], [(i, s) for _, i, _, s in subjects], 8)
+    pairs = [columns for name, columns in seen if name in ("first-pairs", "pairs")]
+    assert pairs == [["q", "s", "diag", "mask", "floor"]] * 2
+
+
+def test_words_of_one_sequence_alone_are_not_looked_up(spark, monkeypatch):
+    """A sequence that is a query of one fraction and a subject of another shares no word with itself."""
+    kept = {}
+    real = similarity.stage
+
+    def stage(df, name, **k):
+        kept[name] = real(df, name, **k)
+        return kept[name]
+
+    monkeypatch.setattr(similarity, "stage", stage)
+    a, b = random_sequence(3), random_sequence(4)
+    rows = [(0.3, "X", a, "test"), (0.5, "X", a, "train"), (0.3, "Y", b, "train"), (0.5, "Y", b, "test")]
+    df = spark.createDataFrame(rows, "holdout_fraction double, process_id string, sequence string, split string")
+    assert similarity.best_hits(df.where("split = 'test'"), df.where("split = 'train'")).count() == 0
+    assert kept["shared-words"].count() == 0
+
+
 @pytest.mark.parametrize("hot_pairs", [similarity.HOT_PAIRS, 20, 0])
 def test_search_equals_brute_force_on_both_paths(spark, hot_pairs, monkeypatch):
     """With no, some, and all shared words on the bounded-cell path."""
