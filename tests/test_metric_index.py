@@ -88,6 +88,23 @@ def test_gives_up_where_nothing_is_pruned(spark):
     assert model.index is None and model.scales[0.5] > 0
 
 
+def test_a_vector_is_sent_once_to_a_strip(spark, monkeypatch):
+    """All of 75 rings or more are asked for by every query, which is sent to four strips or so with a bit for each ring."""
+    monkeypatch.setattr(metric_index, "STRIP_BYTES", 80 * 8 * 8)
+    monkeypatch.setattr(metric_index, "LEAST_VISITS", 64)
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(300, 8))
+    index = metric_index.build(nearest_neighbor.row_labels(frame(spark, rows)), ring_rows=4)
+    one = index.rows.select("holdout_fraction", F.col("label").alias("process_id"), "vec")
+    every = one.select("*", F.lit(float("inf")).alias("bound"), F.array().cast("array<long>").alias("seen"))
+    seen = metric_index._visits(index, every, 0).select(F.size("visits").alias("n"), "pairs").collect()
+    strips = index.rows.groupBy("strip").agg(F.count("*").alias("n"), F.count_distinct("place").alias("rings")).collect()
+    assert {r["n"] for r in seen} == {len(strips)} and {r["pairs"] for r in seen} == {300}
+    assert 4 <= len(strips) <= 6 and max(r["n"] for r in strips) <= 80 and sum(r["rings"] for r in strips) >= 75
+    got = found(metric_index.nearest(index, one, skip_self=True, most_pairs=None))
+    assert {p: v[0] for p, v in got.items()} == {f"t{i:06d}": (f"t{at:06d}", d) for i, (at, d) in enumerate(brute(rows, rows, skip=True))}
+
+
 def test_no_rows(spark):
     empty = frame(spark, np.ones((1, 3))).where("false")
     index = metric_index.build(nearest_neighbor.row_labels(empty))
