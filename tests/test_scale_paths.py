@@ -1,12 +1,13 @@
 """The paths that only large inputs take, forced on small ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from taxaspark import RANKS
 from helpers import BruteCascade, random_specimens, vector_rows
-from taxaspark.operators import cells, centroids, classifier, fallback, naive_bayes, nearest_neighbor, quantiles
+from taxaspark.operators import cells, centroids, classifier, fallback, naive_bayes, nearest, nearest_neighbor, quantiles
 from taxaspark.operators.nearest import distance_profiles, nearest_hits
 
 KEY = ["holdout_fraction", "process_id"]
@@ -149,3 +150,34 @@ def test_results_do_not_depend_on_partitions(spark, rows):
         return {r.process_id: (r.predicted_rank, r.species, r.order, {k: round(v, 9) for k, v in r.confidence.items()}) for r in out}
 
     assert run(1) == run(4) == run(16)
+
+
+def test_rows_meet_only_those_of_their_own_value(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_BYTES", 0)
+    left = spark.range(300).select((F.col("id") % 3).cast("double").alias("v"), F.col("id").alias("a"))
+    right = spark.range(200).select((F.col("id") % 4).cast("double").alias("v"), F.col("id").alias("b"))
+
+    def pairs(a, b):
+        assert len(set(a["v"].to_pylist() + b["v"].to_pylist())) <= 1
+        both = [(x, y) for x in a["a"].to_pylist() for y in b["b"].to_pylist()]
+        return pa.table({"a": pa.array([x for x, _ in both], pa.int64()), "b": pa.array([y for _, y in both], pa.int64())})
+
+    got = cells.cell_join(left, right, pairs, "a bigint, b bigint", 8, within="v").collect()
+    assert sorted(map(tuple, got)) == [(x, y) for x in range(300) for y in range(200) if x % 3 == y % 4]
+
+
+def test_single_precision_leaves_few_pairs_and_loses_none():
+    rng = np.random.default_rng(2)
+    unit = rng.normal(size=(900, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    tables = [unit, unit * 1e-30, unit * 1e30, unit + 1e5, np.concatenate([unit, unit[:300]]), np.concatenate([unit, [[1e9] * 64]]), np.ones((900, 3)), np.zeros((900, 3))]
+    for c in tables:
+        q, own = c[:200], np.arange(200)
+        every = np.sqrt(((q[:, None, :] - c[None]) ** 2).sum(axis=2))
+        every[own, own] = np.inf
+        for k in (1, 4):
+            row, at, d = nearest.nearest_indices(q, c, k, skip=own)
+            want = np.argsort(every, axis=1, kind="stable")[:, :k]
+            assert (row == np.repeat(own, k)).all() and (at == want.ravel()).all() and (d == np.take_along_axis(every, want, 1).ravel()).all()
+    row, _ = nearest._Screen.of(unit, unit).candidates(unit, 1, np.arange(900))
+    assert len(row) < 1.1 * 900
