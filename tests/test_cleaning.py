@@ -159,3 +159,14 @@ def test_landed_batches_are_compressed(spark, tmp_path):
         files = list((tmp_path / folder).glob("part-*"))
         assert len(files) >= 6 and sum(f.stat().st_size for f in files) < 51 * 2000 / 10
         assert sorted(map(tuple, read(spark, str(tmp_path / folder)).select("process_id", "sequence").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_a_sequence_is_normalised_once(spark):
+    fields = ["species", "genus", "family", "order", "sequence", "lat", "lon", "process_id", "bin_uri"]
+    texts = [" " + "acgt" * 130 + "\n", "ACGT" * 130, "ACGT" * 10, "N" * 60 + "ACGT" * 135, "", "   ", None, "ACGT" * 187 + "AC", "ACGT" * 187 + "ACG"]
+    rows = [("s", "g", "f", "o", t, None, 1.0, f"p{i}", None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{f}` {'double' if f in ('lat', 'lon') else 'string'}" for f in fields))
+    out = C.clean_rows(df)
+    assert out.columns == fields
+    assert sorted((r.process_id, len(r.sequence)) for r in out.collect()) == [("p0", 520), ("p7", 750)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(r"(?U)^\s+|\s+$") == 1
