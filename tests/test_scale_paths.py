@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from taxaspark import RANKS
 from helpers import BruteCascade, random_specimens, vector_rows
@@ -181,3 +182,20 @@ def test_single_precision_leaves_few_pairs_and_loses_none():
             assert (row == np.repeat(own, k)).all() and (at == want.ravel()).all() and (d == np.take_along_axis(every, want, 1).ravel()).all()
     row, _ = nearest._Screen.of(unit, unit).candidates(unit, 1, np.arange(900))
     assert len(row) < 1.1 * 900
+
+
+def test_hits_of_few_rows_are_held_at_once(spark, rows, monkeypatch):
+    whole = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["a"])
+    parts = list(nearest._slices([whole, whole.slice(0, 0), whole.slice(0, 3)]))
+    assert [p.num_rows for p in parts] == [1024, 1024, 452, 3] and parts[1].column(0)[0].as_py() == 1024
+    seen = []
+    monkeypatch.setattr(nearest, "hits_of_batch", lambda batch, *_: seen.append(batch.num_rows) or pa.array([[]] * batch.num_rows, pa.list_(nearest._HIT_TYPE)))
+    train = part(spark, rows, "train")
+    labels = nearest.share_labels(nearest_neighbor.row_labels(train))
+
+    class Frame:
+        def mapInArrow(self, scan, schema):
+            return list(scan([whole]))
+
+    nearest._by_broadcast(Frame(), labels.data, {"row": 1}, nearest.Metric(), False, [T.StructField("a", T.LongType())])
+    assert seen == [1024, 1024, 452]
