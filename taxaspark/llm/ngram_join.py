@@ -22,7 +22,8 @@ CELL_ROWS = 2048
 # Exact copies a task remembers, so that it sends their keys once.
 _SEEN = 200_000
 _FILTER_BITS = 26
-_FOLDED = 8
+# A fold has so many longs at least, and one for so many blocks of its sketch.
+_FOLDED, _BLOCKS_A_LONG = 8, 16
 # Bits of a long that count together: all of a fold's, either half of either block of a sketch's.
 _FOLD_FIELDS = [[-1]]
 _BLOCK_FIELDS = [[0xFFFF, 0xFFFF << 16], [0xFFFF << 32, -1 << 48]]
@@ -228,12 +229,13 @@ def in_bits(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
 
 
 def folded(sketch: np.ndarray) -> np.ndarray:
-    """The low halves of a sketch's blocks with their longs laid on one another, eight stay; they still differ in no more bits than
-    shingles do."""
+    """The low halves of a sketch's blocks with their longs laid on one another; they still differ in no more bits than
+    shingles do. Four bits a block stay, so unlike sets differ in some two, and linked ones in less than one."""
     bits = (sketch & np.uint32(0xFFFF)).astype(np.uint16)
-    padded = np.zeros(-(-len(bits) // (4 * _FOLDED)) * 4 * _FOLDED, dtype=np.uint16)
+    longs = max(_FOLDED, -(-len(bits) // _BLOCKS_A_LONG))
+    padded = np.zeros(-(-len(bits) // (4 * longs)) * 4 * longs, dtype=np.uint16)
     padded[: len(bits)] = bits
-    return np.bitwise_xor.reduce(padded.view(np.uint64).reshape(-1, _FOLDED), axis=0)
+    return np.bitwise_xor.reduce(padded.view(np.uint64).reshape(-1, longs), axis=0)
 
 
 def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
@@ -325,14 +327,14 @@ def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Ba
 
 
 def open_pairs(rows: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
-    """(bucket, rid, label), without hubs → pairs of one bucket with unequal labels whose sketches are close enough.
+    """(bucket, rid, label), without hubs → pairs of one bucket with unequal labels whose folded sketches are close enough.
 
-    Large buckets are cut into parts, and each pair of parts is one cell, so no task holds more than two parts. Of
-    the buckets that a pair shares in a band only the first one gives it.
+    Large buckets are cut into parts, and each pair of parts is one cell, so no task holds more than two parts. Only
+    folds go to the cells: the whole sketches are for the few pairs that are left.
     """
     apart = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     cut = cells(rows.join(apart.select("bucket"), "bucket"), ["bucket"], "rid", CELL_ROWS).withColumn("band", F.col("bucket").bitwiseAND(F.lit(255)).cast("int"))
-    cut = cut.join(sketches.select("rid", "n", "band", "words"), ["rid", "band"]).select(*_CELL, "band", "part", "rid", "label", "n", "words")
+    cut = cut.join(sketches.select("rid", "n", "band", "fold"), ["rid", "band"]).select(*_CELL, "part", "rid", "label", "n", "fold")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in whole_groups(batches, _CELL):
@@ -343,16 +345,14 @@ def open_pairs(rows: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
 
 def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    rids, labels, sizes, parts, buckets, of_band = (frame[c].to_numpy(np.int64) for c in ("rid", "label", "n", "part", "bucket", "band"))
+    rids, labels, sizes, parts = (frame[c].to_numpy(np.int64) for c in ("rid", "label", "n", "part"))
     whole = (frame["i"] == frame["j"]).to_numpy()
     edges = group_edges(frame, _CELL) if len(frame) else []
-    words = frame["words"].to_numpy()
+    folds = frame["fold"].to_numpy()
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         if hi - lo < 2 or (labels[lo:hi] == labels[lo]).all():
             continue
-        band = int(of_band[lo])
-        sketch = np.stack(words[lo:hi]).view(np.uint32)
-        joined = parity(sketch) >= limit(sketch, bands.spare(band))[:, None]
+        fold = np.stack(folds[lo:hi]).view(np.uint64)  # of a negative number numpy counts the bits of its absolute value
         for x in range(hi - lo - 1):
             rest = slice(lo + x + 1, hi)
             apart = labels[rest] != labels[lo + x]
@@ -361,13 +361,8 @@ def _pairs_batch(frame: pd.DataFrame, bands: Bands) -> pa.RecordBatch:
             others = np.flatnonzero(apart) + x + 1
             for at in range(0, len(others), 512):  # so many at a time hold little memory
                 y = others[at : at + 512]
-                flips = parity(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-                y = y[flips * (bands.den + bands.num) <= (sizes[lo + y] + sizes[lo + x]) * (bands.den - bands.num)]
-                if not len(y):
-                    continue
-                shared = (sketch[y] == sketch[x]) & joined[y] & joined[x]
-                first = block_keys(sketch[x], band)[shared.argmax(axis=1)].view(np.int64)
-                found = rids[lo + y[first == buckets[lo]]]
+                flips = np.bitwise_count(fold[y] ^ fold[x]).sum(axis=1, dtype=np.int64)
+                found = rids[lo + y[flips * (bands.den + bands.num) <= (sizes[lo + y] + sizes[lo + x]) * (bands.den - bands.num)]]
                 left.append(np.minimum(found, rids[lo + x]))
                 right.append(np.maximum(found, rids[lo + x]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])

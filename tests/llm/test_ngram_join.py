@@ -64,6 +64,31 @@ def test_large_buckets_in_cells(spark, monkeypatch):
     assert got == {rows[i][0]: g for i, (_, g) in brute(rows, 3, 9, 10).items()}
 
 
+def test_open_pairs_need_only_folds(spark):
+    rng, bands = np.random.default_rng(7), Bands(8, 10)
+    base, rows = np.unique(rng.integers(0, 1 << 63, 1500).astype(np.uint64)), []
+    for rid in range(40):  # the even ones are near each other, the odd ones near nothing
+        own = rng.integers(0, 1 << 63, 1500).astype(np.uint64)
+        found = np.unique(np.concatenate((base[rng.permutation(len(base))[100:]], own[:50])) if rid % 2 == 0 else own)
+        band = bands.of(len(found))[0]
+        rows.append((rid, len(found), band, ngram_join.folded(bands.sketch(found, band)).view(np.int64).tolist()))
+    assert len({r[2] for r in rows}) == 1 and any(x < 0 for r in rows for x in r[3])
+    sketches = spark.createDataFrame(rows, "rid long, n long, band int, fold array<long>")
+    open_rows = spark.createDataFrame([(rows[0][2] + 256 * k, r[0], r[0]) for r in rows for k in (1, 2)], "bucket long, rid long, label long")
+    got = {tuple(r) for r in ngram_join.open_pairs(open_rows, sketches, bands).collect()}
+    assert got == {(i, j) for j in range(0, 40, 2) for i in range(0, j, 2)}
+
+
+def test_folds_grow_with_the_sketch():
+    rng = np.random.default_rng(8)
+    for num, den in ((9, 10), (8, 10)):
+        bands = Bands(num, den)
+        for n in (40, 400, 4000, 20000):
+            a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+            x, y = (ngram_join.folded(bands.sketch(s, bands.of(n)[0])) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() > bands.differ(2 * n) and len(x) <= max(8, n // 20)
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(3)
     for num, den in ((9, 10), (8, 10)):
