@@ -245,15 +245,17 @@ def judge_words(docs: DataFrame, labels: DataFrame, good: Column | None = None,
     Shrunk and cut like the score by characters. None without trusted rows.
     """
     trusted = labels.where((F.col("quality") == 1 if good is None else good) & F.col(key).isNotNull()).select(F.col(key).alias("chosen")).distinct()
+    trusted = stage(trusted.withColumn("fit", F.abs(F.xxhash64("chosen", F.lit("words"))) % HELD_OUT > 0), "word-trusted")
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    fit = F.abs(F.xxhash64("chosen", F.lit("words"))) % HELD_OUT > 0
-    told = narrow.join(trusted, F.col("key") == F.col("chosen")).where("length(text) > 0").select("text", "lang", fit.alias("fit"))
+    small = fits_broadcast(trusted.count(), _KEY_BYTES)
+    told = _marked(narrow.where("length(text) > 0"), trusted, small).where("fit is not null").select("text", "lang", "fit")
+    told = told if small else stage(told, "word-texts")  # the model reads them several times; they are shuffled once
     fitted = word_model.model(told.where("fit"))
     if fitted is None:
         return None
     weights, unseen, ends = fitted
     head, tail = word_model.split_head(weights)
-    costs = stage(word_model.tail_costs(narrow.select("text"), head, tail), "costs")
+    costs = word_model.tail_costs(narrow.select("text"), head, tail)
     unstage(weights)
 
     def raw(size, rest):
@@ -262,6 +264,8 @@ def judge_words(docs: DataFrame, labels: DataFrame, good: Column | None = None,
     held = told.where("not fit").select(word_model.text_key(F.col("text")).alias("key"), "lang", word_model.size_and_repeats(F.col("text"), head).alias("size"))
     held = held.join(costs, "key", "left").select("lang", F.col("size.words").alias("words"), raw(F.col("size"), F.col("tail")).alias("raw"))
     held = stage(held, "word-calibration")
+    if not small:
+        unstage(told)
     medians = _by_language(held, "raw", 0.5)
 
     def score(size, language, rest):
@@ -283,7 +287,7 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     by_words = judge_words(docs, labels, good, key, text, lang)
     size = F.lit(None) if by_words is None else word_model.size_and_repeats(docs[text], by_words[0])
     held = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("doc"), word_model.text_key(docs[text]).alias("key"), docs[lang].alias("language"), size.alias("size"),
+        *[docs[c].alias(f"of_{i}") for i, c in enumerate(docs.columns)], word_model.text_key(docs[text]).alias("key"), docs[lang].alias("language"), size.alias("size"),
         score.alias("log_perplexity"), threshold.alias("threshold"),
     )
     if by_words is None:
@@ -294,7 +298,8 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         made = F.when(F.col("log_perplexity").isNotNull(), word_score(F.col("size"), F.col("language"), F.col("tail")))
         held = held.withColumn("word_score", made).withColumn("word_threshold", word_threshold(F.col("language")))
     within = (F.col("log_perplexity") <= F.col("threshold")) & (F.coalesce("word_score", F.lit(0.0)) <= F.col("word_threshold"))
-    return held.select("doc", "log_perplexity", "threshold", "word_score", "word_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
+    doc = F.struct(*[F.col(f"of_{i}").alias(c) for i, c in enumerate(docs.columns)]).alias("doc")  # only now, so that columns nobody reads stay out of the join
+    return held.select(doc, "log_perplexity", "threshold", "word_score", "word_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", **options) -> DataFrame:

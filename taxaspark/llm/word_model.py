@@ -7,12 +7,14 @@ the trusted text; a text's distinct words and pairs are joined with them and sum
 
 where ``more`` is 0 for a pair that the model has not seen, so the cost of a text is a sum over the n-grams it shares
 with the model, plus a constant for every word it does not. The most frequent n-grams of the model, at most ``HEAD``, are
-broadcast and summed where a text is read; only a text's other n-grams are shuffled.
+broadcast and summed where a text is read; only a text's other n-grams are shuffled. Whatever grows with the n-grams is
+shuffled in ``SLICES`` parts, one after another: texts are read again for each, and the disk holds one part's shuffle at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ _START, _END = (int(x) for x in pd.util.hash_array(np.array(["\n<", "\n>"], dtyp
 _TINY = 1e-9
 #: At most so many n-grams are broadcast: 16 bytes each.
 HEAD = 1 << 20
+#: Parts of the n-grams by the low bits of their hash; a power of two.
+SLICES = 4
 # So many characters are hashed in one go.
 _CHUNK_CHARS = 2_000_000
 
@@ -109,15 +113,22 @@ def _in_head(grams: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, head[at] == grams
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(text) → (u, w, n): how often each word follows another one or a text's start, or ends a text."""
+def _of_slice(grams: np.ndarray, part: int, slices: int) -> np.ndarray:
+    return grams & (slices - 1) == part
+
+
+def pair_counts(texts: DataFrame, part: int) -> DataFrame:
+    """(text) → (u, w, n): how often each word follows another one or a text's start, or ends a text; one slice of the pairs."""
+    slices = SLICES
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for words, edges in word_hashes(t for t in batch["text"] if t):
                 inside = np.ones(len(words), dtype=bool)
                 inside[edges[:-1]] = False
-                pairs = pd.DataFrame({"u": words[:-1][inside[1:]], "w": words[inside]})
+                u, w = words[:-1][inside[1:]], words[inside]
+                own = _of_slice(_mixed_pair(u, w), part, slices)
+                pairs = pd.DataFrame({"u": u[own], "w": w[own]})
                 yield pairs.groupby(["u", "w"], sort=False).size().rename("n").reset_index()
 
     return texts.select("text").mapInPandas(count, "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
@@ -141,15 +152,18 @@ def lexicon(pairs: DataFrame, types: int) -> tuple[DataFrame, float, tuple[float
     return made, unseen, d2
 
 
-def pair_weights(pairs: DataFrame, words: DataFrame, d2: tuple[float, float, float]) -> DataFrame:
-    """(gram, weight, n) of every pair. The most frequent words, at most ``HEAD``, go to every worker, so only pairs with
-    another word are shuffled."""
+def word_head(words: DataFrame) -> tuple[Broadcast, bool]:
+    """The most frequent words, at most ``HEAD``, sorted, with their p, total and back; and whether these are all."""
     known = words.where("p is not null and total is not null")
     least = _least(known, "total")
     got = words.where(F.lit(False) if least is None else (F.col("total") >= least) | F.col("total").isNull() | F.col("p").isNull()).toArrow()
     order = np.argsort(got["word"].to_numpy())
     values = [got[c].cast("double").to_numpy(zero_copy_only=False)[order] for c in ("p", "total", "back")]
-    head = words.sparkSession.sparkContext.broadcast((got["word"].to_numpy()[order], *values))
+    return words.sparkSession.sparkContext.broadcast((got["word"].to_numpy()[order], *values)), words.count() == len(order)
+
+
+def pair_weights(pairs: DataFrame, words: DataFrame, d2: tuple[float, float, float], head: Broadcast, covers: bool) -> DataFrame:
+    """(gram, weight, n) of every pair. Only pairs with a word that is not in ``head`` are shuffled, if it does not have all."""
     off = np.array([0.0, *d2])
 
     def both(frame: pd.DataFrame) -> tuple:
@@ -173,7 +187,7 @@ def pair_weights(pairs: DataFrame, words: DataFrame, d2: tuple[float, float, flo
             yield left.assign(gram=_mixed_pair(left["u"].to_numpy(), left["w"].to_numpy()))
 
     made = pairs.mapInPandas(weigh, "gram long, weight float, n long")
-    if words.count() == len(order):
+    if covers:
         return made
     rest = pairs.mapInPandas(others, "u long, w long, n long, gram long")
     rest = rest.join(words.select(F.col("word").alias("u"), "total", "back"), "u").join(words.select(F.col("word").alias("w"), "p"), "w")
@@ -184,17 +198,23 @@ def pair_weights(pairs: DataFrame, words: DataFrame, d2: tuple[float, float, flo
 
 def model(texts: DataFrame) -> tuple[DataFrame, float, float] | None:
     """(text) → (gram, weight, n) of every word and pair seen, the cost of any word before weights, and that of a text's ends."""
-    pairs = stage(pair_counts(texts).sortWithinPartitions("u", "w"), "pairs")
-    types = pairs.count()
+    pairs = [stage(pair_counts(texts, part).sortWithinPartitions("u", "w"), "pairs") for part in range(SLICES)]
+    every = reduce(DataFrame.unionByName, pairs)
+    types = every.count()
     if not types:
         return None
-    words, unseen, d2 = lexicon(pairs, types)
+    words, unseen, d2 = lexicon(every, types)
     single = words.where("p is not null and back is not null")
     weight = (F.lit(float(np.log(unseen))) - F.log("p") - F.log("back")).cast("float")
     single = single.select(F.col("word").alias("gram"), weight.alias("weight"), F.col("total").alias("n"))
     end, start = words.where(F.col("word") == _END).first()["p"], words.where(F.col("word") == _START).first()["back"]
-    weights = stage(pair_weights(pairs, words, d2).unionByName(single), "weights")
-    unstage(pairs, words)
+    weights = stage(single, "weights")
+    head, covers = word_head(words)
+    for part in pairs:
+        weights = stage(pair_weights(part, words, d2, head, covers), "weights", into=weights)
+        unstage(part)
+    head.destroy()
+    unstage(words)
     return weights, -float(np.log(unseen)), -float(np.log(end) + np.log(start))
 
 
@@ -227,16 +247,20 @@ def text_key(text: Column) -> Column:
 def tail_costs(docs: DataFrame, head: Broadcast, tail: DataFrame) -> DataFrame:
     """(text) → (key, tail): per distinct text the sum of the weights of its words and pairs in ``tail``, if it has any.
 
-    N-grams that a bit table of fixed size does not have are not shuffled; copies in one batch are read once.
+    N-grams that a bit table of fixed size does not have are not shuffled; copies in one batch are read once. The result is
+    staged: it is the sum over slices of the n-grams, which only leave a number for each text.
     """
     table = docs.sparkSession.sparkContext.broadcast(hash_bits(tail, "gram"))
+    slices = SLICES
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grams(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
             each = batch.groupby("key", sort=False)["text"].agg(["first", "size"])
             keys, copies, done = each.index.to_numpy(np.int64), each["size"].to_numpy(np.int64), 0
             for words, edges in word_hashes(each["first"]):
                 found, owner, _ = grams_of(words, edges)
+                own = _of_slice(found, part, slices)
+                found, owner = found[own], owner[own]
                 wanted = ~_looked_up(found, head.value[0])[1]
                 wanted[wanted] = in_bits(table.value, found[wanted])
                 own = pd.DataFrame({"owner": owner[wanted] + done, "gram": found[wanted]}).groupby(["owner", "gram"], sort=False).size().rename("n").reset_index()
@@ -246,5 +270,13 @@ def tail_costs(docs: DataFrame, head: Broadcast, tail: DataFrame) -> DataFrame:
 
     keyed = docs.where("length(text) > 0").select(text_key(F.col("text")).alias("key"), "text")
     copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
-    sums = keyed.mapInPandas(grams, "key long, gram long, n long").join(tail, "gram").groupBy("key").agg(F.sum(F.col("n") * F.col("weight")).alias("all"))
-    return sums.join(copies, "key").select("key", (F.col("all") / F.col("copies")).alias("tail"))
+    sums = None
+    for part in range(slices):
+        asked = keyed.mapInPandas(partial(grams, part=part), "key long, gram long, n long")
+        known = tail.where(F.col("gram").bitwiseAND(F.lit(slices - 1)) == part)
+        sums = stage(asked.join(known, "gram").groupBy("key").agg(F.sum(F.col("n") * F.col("weight")).alias("part")), "sums", into=sums)
+    table.destroy()
+    whole = sums.groupBy("key").agg(F.sum("part").alias("all")).join(copies, "key")
+    costs = stage(whole.select("key", (F.col("all") / F.col("copies")).alias("tail")), "costs")
+    unstage(sums)
+    return costs

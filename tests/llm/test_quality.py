@@ -179,3 +179,37 @@ def test_word_costs_equal_a_brute_force_model(spark, monkeypatch, most):
         want = -sum(math.log(p(*g)) for g in zip(w, w[1:], strict=False))
         assert r["s"]["words"] * unseen + r["s"]["head"] + (r["tail"] or 0.0) + ends == pytest.approx(want), r
         assert r["s"]["repeats"] == pytest.approx(sum(n * math.log(n) for n in Counter(zip(w, w[1:], strict=False)).values()))
+
+
+def test_every_pair_is_counted_in_one_slice(spark):
+    from taxaspark.llm import word_model as M
+
+    texts = [("a b a c",), (None,), ("",), ("c a b d d e f g",), ("a b",)]
+    docs = spark.createDataFrame(texts, "text string").repartition(2)
+    parts = [{(r["u"], r["w"]): r["n"] for r in M.pair_counts(docs, part).collect()} for part in range(M.SLICES)]
+    want = Counter(p for (t,) in texts if t for w in [["<", *t.split(), ">"]] for p in zip(w, w[1:], strict=False))
+    assert sum(map(len, parts)) == len(set().union(*parts)) == len(want) and sum(map(len, parts)) > max(map(len, parts))
+    assert sorted(n for part in parts for n in part.values()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_slices_do_not_change_word_scores(spark, monkeypatch, small):
+    from taxaspark.llm import word_model as M
+
+    docs, labels = labelled(spark)
+    monkeypatch.setattr(M, "HEAD", 5)
+    told = lambda: {(str(r["doc"]["doc_id"]), r["doc"]["text"]): r for r in quality.judged(docs, labels).select("doc", "word_score", "word_threshold", "keep").collect()}
+    sliced = told()
+    monkeypatch.setattr(M, "SLICES", 1)
+    monkeypatch.setattr(quality, "fits_broadcast", lambda *_: small)
+    whole = told()
+    assert sliced.keys() == whole.keys()
+    for k, r in sliced.items():
+        assert r["keep"] == whole[k]["keep"] and r["word_score"] == pytest.approx(whole[k]["word_score"]) and r["word_threshold"] == pytest.approx(whole[k]["word_threshold"])
+
+
+def test_only_what_is_read_goes_through_the_join_with_costs(spark):
+    docs, labels = labelled(spark)
+    plan = quality.judged(docs, labels).select("doc.doc_id", "keep")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter") :].splitlines()[1]
+    assert "Project" in join and "of_0" in join and "of_1" not in join
