@@ -250,10 +250,9 @@ def tail_costs(docs: DataFrame, head: Broadcast, tail: DataFrame) -> DataFrame:
     N-grams that a bit table of fixed size does not have are not shuffled; copies in one batch are read once. The result is
     staged: it is the sum over slices of the n-grams, which only leave a number for each text.
     """
-    table = docs.sparkSession.sparkContext.broadcast(hash_bits(tail, "gram"))
     slices = SLICES
 
-    def grams(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
+    def grams(batches: Iterator[pd.DataFrame], part: int, table: Broadcast) -> Iterator[pd.DataFrame]:
         for batch in batches:
             each = batch.groupby("key", sort=False)["text"].agg(["first", "size"])
             keys, copies, done = each.index.to_numpy(np.int64), each["size"].to_numpy(np.int64), 0
@@ -272,10 +271,11 @@ def tail_costs(docs: DataFrame, head: Broadcast, tail: DataFrame) -> DataFrame:
     copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
     sums = None
     for part in range(slices):
-        asked = keyed.mapInPandas(partial(grams, part=part), "key long, gram long, n long")
         known = tail.where(F.col("gram").bitwiseAND(F.lit(slices - 1)) == part)
+        table = docs.sparkSession.sparkContext.broadcast(hash_bits(known, "gram"))  # of one slice, so fewer others pass
+        asked = keyed.mapInPandas(partial(grams, part=part, table=table), "key long, gram long, n long")
         sums = stage(asked.join(known, "gram").groupBy("key").agg(F.sum(F.col("n") * F.col("weight")).alias("part")), "sums", into=sums)
-    table.destroy()
+        table.destroy()
     whole = sums.groupBy("key").agg(F.sum("part").alias("all")).join(copies, "key")
     costs = stage(whole.select("key", (F.col("all") / F.col("copies")).alias("tail")), "costs")
     unstage(sums)
