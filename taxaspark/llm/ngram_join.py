@@ -56,7 +56,11 @@ class Bands:
     def differ(self, total: int) -> int:
         return (self.den - self.num) * total // (self.den + self.num)
 
-    def spare(self, band: int) -> int:
+    def spare(self, band: int, size: int | None = None) -> int:
+        """Blocks that need not be joined on: one less than a pair has equal. A set of ``size`` has more of them, since
+        it and the largest set of the band that it can be linked to differ in less than two of the largest sets may."""
+        if size is not None:
+            return self.blocks(band) - 1 - self.differ(size + min(self.edge(band + 1) - 1, size * self.den // self.num))
         needed = self.differ(2 * (self.edge(band + 1) - 1)) + 1
         spare = 1 + 3 * (self.den - self.num) * needed // (self.den + self.num)
         return spare + (needed + spare) % 2  # an even number of blocks fills whole longs
@@ -104,17 +108,16 @@ def parity(sketch: np.ndarray) -> np.ndarray:
     return np.maximum(np.bitwise_count(sketch & np.uint32(0xFFFF)), np.bitwise_count(sketch >> np.uint32(16)))
 
 
-def limit(sketch: np.ndarray, spare: int) -> np.ndarray:
-    """Bits that a block must have to be joined on; ``spare`` blocks at most have fewer.
+def keys(sketch: np.ndarray, band: int, spare: int) -> np.ndarray:
+    """The keys of all blocks but ``spare`` ones with the fewest bits; of as many bits, those with the smallest hashes.
 
-    Blocks with few bits hold few shingles, or none, and are equal more often. Of two linked sets, the one with the higher limit has an equal block
-    above it, and that block is above the other's limit too: both have its key.
+    Blocks with few bits hold few shingles, or none, and are equal more often. Blocks that are equal have one place in
+    that order in both sketches. Of two linked sets, the one whose first kept block stands higher leaves out fewer
+    blocks than are equal, so it keeps an equal one, and the other does too, each by its own number of spare blocks.
     """
-    return np.partition(parity(sketch), spare, axis=-1)[..., spare]
-
-
-def keys(sketch: np.ndarray, band: int, spare: int) -> np.ndarray:
-    return block_keys(sketch, band)[parity(sketch) >= limit(sketch, spare)]
+    made = block_keys(sketch, band)
+    order = parity(sketch).astype(np.uint64) << np.uint64(59) | made >> np.uint64(5)
+    return made[order >= np.partition(order, spare)[spare]]
 
 
 def _short(digest: bytes) -> int:
@@ -168,12 +171,13 @@ def bucket_keys(sets: DataFrame, bands: Bands) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sketches = batch.column(2).to_numpy(zero_copy_only=False)
-                made = [keys(w.view(np.uint32), band, bands.spare(band)).view(np.int64) for band, w in zip(batch.column(1).to_pylist(), sketches, strict=True)]
+                of = zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), sketches, strict=True)
+                made = [keys(w.view(np.uint32), band, bands.spare(band, n)).view(np.int64) for band, n, w in of]
                 if made:
                     rids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in made])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(rids)], names=["bucket", "rid"])
 
-    return sets.select("rid", F.explode("sketches").alias("s")).select("rid", "s.band", "s.words").mapInArrow(run, "bucket long, rid long")
+    return sets.select("rid", "n", F.explode("sketches").alias("s")).select("rid", "s.band", "s.words", "n").mapInArrow(run, "bucket long, rid long")
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -238,20 +242,22 @@ def folded(sketch: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(padded.view(np.uint64).reshape(-1, longs), axis=0)
 
 
-def asked_sketches(sets: DataFrame, rids: DataFrame) -> DataFrame:
-    """(digest, rid, n, band, words, fold): the sketches of the sets whose rid is asked for, each once."""
+def asked_sketches(sets: DataFrame, rids: DataFrame, whole: bool = False) -> DataFrame:
+    """(digest, rid, n, band, fold): the folded sketches of the sets whose rid is asked for, each once. With ``whole``,
+    words in place of fold: the sketches as they are."""
     table = sets.sparkSession.sparkContext.broadcast(hash_bits(rids, "rid"))
-    names = ["digest", "rid", "n", "band", "words", "fold"]
+    names = ["digest", "rid", "n", "band", "words" if whole else "fold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            batch = whole.filter(pa.array(in_bits(table.value, whole.column(1).to_numpy())))
-            folds = [folded(w.view(np.uint32)).view(np.int64) for w in batch.column(4).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.list_(pa.int64()))], names=names)
+        for batch in batches:
+            batch = batch.filter(pa.array(in_bits(table.value, batch.column(1).to_numpy())))
+            made = batch.column(4)
+            if not whole:
+                made = pa.array([folded(w.view(np.uint32)).view(np.int64) for w in made.to_numpy(zero_copy_only=False)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], made], names=names)
 
-    flat = sets.select("digest", "rid", "n", F.explode("sketches").alias("s")).select("digest", "rid", "n", "s.band", "s.words")
-    schema = flat.withColumn("fold", F.col("words")).schema
-    return flat.mapInArrow(run, schema).join(rids, "rid", "left_semi").dropDuplicates(["rid", "digest", "band"]).select(*names)
+    flat = sets.select("digest", "rid", "n", F.explode("sketches").alias("s")).select("digest", "rid", "n", "s.band", F.col("s.words").alias(names[4]))
+    return flat.mapInArrow(run, flat.schema).join(rids, "rid", "left_semi").dropDuplicates(["rid", "digest", "band"]).select(*names)
 
 
 def asked_sets(docs: DataFrame, text: str, words: int, rids: DataFrame) -> DataFrame:
@@ -296,21 +302,27 @@ def _flips(a: str, b: str, fields: list[list[int]]) -> Column:
     return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda t, x: t + x)
 
 
-def close_pairs(pairs: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
+def close_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """(a, b) rids → those whose sketches differ in no more bits than linked sets may, with their digests.
 
-    Folded sketches, which are small, are compared first, and the whole ones of the pairs that are left.
+    Folded sketches, which are small, are compared first, and then the whole ones of the pairs that are left: only
+    those are fetched from ``sets``.
     """
 
-    def joined(left: DataFrame, on: list[str], bits: str, fields: list[list[int]]) -> DataFrame:
-        side = lambda x: sketches.select(*[F.col(c).alias(x if c == "rid" else f"{x}_{c}") for c in ("rid", "digest", "n", "band", bits)])
-        both = left.join(side("a"), ["a", *[c for c in on if c.startswith("a_")]]).join(side("b"), ["b", *[c for c in on if c.startswith("b_")]])
-        both = both.where("a_band = b_band and a_digest <> b_digest")
+    def alike(both: DataFrame, bits: str, fields: list[list[int]]) -> DataFrame:
         return both.where(_flips(f"a_{bits}", f"b_{bits}", fields) * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
 
-    on = ["a_digest", "a_band", "b_digest", "b_band"]
-    near = joined(pairs, [], "fold", _FOLD_FIELDS).select("a", "b", *on)
-    return joined(near, on, "words", _BLOCK_FIELDS).select("a", "b", "a_digest", "b_digest").distinct()
+    side = lambda x: sketches.select(*[F.col(c).alias(x if c == "rid" else f"{x}_{c}") for c in ("rid", "digest", "n", "band", "fold")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("a_band = b_band and a_digest <> b_digest")
+    near = alike(both, "fold", _FOLD_FIELDS).select("a", "b", "a_digest", "b_digest", "a_n", "b_n", F.col("a_band").alias("band"))
+    near = stage(near, "near")
+    rids = stage(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rids")
+    words = stage(asked_sketches(sets, rids, whole=True), "words")
+    whole = lambda x: words.select("band", F.col("digest").alias(f"{x}_digest"), F.col("words").alias(f"{x}_words"))
+    both = near.join(whole("a"), ["a_digest", "band"]).join(whole("b"), ["b_digest", "band"])
+    close = stage(alike(both, "words", _BLOCK_FIELDS).select("a", "b", "a_digest", "b_digest").distinct(), "close")
+    unstage(near, rids, words)
+    return close
 
 
 def verified(close: DataFrame, docs: DataFrame, text: str, words: int, bands: Bands) -> DataFrame:
@@ -386,9 +398,9 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     asked = stage(shared.select("rid").distinct(), "asked")
     sketches = stage(asked_sketches(sets, asked), "sketches")
     every = stage(sets.select("key", "n", "digest"), "every")
-    unstage(sets, asked)
+    unstage(asked)
     tested = stage(shared.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), "tested")
-    close = stage(close_pairs(tested, sketches, bands), "close")
+    close = close_pairs(tested, sketches, sets, bands)
     links = verified(close, docs, text, words, bands)
     roots = components(links, "a", "b")
     names = sketches.select("digest", "rid").distinct()
@@ -399,8 +411,8 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     unstage(shared, close)
     left = stage(open_pairs(rows, sketches, bands).join(tested, ["a", "b"], "left_anti"), "left")
     unstage(rows, tested)
-    near = stage(close_pairs(left, sketches, bands), "close")
-    unstage(left, sketches)
+    near = close_pairs(left, sketches, sets, bands)
+    unstage(left, sketches, sets)
     if not near.isEmpty():
         roots = components(links.unionByName(verified(near, docs, text, words, bands)), "a", "b")
     named = every.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("key", "n", F.coalesce("root", "digest").alias("root"))

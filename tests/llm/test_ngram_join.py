@@ -140,3 +140,36 @@ def test_kept_rows_do_not_depend_on_partitions(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
     told = {tuple(sorted(map(str, ngram_join.keep_one(docs.repartition(n)).collect()))) for n in (1, 3, 7)}
     assert len(told) == 1 and len(next(iter(told))) == 2
+
+
+def test_a_set_keeps_as_many_keys_as_it_needs():
+    """One more than it and its largest partner may differ in, however many blocks have as few bits; linked sets still share one."""
+    rng = np.random.default_rng(9)
+    for num, den in ((9, 10), (8, 10)):
+        bands = Bands(num, den)
+        for _ in range(300):
+            n = int(rng.integers(bands.least, 1200))
+            whole = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+            a = np.sort(rng.permutation(whole)[:n])
+            more = int(rng.integers(0, n * (den - num) // num + 1))  # the largest partner has n * den / num
+            b = np.sort(np.concatenate((a, np.setdiff1d(whole, a)[:more])))
+            kept = []
+            for s in (a, b):
+                found = {}
+                for band in bands.of(len(s)):
+                    found[band] = ngram_join.keys(bands.sketch(s, band), band, bands.spare(band, len(s)))
+                    most = min(bands.edge(band + 1) - 1, len(s) * den // num)
+                    assert len(found[band]) == bands.differ(len(s) + most) + 1 <= len(ngram_join.keys(bands.sketch(s, band), band, bands.spare(band)))
+                kept.append(set().union(*(k.tolist() for k in found.values())))
+            assert kept[0] & kept[1]
+
+
+def test_whole_sketches_are_fetched_for_near_pairs_only(spark, monkeypatch):
+    held = {}
+    real = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name, **k: held.setdefault(name, []).append((df.columns, df.count())) or real(df, name, **k))
+    rows = near_copies(10, bases=6, copies=6)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert {r["doc_id"]: r["group"] for r in ngram_join.linked_groups(docs, words=3, num=9, den=10).collect()} == {rows[i][0]: g for i, (_, g) in brute(rows, 3, 9, 10).items()}
+    assert all("words" not in columns for columns, _ in held["sketches"])
+    assert held["words"][0][1] <= held["sketches"][0][1]
