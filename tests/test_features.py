@@ -215,3 +215,30 @@ def test_encoder_names(spark):
     assert encoder_name(" CNN ") == "conv_triplet" and encoder_name("pca") == "kmer_pca"
     with pytest.raises(ValueError, match="unknown encoder"):
         fit_encoder("not_a_real_encoder", None)
+
+
+def test_a_step_counts_its_three_sides_in_one_reused_array(monkeypatch):
+    """Whatever was counted in it before; windows are counted a few sequences at a time."""
+    monkeypatch.setattr(conv, "_COUNTED", 2)
+    w = conv.initial_weights(3, 4, 5, 2)
+    texts = [random_sequence(i, 3 + 7 * i) for i in range(6)] + ["", None, "é" * 9, "ACGTNNACGTxACg" * 3, "A", "T" * 24]
+    space, calls, real = conv.Space(), [], conv.embed
+    monkeypatch.setattr(conv, "embed", lambda w, s, *a: calls.append(len(s)) or real(w, s, *a))
+    for sides in ((texts[:4], texts[4:8], texts[8:]), (texts[3:5], texts[:2], texts[9:11])):
+        got = conv.triplet_gradient(w, *sides, 24, 0.4, space)
+        x, y, z = (conv.forward(w, conv.one_hot(s, 24)) for s in sides)
+        to_p, to_n = x[0] - y[0], x[0] - z[0]
+        hinge = (to_p**2).sum(axis=1) - (to_n**2).sum(axis=1) + 0.4
+        on = (hinge > 0)[:, None]
+        want = sum(conv.gradient(w, *side, d * on) for side, d in ((x, 2 * to_p - 2 * to_n), (y, -2 * to_p), (z, 2 * to_n)))
+        np.testing.assert_allclose(got[0], want, atol=1e-10)
+        assert got[1] == pytest.approx(np.maximum(hinge, 0).sum())
+    assert calls == [12, 6]
+    for sequence in texts:
+        counts, ones = conv.window_counts([sequence], 24, 4)
+        plain = conv._patches(conv.one_hot([sequence], 24), 4)[0]
+        assert counts.sum() == len(plain) and (counts @ ones == plain.sum(axis=0)).all()
+
+
+def test_a_job_takes_hundreds_of_steps():
+    assert conv._JOB_CHARS // (3 * 800 * 128) >= 400
