@@ -23,7 +23,9 @@ CELL_ROWS = 2048
 _SEEN = 200_000
 _FILTER_BITS = 26
 # A fold has so many longs at least, and one for so many blocks of its sketch.
-_FOLDED, _BLOCKS_A_LONG = 8, 16
+_FOLDED, _BLOCKS_A_LONG = 4, 24
+# Rows joined with folds in one go: so many, or so many for each sketch, so that the shuffles stay in proportion to the sets.
+_SLICE_ROWS, _ROWS_A_SKETCH = 1 << 20, 4
 # Bits of a long that count together: all of a fold's, either half of either block of a sketch's.
 _FOLD_FIELDS = [[-1]]
 _BLOCK_FIELDS = [[0xFFFF, 0xFFFF << 16], [0xFFFF << 32, -1 << 48]]
@@ -234,7 +236,7 @@ def in_bits(table: np.ndarray, rids: np.ndarray) -> np.ndarray:
 
 def folded(sketch: np.ndarray) -> np.ndarray:
     """The low halves of a sketch's blocks with their longs laid on one another; they still differ in no more bits than
-    shingles do. Four bits a block stay, so unlike sets differ in some two, and linked ones in less than one."""
+    shingles do. Three bits a block stay, or some less, so unlike sets differ in more than one, and linked ones in less."""
     bits = (sketch & np.uint32(0xFFFF)).astype(np.uint16)
     longs = max(_FOLDED, -(-len(bits) // _BLOCKS_A_LONG))
     padded = np.zeros(-(-len(bits) // (4 * longs)) * 4 * longs, dtype=np.uint16)
@@ -302,6 +304,12 @@ def _flips(a: str, b: str, fields: list[list[int]]) -> Column:
     return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda t, x: t + x)
 
 
+def slices(rows: DataFrame, by: str, sketches: DataFrame) -> list[DataFrame]:
+    """Staged ``rows`` by a hash of ``by`` in parts of bounded size, which go one after another; together they are all rows."""
+    parts = -(-rows.count() // max(_SLICE_ROWS, _ROWS_A_SKETCH * sketches.count()))
+    return [rows.where(F.pmod(F.xxhash64(by), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [rows]
+
+
 def close_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """(a, b) rids → those whose sketches differ in no more bits than linked sets may, with their digests.
 
@@ -313,9 +321,11 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, bands: B
         return both.where(_flips(f"a_{bits}", f"b_{bits}", fields) * (bands.den + bands.num) <= (F.col("a_n") + F.col("b_n")) * (bands.den - bands.num))
 
     side = lambda x: sketches.select(*[F.col(c).alias(x if c == "rid" else f"{x}_{c}") for c in ("rid", "digest", "n", "band", "fold")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("a_band = b_band and a_digest <> b_digest")
-    near = alike(both, "fold", _FOLD_FIELDS).select("a", "b", "a_digest", "b_digest", "a_n", "b_n", F.col("a_band").alias("band"))
-    near = stage(near, "near")
+    near = None
+    for part in slices(pairs, "a", sketches):
+        both = part.join(side("a"), "a").join(side("b"), "b").where("a_band = b_band and a_digest <> b_digest")
+        found = alike(both, "fold", _FOLD_FIELDS).select("a", "b", "a_digest", "b_digest", "a_n", "b_n", F.col("a_band").alias("band"))
+        near = stage(found, "near", into=near)
     rids = stage(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rids")
     words = stage(asked_sketches(sets, rids, whole=True), "words")
     whole = lambda x: words.select("band", F.col("digest").alias(f"{x}_digest"), F.col("words").alias(f"{x}_words"))
@@ -409,7 +419,9 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     rows = shared.where("rid <> hub").select("bucket", "rid").join(labels, "rid", "left").select("bucket", "rid", F.coalesce("label", "rid").alias("label"))
     rows = stage(rows, "labelled")
     unstage(shared, close)
-    left = stage(open_pairs(rows, sketches, bands).join(tested, ["a", "b"], "left_anti"), "left")
+    left = None
+    for part in slices(rows, "bucket", sketches):
+        left = stage(open_pairs(part, sketches, bands).join(tested, ["a", "b"], "left_anti"), "left", into=left)
     unstage(rows, tested)
     near = close_pairs(left, sketches, sets, bands)
     unstage(left, sketches, sets)

@@ -173,3 +173,17 @@ def test_whole_sketches_are_fetched_for_near_pairs_only(spark, monkeypatch):
     assert {r["doc_id"]: r["group"] for r in ngram_join.linked_groups(docs, words=3, num=9, den=10).collect()} == {rows[i][0]: g for i, (_, g) in brute(rows, 3, 9, 10).items()}
     assert all("words" not in columns for columns, _ in held["sketches"])
     assert held["words"][0][1] <= held["sketches"][0][1]
+
+
+def test_rows_go_in_slices_in_proportion_to_the_sets(spark, monkeypatch):
+    """Pairs and bucket rows are joined with folds a slice at a time, and the groups are the same."""
+    written = []
+    real = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name, **k: written.append(name) or real(df, name, **k))
+    monkeypatch.setattr(ngram_join, "_SLICE_ROWS", 40)
+    monkeypatch.setattr(ngram_join, "_ROWS_A_SKETCH", 0)
+    rows = near_copies(11, bases=3, copies=16)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["group"] for r in ngram_join.linked_groups(docs, words=3, num=9, den=10).collect()}
+    assert got == {rows[i][0]: g for i, (_, g) in brute(rows, 3, 9, 10).items()}
+    assert written.count("left") > 1 and written.count("near") > 2
